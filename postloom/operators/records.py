@@ -73,10 +73,11 @@ def matches(observed: Column, value: str, match: str = "auto") -> Column:
 
 
 def mark_matches(parsed: DataFrame, value: str, match: str = "auto") -> DataFrame:
-    """Add `matched`; a matching line whose time is unusable becomes an error line."""
+    """Add `matched`; a matching line without an id or with an unusable time becomes an error line."""
     hit = (F.col("line_status") == OK) & matches(F.col("observed"), value, match)
     bad = hit & fields.epoch_is_bad(F.col("json"), "created_utc")
-    marks = F.struct(F.when(bad, "bad_time").otherwise(F.col("line_status")).alias("line_status"), hit.alias("hit"))
+    status = F.when(hit & _text("id").isNull(), "missing_id").when(bad, "bad_time").otherwise(F.col("line_status"))
+    marks = F.struct(status.alias("line_status"), hit.alias("hit"))
     others = [name for name in parsed.columns if name != "line_status"]
     marked = parsed.select(*others, _once(marks).alias("_marks"))
     status = F.col("_marks.line_status")

@@ -133,14 +133,12 @@ class NounLemmasModel(_TableModel, _LemmaParams):
         return cls(tables["lemmas"])
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        # all columns travel inside the grouping key, which holds the unique id
-        source, target = self.getInputCol(), self.getOutputCol()
-        if self.getOrDefault(self.idCol) not in dataset.columns:
-            raise ValueError(f"rows need the id column {self.getOrDefault(self.idCol)!r}")
-        others = [name for name in dataset.columns if name != source or source != target]
-        keyed = dataset.select(F.struct(*others).alias("_row"), F.split(source, " ").alias("tokens"))
-        spelled = apply_lemmas(keyed, self.table, "_row")
-        return spelled.select("_row.*", X.join_tokens(F.col("tokens")).alias(target))
+        key, source, target = self.getOrDefault(self.idCol), self.getInputCol(), self.getOutputCol()
+        if key not in dataset.columns:
+            raise ValueError(f"rows need the id column {key!r}")
+        tokens = dataset.select(key, F.split(source, " ").alias("tokens"))
+        spelled = apply_lemmas(tokens, self.table, key).select(key, X.join_tokens(F.col("tokens")).alias(target))
+        return dataset.drop(target).join(spelled, key)
 
 
 class SmoothTfidf(Estimator, HasInputCol, HasOutputCol):

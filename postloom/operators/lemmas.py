@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from postloom import constants as C
 from postloom.operators.joins import BROADCAST_BYTES, HOT_FLOOR, lookup_join
-from postloom.session import materialize
+from postloom.session import materialize, written
 
 
 def vocabulary(tokens: DataFrame, column: str = "tokens") -> DataFrame:
@@ -54,6 +54,7 @@ def apply_lemmas(
     lemmas: DataFrame,
     id_col: str,
     column: str = "tokens",
+    carry: tuple[str, ...] = (),
     counts: DataFrame | None = None,
     broadcast_bytes: int = BROADCAST_BYTES,
     floor: int = HOT_FLOOR,
@@ -62,35 +63,37 @@ def apply_lemmas(
 
     `lemmas` is read several times and should be a stored or materialized table. Rows are placed
     by `id_col` first: with a broadcast lemma table the words of a document then stay where they
-    are until they are put together again.
+    are until they are put together again. Small columns named in `carry` travel with the words;
+    all others are joined back by id.
     """
-    others = [name for name in docs.columns if name not in (id_col, column)]
-    words = docs.repartition(F.col(id_col)).select(id_col, F.posexplode_outer(column).alias("pos", "word"))
+    others = [name for name in docs.columns if name not in (id_col, column, *carry)]
+    words = docs.select(id_col, *carry, column).repartition(F.col(id_col))
+    words = words.select(id_col, *carry, F.posexplode_outer(column).alias("pos", "word"))
     words = lookup_join(words, lemmas, "word", id_col, "left", counts, broadcast_bytes, floor)
+    place = F.struct("pos", F.coalesce("lemma", "word").alias("word"))
     spelled = words.groupBy(id_col).agg(
-        F.array_sort(
-            F.collect_list(
-                F.when(
-                    F.col("pos").isNotNull(),
-                    F.struct("pos", F.coalesce("lemma", "word").alias("word")),
-                )
-            )
-        ).alias("_words")
+        *[F.first(name).alias(name) for name in carry],
+        F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), place))).alias("_words"),
     )
-    spelled = spelled.select(id_col, F.col("_words.word").alias(column))
-    if not others:
-        return spelled
-    return docs.drop(column).join(spelled, id_col).select(*docs.columns)
+    spelled = spelled.select(id_col, *carry, F.col("_words.word").alias(column))
+    if others:
+        spelled = docs.select(id_col, *others).join(spelled, id_col)
+    return spelled.select(*docs.columns)
 
 
 def lemmatize(
     docs: DataFrame,
     id_col: str,
     column: str = "tokens",
+    carry: tuple[str, ...] = (),
     dictionary: DataFrame | None = None,
     exceptions: DataFrame | None = None,
 ) -> DataFrame:
-    """Lemmatize token arrays with a table built from their own vocabulary."""
-    words = vocabulary(docs, column)
+    """Lemmatize token arrays with a table built from their own vocabulary.
+
+    The arrays are written once, so that texts are not cleaned again for each of the passes.
+    """
+    docs = written(docs, "tokens")
+    words = written(vocabulary(docs, column), "words")
     lemmas = materialize(lemma_table(words, dictionary, exceptions))
-    return apply_lemmas(docs, lemmas, id_col, column, counts=words)
+    return apply_lemmas(docs, lemmas, id_col, column, carry, words)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from postloom.session import materialize
+from postloom.session import written
 
 KEPT = 40
 ROWS_PER_BLOCK = 100_000
@@ -19,11 +19,11 @@ def running_totals(
     The rows are range-partitioned by series and order, so a very long series covers many
     partitions. Each partition numbers and sums its own stretch of a series; what lies before it is
     added from a table with one row per series and partition. The range partitioning is
-    materialized because both steps must see the same partition borders.
+    written down because both steps must see the same partition borders.
     """
     values = {f"_v{index}": column for index, column in enumerate(totals.values())}
-    parts = materialize(
-        samples.withColumns(values).repartitionByRange(key, *order).withColumn("_part", F.spark_partition_id())
+    parts = written(
+        samples.withColumns(values).repartitionByRange(key, *order).withColumn("_part", F.spark_partition_id()), "parts"
     )
     sums = parts.groupBy(key, "_part").agg(
         F.count("*").alias("_rows"), *[F.sum(name).alias(f"_sum{name}") for name in values]

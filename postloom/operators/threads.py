@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from postloom import constants as C
 from postloom.functions import fields
 from postloom.operators.joins import HOT_FLOOR, hot_keys
-from postloom.session import materialize
+from postloom.session import materialize, written
 
 
 def keeps(author: Column, body: Column) -> Column:
@@ -30,7 +30,7 @@ def flatten_listings(listings: DataFrame, post_id: str = "post_id", value: str =
     depth = 0
     while True:
         nodes = _unnest(level, depth)
-        level = materialize(nodes)
+        level = written(nodes, "level")
         if level.isEmpty():
             return done if done is not None else _comment_rows(level)
         rows = _comment_rows(level)
@@ -89,13 +89,14 @@ def thread_depth(
     if max_depth is not None and max_depth < 0:
         return base.limit(0).withColumn("depth", F.lit(0))
     top = F.col("parent_id") == F.col("post_id")
-    state = materialize(
+    state = written(
         base.select(
             "post_id",
             "id",
             F.when(~top, F.col("parent_id")).alias("above"),
             F.when(top, 0).otherwise(1).cast("bigint").alias("steps"),
-        )
+        ),
+        "threads",
     )
     total = state.count()
     reach = 1
@@ -107,7 +108,7 @@ def thread_depth(
         if reach > total or (max_depth is not None and reach > max_depth):
             state = state.where("above IS NULL")
             break
-        state = materialize(_double(state, pending, floor))
+        state = written(_double(state, pending, floor), "threads")
         reach *= 2
     found = state.select("post_id", "id", F.col("steps").cast("int").alias("depth"))
     if max_depth is not None:

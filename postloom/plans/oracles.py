@@ -312,6 +312,8 @@ SELECT run, sample_id, round(avg_speed, 6) AS avg_speed, cast(floor((total - byt
         "stratified_folds": _with(POSTS, DATASET, _ranked("dataset"))
         + "SELECT id, label_post, cast((rank - 1) % 10 AS int) AS fold FROM ranked",
         "gaussian_nb_predict": _bayes(1e-7),
+        "predict_batch": _bayes(1e-7),
+        "predict_stream": _bayes(1e-7),
         "confusion_counts": _with(_PAIRS, _COUNTS) + "SELECT label, prediction, n FROM counts",
         "confusion_percent": _with(_PAIRS, _COUNTS)
         + "SELECT label, prediction, n, round(100.0 * n / sum(n) OVER (PARTITION BY label), 6) AS percent FROM counts",

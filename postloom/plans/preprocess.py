@@ -7,15 +7,16 @@ from pyspark.sql import functions as F
 
 from postloom import constants as C
 from postloom.functions import text as X
-from postloom.operators.lemmas import apply_lemmas, lemma_table, vocabulary
-from postloom.session import materialize
+from postloom.operators.dataset import require_columns
+from postloom.operators.lemmas import apply_lemmas, lemmatize
+from postloom.session import written
 
 
 def with_id(df: DataFrame, id_col: str = "id") -> DataFrame:
-    """`df` with a row id; ids that have to be made up are materialized so that they never change."""
+    """`df` with a row id; ids that have to be made up are written down so that they never change."""
     if id_col in df.columns:
         return df
-    return materialize(df.withColumn(id_col, F.monotonically_increasing_id()))
+    return written(df.withColumn(id_col, F.monotonically_increasing_id()), "rows")
 
 
 def clean_text(
@@ -27,26 +28,24 @@ def clean_text(
     lemmas: DataFrame | bool | None = True,
     dictionary: DataFrame | None = None,
     exceptions: DataFrame | None = None,
+    carry: tuple[str, ...] = ("label_post",),
     output: str = "text_clean",
 ) -> DataFrame:
     """Replace `text` by `output`: the words that are left after all stages, joined by spaces.
 
     `lemmas` is True for a table built from the words of this text, a table to use as it is, or
-    None for no lemmas. All other columns stay; the ids have to be unique.
+    None for no lemmas. All other columns stay, `carry` names small ones that need no join to do
+    so; the ids have to be unique.
     """
     words = C.ENGLISH_STOPWORDS if stopwords is None else stopwords
-    tokens = X.clean_tokens(F.col(text), words, min_length)
     others = [name for name in df.columns if name not in (text, id_col)]
-    if lemmas is None or lemmas is False:
-        return df.select(id_col, *others, X.join_tokens(tokens).alias(output))
-    # the carried columns travel inside the key, so they need no join afterwards
-    keyed = df.select(F.struct(id_col, *others).alias("_row"), tokens.alias("tokens"))
-    counts = None
+    tokens = df.select(id_col, *others, X.clean_tokens(F.col(text), words, min_length).alias("tokens"))
+    carried = tuple(name for name in carry if name in others)
     if lemmas is True:
-        counts = materialize(vocabulary(keyed))
-        lemmas = materialize(lemma_table(counts, dictionary, exceptions))
-    spelled = apply_lemmas(keyed, lemmas, "_row", counts=counts)
-    return spelled.select("_row.*", X.join_tokens(F.col("tokens")).alias(output))
+        tokens = lemmatize(tokens, id_col, "tokens", carried, dictionary, exceptions)
+    elif lemmas is not None and lemmas is not False:
+        tokens = apply_lemmas(tokens, lemmas, id_col, "tokens", carried)
+    return tokens.select(id_col, *others, X.join_tokens(F.col("tokens")).alias(output))
 
 
 def preprocess_dataset(
@@ -59,8 +58,6 @@ def preprocess_dataset(
     id_col: str = "id",
 ) -> DataFrame:
     """`(label_post, text_clean)` of a raw dataset, with its id column first if it has one."""
-    from postloom.operators.dataset import require_columns
-
     require_columns(df, "text", "label_post")
     kept = [id_col] if id_col in df.columns else []
     rows = with_id(df.select(*kept, "text", "label_post"), id_col)

@@ -11,10 +11,15 @@ from postloom import constants as C
 from postloom.functions import fields, names
 from postloom.functions import text as X
 from postloom.operators import bayes, dataset, evaluation, lemmas, progress, records, sampling, threads, tfidf
+from postloom import schemas
 from postloom.plans import settings as S
+from postloom.plans import train
 from postloom.plans import views as V
 from postloom.plans.preprocess import clean_text
-from postloom.session import configure, materialize
+from postloom.session import configure, materialize, scratch_folder, written
+from postloom.sources.tables import read_stored
+from postloom.streaming.ingest import ingest_stream
+from postloom.streaming.score import stream_predictions
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -149,7 +154,7 @@ def rolling_rate(spark, sf_dir):
 
 
 def eta(spark, sf_dir):
-    samples = materialize(_samples(spark, sf_dir))
+    samples = written(_samples(spark, sf_dir), "samples")
     rated = progress.eta(samples, progress.series_totals(samples))
     return rated.select("run", "sample_id", F.round("avg_speed", 6).alias("avg_speed"), "seconds_left")
 
@@ -232,7 +237,7 @@ def term_counts(spark, sf_dir):
 
 
 def doc_freq(spark, sf_dir):
-    docs = materialize(_clean(spark, sf_dir))
+    docs = written(_clean(spark, sf_dir), "clean")
     table = tfidf.smooth_idf(tfidf.doc_freq(docs), docs.count())
     return table.select("term", "df", F.round("idf", 6).alias("idf"))
 
@@ -242,7 +247,7 @@ def vocabulary(spark, sf_dir):
 
 
 def tfidf_weights(spark, sf_dir):
-    docs = materialize(_clean(spark, sf_dir))
+    docs = written(_clean(spark, sf_dir), "clean")
     return tfidf.tfidf(docs, tfidf.fit_idf(docs)).select("id", "term", F.round("weight", 6).alias("weight"))
 
 
@@ -264,7 +269,9 @@ def stratified_folds(spark, sf_dir):
 
 
 def gaussian_nb_predict(spark, sf_dir):
-    docs = materialize(sampling.stratified_split(materialize(_clean(spark, sf_dir)), "id", "label_post", seed=S.SEED))
+    docs = written(
+        sampling.stratified_split(written(_clean(spark, sf_dir), "clean"), "id", "label_post", seed=S.SEED), "split"
+    )
     fit = bayes.fit_bayes(docs.where("NOT is_valid"), "label_post")
     valid = docs.where("is_valid")
     predicted = bayes.predict_bayes(fit, valid, [S.BAYES_SMOOTHING])
@@ -293,6 +300,79 @@ def classification_report(spark, sf_dir):
     return report.withColumns({name: F.round(name, 6) for name in ("precision", "recall", "f1")})
 
 
+def _training(spark, sf_dir):
+    rows = train.prepare(_clean(spark, sf_dir))
+    return rows.where("NOT is_valid").drop("is_valid"), rows.where("is_valid").drop("is_valid")
+
+
+def _held_out(spark, sf_dir, kind, grid):
+    """Predictions for the validation rows by a model with one fixed parameter set."""
+    rows, valid = _training(spark, sf_dir)
+    model = train.fit_one(rows, kind, grid)
+    return model.transform(valid).select(
+        "id", F.col("label_post").alias("label"), F.col("prediction_label").alias("prediction")
+    )
+
+
+def rf_predict(spark, sf_dir):
+    return _held_out(spark, sf_dir, "rf", S.FOREST)
+
+
+def svm_predict(spark, sf_dir):
+    return _held_out(spark, sf_dir, "svm", S.MACHINE)
+
+
+def grid_scores(spark, sf_dir):
+    """Mean accuracy per smoothing value over stratified folds of the training rows."""
+    rows, _ = _training(spark, sf_dir)
+    return train.tune(rows, "nb", {"var_smoothing": bayes.SMOOTHING}, folds=S.FOLDS).scores
+
+
+def _saved_model(spark, sf_dir):
+    """A naive Bayes model with its cleaning, saved and loaded again, and the raw validation texts."""
+    raw = _dataset(spark, sf_dir)
+    words = written(lemmas.vocabulary(_shortened(spark, sf_dir)), "words")
+    table = materialize(lemmas.lemma_table(words))
+    rows = train.prepare(clean_text(raw, lemmas=table))
+    model = train.fit_one(rows.where("NOT is_valid").drop("is_valid"), "nb", {"var_smoothing": [S.BAYES_SMOOTHING]})
+    folder = scratch_folder(spark, "model")
+    train.with_cleaning(model, table).write().save(folder)
+    texts = raw.join(rows.where("is_valid").select("id"), "id", "left_semi")
+    return train.load_model(folder), texts.select("id", "text", F.col("label_post").alias("label"))
+
+
+def predict_batch(spark, sf_dir):
+    model, texts = _saved_model(spark, sf_dir)
+    return train.predict(model, texts, ("id", "label"), "text")
+
+
+def predict_stream(spark, sf_dir):
+    model, texts = _saved_model(spark, sf_dir)
+    folder = scratch_folder(spark, "texts")
+    texts.write.parquet(f"{folder}/in")
+    arriving = spark.readStream.schema(texts.schema).option("maxFilesPerTrigger", 64).parquet(f"{folder}/in")
+    stream_predictions(model, arriving, f"{folder}/out", f"{folder}/state", ("id", "label")).awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select("id", "label", "prediction")
+
+
+def stream_ingest(spark, sf_dir):
+    """Dump lines written as text files, ingested as a stream, and the posts that are stored then."""
+    folder = scratch_folder(spark, "ingest")
+    V.lines(spark, sf_dir).select("file_name", "value").write.partitionBy("file_name").text(f"{folder}/in")
+    path = F.col("_metadata.file_path")
+    lines = (
+        spark.readStream.option("recursiveFileLookup", "true")
+        .text(f"{folder}/in")
+        .select(path.alias("path"), F.regexp_extract(path, "file_name=([^/]+)/", 1).alias("file_name"), "value")
+    )
+    ingest_stream(lines, f"{folder}/out", f"{folder}/state", value=S.LINE_VALUE).awaitTermination()
+    posts = read_stored(spark, f"{folder}/out/submissions", schemas.SUBMISSIONS)
+    return posts.select(
+        "id", "author", "title", F.unix_seconds("created_utc").alias("created_epoch"), "selftext", "subreddit", "link",
+        "score",
+    )
+
+
 QUERIES: dict[str, Query] = {
     query.__name__: query
     for query in (
@@ -301,7 +381,8 @@ QUERIES: dict[str, Query] = {
         thread_depth, thread_pruned, thread_max_depth, comment_projection, comments_per_post, remove_urls, remove_punct,
         remove_non_ascii, tokenize, remove_stopwords, remove_short, stopword_hits, lemma_table, lemmatize, term_counts,
         doc_freq, vocabulary, label_set, class_weights, stratified_split, stratified_folds, gaussian_nb_predict,
-        confusion_counts, confusion_percent, classification_report,
+        confusion_counts, confusion_percent, classification_report, rf_predict, svm_predict, grid_scores, predict_batch,
+        predict_stream, stream_ingest,
     )
 }
 QUERIES["clean_text"] = clean

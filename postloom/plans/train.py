@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, OneVsRest, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import IndexToString, StringIndexer
+from pyspark.ml.feature import IndexToString, StringIndexer, StringIndexerModel
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +17,7 @@ from postloom.operators import bayes, evaluation, sampling
 from postloom.operators.dataset import fill_text
 from postloom.operators.tfidf import fit_idf, tfidf
 from postloom.plans.preprocess import with_id
-from postloom.session import configure, materialize
+from postloom.session import configure, materialize, written
 from postloom.sources.tables import write_results, write_weights
 
 SEED = 42
@@ -40,7 +40,9 @@ def build_pipeline(kind: str, rows: int = 1, grid: dict[str, list] | None = None
     penalty C into Spark's regularization, 1 / (C * rows). Spark's forest has no minimum number of
     rows for a split; a split needs `min_leaf` rows on both sides, so `min_split` acts as its half.
     """
-    wanted = (grid or GRIDS).get(kind) if grid is None else grid
+    if kind not in KINDS:
+        raise ValueError(f"unsupported model kind: {kind}")
+    wanted = GRIDS[kind] if grid is None else grid
     build = ParamGridBuilder()
     if kind == "nb":
         model = GaussianTextBayes(labelCol="label")
@@ -53,14 +55,12 @@ def build_pipeline(kind: str, rows: int = 1, grid: dict[str, list] | None = None
         leaves = [max(leaf, (split + 1) // 2) for split in wanted["min_split"] for leaf in wanted["min_leaf"]]
         build.addGrid(model.minInstancesPerNode, sorted(set(leaves)))
         return Pipeline(stages=[SmoothTfidf(), model]), build.build()
-    if kind == "svm":
-        svc = LinearSVC(standardization=False, weightCol="weight")
-        model = OneVsRest(classifier=svc, labelCol="label", weightCol="weight", parallelism=4)
-        build.addGrid(svc.regParam, [1.0 / (c * max(rows, 1)) for c in wanted["c"]])
-        build.addGrid(svc.tol, wanted["tol"])
-        build.addGrid(svc.maxIter, wanted["iterations"])
-        return Pipeline(stages=[SmoothTfidf(), model]), build.build()
-    raise ValueError(f"unsupported model kind: {kind}")
+    svc = LinearSVC(standardization=False, weightCol="weight")
+    model = OneVsRest(classifier=svc, labelCol="label", weightCol="weight", parallelism=4)
+    build.addGrid(svc.regParam, [1.0 / (c * max(rows, 1)) for c in wanted["c"]])
+    build.addGrid(svc.tol, wanted["tol"])
+    build.addGrid(svc.maxIter, wanted["iterations"])
+    return Pipeline(stages=[SmoothTfidf(), model]), build.build()
 
 
 class FoldedValidator(CrossValidator):
@@ -88,10 +88,28 @@ class Tuned:
 
 
 def prepare(df: DataFrame, label: str = "label_post", id_col: str = "id", seed: int = SEED) -> DataFrame:
-    """Training table: filled text and label, id, and the validation mark; materialized."""
+    """Training table: filled text and label, id, and the validation mark; written down."""
     rows = with_id(fill_text(df, "text_clean", label), id_col)
-    rows = materialize(rows.select(id_col, F.col(label).alias("label_post"), "text_clean"))
-    return materialize(sampling.stratified_split(rows, id_col, "label_post", seed=seed))
+    rows = written(rows.select(id_col, F.col(label).alias("label_post"), "text_clean"), "clean")
+    return written(sampling.stratified_split(rows, id_col, "label_post", seed=seed), "split")
+
+
+def fit_one(train: DataFrame, kind: str, grid: dict[str, list]) -> PipelineModel:
+    """Fit the first parameter set of a grid on all rows, without any search."""
+    indexer, rows = _indexed(train)
+    pipeline, maps = build_pipeline(kind, rows.count(), grid)
+    fitted = pipeline.fit(rows, maps[0])
+    return PipelineModel([*fitted.stages, _label_names(indexer)])
+
+
+def _indexed(train: DataFrame) -> tuple[StringIndexerModel, DataFrame]:
+    """Training rows with a numeric label and a balanced weight."""
+    indexer = StringIndexer(inputCol="label_post", outputCol="label", stringOrderType="alphabetAsc").fit(train)
+    return indexer, written(indexer.transform(sampling.add_weights(train, "label_post", "id")), "indexed")
+
+
+def _label_names(indexer: StringIndexerModel) -> IndexToString:
+    return IndexToString(inputCol="prediction", outputCol="prediction_label", labels=indexer.labels)
 
 
 def tune(
@@ -107,10 +125,8 @@ def tune(
     `train` has `id`, `label_post` and `text_clean`. The first of equally good parameter sets wins.
     """
     spark = train.sparkSession
-    indexer = StringIndexer(inputCol="label_post", outputCol="label", stringOrderType="alphabetAsc").fit(train)
-    weighted = sampling.add_weights(train, "label_post", "id")
-    dealt = sampling.stratified_folds(weighted, "id", "label_post", folds, seed)
-    rows = materialize(indexer.transform(dealt))
+    indexer, indexed = _indexed(train)
+    rows = written(sampling.stratified_folds(indexed, "id", "label_post", folds, seed), "folds")
     pipeline, maps = build_pipeline(kind, rows.count(), grid)
     *front, classifier = pipeline.getStages()
     fitted = [stage.fit(rows) for stage in front]
@@ -128,8 +144,7 @@ def tune(
     if front:
         search.vectorizer = _Revectorize(front[0], spare)
     found: CrossValidatorModel = search.fit(ready)
-    names = IndexToString(inputCol="prediction", outputCol="prediction_label", labels=indexer.labels)
-    model = PipelineModel([*fitted, found.bestModel, names])
+    model = PipelineModel([*fitted, found.bestModel, _label_names(indexer)])
     texts = [{param.name: value for param, value in params.items()} for params in maps]
     best = max(range(len(maps)), key=lambda index: (found.avgMetrics[index], -index))
     scores = spark.createDataFrame(
@@ -168,11 +183,17 @@ def with_cleaning(
     return PipelineModel([*stages, *model.stages])
 
 
-def predict(model: PipelineModel, texts: DataFrame, keep: tuple[str, ...] = ("text",)) -> DataFrame:
+def predict(
+    model: PipelineModel, texts: DataFrame, keep: tuple[str, ...] = ("text",), text: str = "text"
+) -> DataFrame:
     """`prediction` (a label) for every row of `texts`, next to the columns in `keep`."""
-    rows = with_id(texts)
-    out = model.transform(rows.select("id", *[name for name in keep if name != "id"]))
-    return out.select(*keep, F.col("prediction_label").alias("prediction"))
+    rows = with_id(texts).withColumnRenamed(text, "text")
+    carried = {name for name in keep if name != text}
+    out = model.transform(rows.select("text", *({"id"} | carried)))
+    return out.select(
+        *[F.col("text").alias(text) if name == text else F.col(name) for name in keep],
+        F.col("prediction_label").alias("prediction"),
+    )
 
 
 def train_and_evaluate(

@@ -55,11 +55,21 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Compute `df` once into the reliable checkpoint folder and read it from there afterwards."""
+    """Compute a small table once into the reliable checkpoint folder and read it from there."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, purpose: str) -> DataFrame:
+    """Compute a large table once into Parquet under the shared checkpoint folder.
+
+    Unlike a checkpoint this is compressed, and later passes read only the columns they need.
+    """
+    folder = scratch_folder(df.sparkSession, purpose)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def scratch_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh folder name under the shared checkpoint folder."""
     return f"{checkpoint_dir(spark)}/{purpose}-{uuid.uuid4().hex}"

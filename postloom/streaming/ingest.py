@@ -28,15 +28,30 @@ def stream_ingest(
     comment_depth: int | None = None,
     files_per_trigger: int | None = None,
 ) -> StreamingQuery:
-    """Store new files and stop when all that are there have been read.
+    """Store the dump files of `folder` that are new and stop when all of them have been read.
 
-    The checkpoint remembers the files, so a second run reads only new ones. A replayed micro-batch
-    replaces its own folders. Line counts of each micro-batch are in `observedMetrics` of the
-    query progress and in the table `{output}/progress`.
+    The checkpoint remembers the files, so a second run reads only new ones.
     """
-    configure(spark)
     lines = stream_lines(spark, folder, files_per_trigger)
     lines = lines.where(in_months(F.col("file_name"), start, end))
+    return ingest_stream(lines, output, checkpoint, field, value, match, comment_depth)
+
+
+def ingest_stream(
+    lines: DataFrame,
+    output: str,
+    checkpoint: str,
+    field: str = "subreddit",
+    value: str = C.COMMUNITY,
+    match: str = "auto",
+    comment_depth: int | None = None,
+) -> StreamingQuery:
+    """Store a stream of `(path, file_name, value)` rows.
+
+    A replayed micro-batch replaces its own folders. The line counts of each micro-batch are in
+    `observedMetrics` of the query progress and in the table `{output}/progress`.
+    """
+    configure(lines.sparkSession)
     marked = mark(lines, field, value, match).observe(
         "lines",
         F.count(F.lit(1)).alias("lines_processed"),
@@ -44,10 +59,10 @@ def stream_ingest(
         F.count_if(F.col("line_status") != OK).alias("error_lines"),
     )
 
-    def write(batch: DataFrame, batch_number: int) -> None:
-        batch_id = stream_batch_id(batch, batch_number)
+    def write(batch: DataFrame, number: int) -> None:
+        batch_id = stream_batch_id(batch, number)
         counters = store(batch, output, batch_id, field, comment_depth)
-        progress = counters.withColumn("batch", F.lit(batch_number)).withColumn("ts", F.current_timestamp())
+        progress = counters.withColumn("batch", F.lit(number)).withColumn("ts", F.current_timestamp())
         write_batch(progress, f"{output}/progress", batch_id)
 
     return (

@@ -27,7 +27,7 @@ from postloom import constants as C
 from postloom.functions import text as X
 from postloom.operators.bayes import BayesFit, fit_bayes, predict_bayes
 from postloom.operators.lemmas import apply_lemmas, lemma_table, vocabulary
-from postloom.session import materialize
+from postloom.session import written
 
 MAX_VOCABULARY = 2_000_000
 
@@ -112,8 +112,8 @@ class NounLemmas(Estimator, _LemmaParams):
 
     def _fit(self, dataset: DataFrame) -> NounLemmasModel:
         tokens = dataset.select(F.split(self.getInputCol(), " ").alias("tokens"))
-        words = vocabulary(tokens).where("word <> ''")
-        table = materialize(lemma_table(words, self.dictionary, self.exceptions))
+        words = written(vocabulary(tokens).where("word <> ''"), "words")
+        table = written(lemma_table(words, self.dictionary, self.exceptions), "lemmas")
         return self._copyValues(NounLemmasModel(table))
 
 

@@ -10,13 +10,16 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postloom.operators.joins import BROADCAST_BYTES, HOT_FLOOR, lookup_join
 from postloom.operators.tfidf import fit_idf, tfidf
-from postloom.session import materialize
+from postloom.session import written
 
 SMOOTHING = [1e-9, 1e-8, 1e-7]
 MAX_CLASSES = 200
@@ -38,7 +41,7 @@ def fit_bayes(docs: DataFrame, label: str, id_col: str = "id", text: str = "text
     if len(rows) > MAX_CLASSES:
         raise ValueError(f"more than {MAX_CLASSES} classes")
     labels, sizes = [row[label] for row in rows], [row.n for row in rows]
-    idf = fit_idf(docs, text)
+    idf = fit_idf(docs, text, sum(sizes))
     # the label travels with the id so that weights need no join with the documents afterwards
     keyed = docs.select(F.struct(F.col(id_col), F.col(label).alias("label")).alias("doc"), text)
     weights = tfidf(keyed, idf, "doc", text)
@@ -51,7 +54,7 @@ def fit_bayes(docs: DataFrame, label: str, id_col: str = "id", text: str = "text
             F.coalesce(F.sum(mine * mine), F.lit(0.0)).alias(f"s2_{index}"),
         ]
     per_term = weights.groupBy("term").agg(*sums)
-    terms = materialize(idf.join(per_term, "term"))
+    terms = written(idf.join(per_term, "term"), "terms")
     n = float(sum(sizes))
     all1 = sum((F.col(f"s1_{i}") for i in range(len(labels))), F.lit(0.0))
     all2 = sum((F.col(f"s2_{i}") for i in range(len(labels))), F.lit(0.0))
@@ -103,7 +106,9 @@ def predict_bayes(
             changes[f"a_{s}_{index}"] = mean / variance
             changes[f"b_{s}_{index}"] = 0.5 / variance
     names = list(changes)
-    factors = materialize(fit.terms.select("term", "df", "idf", *[changes[name].alias(name) for name in names]))
+    factors = written(
+        fit.terms.select("term", "df", "idf", *[changes[name].alias(name) for name in names]), "factors"
+    )
     weights = tfidf(docs, factors, id_col, text, broadcast_bytes, floor)
     counts = factors.select("term", F.col("df").alias("n"))
     scored = lookup_join(
@@ -136,3 +141,33 @@ def _best(labels: list[str], scores: list[Column]) -> Column:
     for name, score in reversed(list(zip(labels, scores))[:-1]):
         choice = F.when(score == top, F.lit(name)).otherwise(choice)
     return choice
+
+
+def cross_validate_bayes(
+    docs: DataFrame,
+    label: str,
+    smoothing: list[float],
+    folds: int,
+    fold: str = "fold",
+    id_col: str = "id",
+    text: str = "text_clean",
+    parallelism: int = 2,
+) -> DataFrame:
+    """`(grid_index, score)`: mean accuracy over the folds per smoothing value.
+
+    Vocabulary and statistics of a fold come from the other folds only. The statistics do not
+    depend on the smoothing, so every fold is fitted and scored once for all values.
+    """
+
+    def one(number: int) -> DataFrame:
+        fit = fit_bayes(docs.where(F.col(fold) != number), label, id_col, text)
+        valid = docs.where(F.col(fold) == number)
+        found = predict_bayes(fit, valid, smoothing, id_col, text)
+        pairs = valid.select(id_col, F.col(label).alias("label")).join(found, id_col)
+        hits = [F.avg((F.col(f"prediction_{s}") == F.col("label")).cast("int")) for s in range(len(smoothing))]
+        return pairs.agg(F.array(*hits).alias("scores"))
+
+    with ThreadPool(parallelism) as pool:
+        parts = pool.map(inheritable_thread_target(docs.sparkSession)(one), range(folds))
+    per_fold = reduce(DataFrame.unionByName, parts).select(F.posexplode("scores").alias("grid_index", "score"))
+    return per_fold.groupBy("grid_index").agg(F.avg("score").alias("score"))

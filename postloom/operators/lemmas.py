@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from postloom import constants as C
 from postloom.operators.joins import BROADCAST_BYTES, HOT_FLOOR, lookup_join
-from postloom.session import materialize, written
+from postloom.session import written
 
 
 def vocabulary(tokens: DataFrame, column: str = "tokens") -> DataFrame:
@@ -61,7 +61,7 @@ def apply_lemmas(
 ) -> DataFrame:
     """Replace every word that has a lemma, keeping order and all other columns.
 
-    `lemmas` is read several times and should be a stored or materialized table. Rows are placed
+    `lemmas` is read several times and should be a stored table. Rows are placed
     by `id_col` first: with a broadcast lemma table the words of a document then stay where they
     are until they are put together again. Small columns named in `carry` travel with the words;
     all others are joined back by id.
@@ -95,5 +95,5 @@ def lemmatize(
     """
     docs = written(docs, "tokens")
     words = written(vocabulary(docs, column), "words")
-    lemmas = materialize(lemma_table(words, dictionary, exceptions))
+    lemmas = written(lemma_table(words, dictionary, exceptions), "lemmas")
     return apply_lemmas(docs, lemmas, id_col, column, carry, words)

@@ -19,8 +19,11 @@ def _text(key: str) -> Column:
 
 
 def field_path(field: str) -> str:
-    """JSON path of a top-level key, whatever characters it holds."""
-    return "$['" + field.replace("\\", "\\\\").replace("'", "\\'") + "']"
+    """JSON path of a top-level key; it may hold dots, spaces and one kind of quotes."""
+    quote = '"' if "'" in field else "'"
+    if quote in field:
+        raise ValueError(f"unusable field name: {field}")
+    return f"$[{quote}{field}{quote}]"
 
 
 def _once(column: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from postloom.functions.text import terms
 from postloom.operators.joins import BROADCAST_BYTES, HOT_FLOOR, lookup_join
-from postloom.session import materialize
+from postloom.session import written
 
 
 def term_counts(docs: DataFrame, id_col: str = "id", text: str = "text_clean") -> DataFrame:
@@ -28,9 +28,9 @@ def smooth_idf(frequencies: DataFrame, n_docs: int) -> DataFrame:
     return frequencies.withColumn("idf", idf)
 
 
-def fit_idf(docs: DataFrame, text: str = "text_clean") -> DataFrame:
-    """The idf table of a corpus, computed once into a materialized table."""
-    return materialize(smooth_idf(doc_freq(docs, text), docs.count()))
+def fit_idf(docs: DataFrame, text: str = "text_clean", n_docs: int | None = None) -> DataFrame:
+    """The idf table of a corpus, computed once and written down."""
+    return written(smooth_idf(doc_freq(docs, text), docs.count() if n_docs is None else n_docs), "idf")
 
 
 def vocabulary(docs: DataFrame, text: str = "text_clean") -> DataFrame:

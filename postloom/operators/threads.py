@@ -126,10 +126,10 @@ def _double(state: DataFrame, pending: DataFrame, floor: int) -> DataFrame:
     on = ["post_id", "above"]
     if not hot.isEmpty():
         # a comment with very many replies: spread its replies, repeat its own row per salt
-        salts = F.coalesce(F.col("_salts"), F.lit(1))
+        salts = F.coalesce(F.col("_salts"), F.lit(1)).cast("bigint")
         pending = pending.join(F.broadcast(hot), on, "left").withColumn("_salt", F.pmod(F.xxhash64("id"), salts))
         upper = upper.join(F.broadcast(hot), on, "left").withColumn(
-            "_salt", F.explode(F.sequence(F.lit(0), salts - 1)).cast("bigint")
+            "_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), salts - 1))
         )
         on = [*on, "_salt"]
     moved = pending.join(upper, on).select(

@@ -16,7 +16,7 @@ from postloom.plans import settings as S
 from postloom.plans import train
 from postloom.plans import views as V
 from postloom.plans.preprocess import clean_text
-from postloom.session import configure, materialize, scratch_folder, written
+from postloom.session import configure, scratch_folder, written
 from postloom.sources.tables import read_stored
 from postloom.streaming.ingest import ingest_stream
 from postloom.streaming.score import stream_predictions
@@ -332,7 +332,7 @@ def _saved_model(spark, sf_dir):
     """A naive Bayes model with its cleaning, saved and loaded again, and the raw validation texts."""
     raw = _dataset(spark, sf_dir)
     words = written(lemmas.vocabulary(_shortened(spark, sf_dir)), "words")
-    table = materialize(lemmas.lemma_table(words))
+    table = written(lemmas.lemma_table(words), "lemmas")
     rows = train.prepare(clean_text(raw, lemmas=table))
     model = train.fit_one(rows.where("NOT is_valid").drop("is_valid"), "nb", {"var_smoothing": [S.BAYES_SMOOTHING]})
     folder = scratch_folder(spark, "model")

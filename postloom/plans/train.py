@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, OneVsRest, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import IndexToString, StringIndexer, StringIndexerModel
-from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
+from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,20 +66,32 @@ def build_pipeline(kind: str, rows: int = 1, grid: dict[str, list] | None = None
 
 
 class FoldedValidator(CrossValidator):
-    """A CrossValidator whose vectorizer is fitted once per fold and not once per parameter set."""
+    """A CrossValidator whose vectorizer is fitted once per fold and not once per parameter set.
+
+    Vectorizing belongs to training, so every fold fits its own vectorizer on its training rows.
+    """
 
     vectorizer: SmoothTfidf | None = None
 
-    def _kFold(self, dataset: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
-        fold = F.col(self.getFoldCol())
-        pairs = []
-        for number in range(self.getNumFolds()):
-            train, valid = dataset.where(fold != number), dataset.where(fold == number)
-            if self.vectorizer is not None:
-                fitted = self.vectorizer.fit(train)
-                train, valid = fitted.transform(train), fitted.transform(valid)
-            pairs.append((train, valid))
-        return pairs
+    def scores(self, dataset: DataFrame) -> list[float]:
+        """Mean of the metric per parameter map, without the final fit on all rows."""
+        maps, folds = self.getEstimatorParamMaps(), self.getNumFolds()
+        estimator, evaluator = self.getEstimator(), self.getEvaluator()
+        fold, totals = F.col(self.getFoldCol()), [0.0] * len(maps)
+        with ThreadPool(min(self.getParallelism(), len(maps))) as pool:
+            for number in range(folds):
+                fitted = self.vectorizer.fit(dataset.where(fold != number))
+                train = fitted.transform(dataset.where(fold != number)).persist()
+                valid = fitted.transform(dataset.where(fold == number)).persist()
+
+                def one(index: int) -> float:
+                    return evaluator.evaluate(estimator.fit(train, maps[index]).transform(valid))
+
+                for index, score in enumerate(pool.map(inheritable_thread_target(dataset.sparkSession)(one), range(len(maps)))):
+                    totals[index] += score / folds
+                train.unpersist()
+                valid.unpersist()
+        return totals
 
 
 @dataclass
@@ -129,9 +143,26 @@ def tune(
     rows = written(sampling.stratified_folds(indexed, "id", "label_post", folds, seed), "folds")
     pipeline, maps = build_pipeline(kind, rows.count(), grid)
     *front, classifier = pipeline.getStages()
-    fitted = [stage.fit(rows) for stage in front]
-    ready = PipelineModel(fitted).transform(rows) if fitted else rows
-    spare = [name for name in ready.columns if name.startswith("features")]
+    if kind == "nb":
+        values = [next(iter(params.values())) for params in maps]
+        means = bayes.cross_validate_bayes(rows, "label", values, folds, parallelism=parallelism).collect()
+        metrics = [row.score for row in sorted(means, key=lambda row: row.grid_index)]
+    else:
+        metrics = _search(front[0], classifier, maps, rows, folds, seed, parallelism)
+    best = max(range(len(maps)), key=lambda index: (metrics[index], -index))
+    fitted = pipeline.fit(rows, maps[best])
+    texts = [{param.name: value for param, value in params.items()} for params in maps]
+    scores = spark.createDataFrame(
+        [(index, str(text), float(score)) for index, (text, score) in enumerate(zip(texts, metrics))],
+        "grid_index int, params string, score double",
+    )
+    return Tuned(PipelineModel([*fitted.stages, _label_names(indexer)]), scores, texts[best])
+
+
+def _search(
+    vectorizer: SmoothTfidf, classifier, maps: list[dict], rows: DataFrame, folds: int, seed: int, parallelism: int
+) -> list[float]:
+    """Mean accuracy per parameter map."""
     search = FoldedValidator(
         estimator=classifier,
         estimatorParamMaps=maps,
@@ -141,31 +172,8 @@ def tune(
         parallelism=parallelism,
         seed=seed,
     )
-    if front:
-        search.vectorizer = _Revectorize(front[0], spare)
-    found: CrossValidatorModel = search.fit(ready)
-    model = PipelineModel([*fitted, found.bestModel, _label_names(indexer)])
-    texts = [{param.name: value for param, value in params.items()} for params in maps]
-    best = max(range(len(maps)), key=lambda index: (found.avgMetrics[index], -index))
-    scores = spark.createDataFrame(
-        [(index, str(text), float(score)) for index, (text, score) in enumerate(zip(texts, found.avgMetrics))],
-        "grid_index int, params string, score double",
-    )
-    return Tuned(model, scores, texts[best])
-
-
-class _Revectorize:
-    """Fits a vectorizer on rows that already carry the columns of another one."""
-
-    def __init__(self, vectorizer: SmoothTfidf, spare: list[str]):
-        self.vectorizer, self.spare = vectorizer, spare
-
-    def fit(self, rows: DataFrame) -> _Revectorize:
-        self.model = self.vectorizer.fit(rows.drop(*self.spare))
-        return self
-
-    def transform(self, rows: DataFrame) -> DataFrame:
-        return self.model.transform(rows.drop(*self.spare))
+    search.vectorizer = vectorizer
+    return search.scores(rows)
 
 
 def best_scores(scores: DataFrame) -> DataFrame:

@@ -44,7 +44,7 @@ def _line_batches(path: str) -> Iterator[list[str]]:
 
     system, location = fs.FileSystem.from_uri(path)
     decoder = zstandard.ZstdDecompressor(max_window_size=MAX_WINDOW)
-    with system.open_input_stream(location) as raw, decoder.stream_reader(raw, read_across_frames=True) as stream:
+    with system.open_input_stream(location, compression=None) as raw, decoder.stream_reader(raw, read_across_frames=True) as stream:
         rest: list[bytes] = []
         while chunk := stream.read(CHUNK):
             head, newline, tail = chunk.rpartition(b"\n")

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postloom.operators.joins import BROADCAST_BYTES, HOT_FLOOR, lookup_join
-from postloom.operators.tfidf import fit_idf, tfidf
+from postloom.operators.tfidf import fit_idf, term_counts, tfidf
 from postloom.session import written
 
 SMOOTHING = [1e-9, 1e-8, 1e-7]
@@ -42,13 +42,12 @@ def fit_bayes(docs: DataFrame, label: str, id_col: str = "id", text: str = "text
         raise ValueError(f"more than {MAX_CLASSES} classes")
     labels, sizes = [row[label] for row in rows], [row.n for row in rows]
     idf = fit_idf(docs, text, sum(sizes))
-    # the label travels with the id so that weights need no join with the documents afterwards
-    keyed = docs.select(F.struct(F.col(id_col), F.col(label).alias("label")).alias("doc"), text)
-    weights = tfidf(keyed, idf, "doc", text)
+    # the label travels with the words, so the weights need no join with the documents afterwards
+    weights = tfidf(docs, idf, id_col, text, (label,))
     w = F.col("weight")
     sums: list[Column] = []
     for index, name in enumerate(labels):
-        mine = F.when(F.col("doc.label") == name, w)
+        mine = F.when(F.col(label) == name, w)
         sums += [
             F.coalesce(F.sum(mine), F.lit(0.0)).alias(f"s1_{index}"),
             F.coalesce(F.sum(mine * mine), F.lit(0.0)).alias(f"s2_{index}"),
@@ -109,18 +108,23 @@ def predict_bayes(
     factors = written(
         fit.terms.select("term", "df", "idf", *[changes[name].alias(name) for name in names]), "factors"
     )
-    weights = tfidf(docs, factors, id_col, text, broadcast_bytes, floor)
-    counts = factors.select("term", F.col("df").alias("n"))
-    scored = lookup_join(
-        weights, factors.drop("df", "idf"), "term", id_col, "inner", counts, broadcast_bytes, floor
+    words = lookup_join(
+        term_counts(docs, id_col, text), factors, "term", id_col, "inner",
+        factors.select("term", F.col("df").alias("n")), broadcast_bytes, floor,
     )
-    w = F.col("weight")
-    per_doc = scored.groupBy(id_col).agg(
+    # a weight is tf * idf over the length of the document, and the length comes out of the sums
+    raw = F.col("tf") * F.col("idf")
+    per_doc = words.groupBy(id_col).agg(
+        F.sum(raw * raw).alias("q"),
+        *[F.sum(raw * F.col(name) if name.startswith("a") else raw * raw * F.col(name)).alias(name) for name in names],
+    )
+    per_doc = per_doc.select(
+        id_col,
         *[
-            F.sum(w * F.col(f"a_{s}_{i}") - w * w * F.col(f"b_{s}_{i}")).alias(f"d_{s}_{i}")
+            (F.col(f"a_{s}_{i}") / F.sqrt("q") - F.col(f"b_{s}_{i}") / F.col("q")).alias(f"d_{s}_{i}")
             for s in range(len(smoothing))
             for i in range(k)
-        ]
+        ],
     )
     everyone = docs.select(id_col).join(per_doc, id_col, "left")
     return everyone.select(

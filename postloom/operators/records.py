@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from postloom.functions import fields
 from postloom.functions.text import parse_values
+from postloom.operators.joins import BROADCAST_BYTES, table_bytes
 
 OK = "ok"
 POST_FIELDS = ["id", "author", "title", "created_utc", "selftext", "subreddit", "link_flair_text", "permalink",
@@ -168,5 +169,13 @@ def keep_first(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
 
 
 def not_stored(rows: DataFrame, stored: DataFrame, key: str) -> DataFrame:
-    """Rows whose key is not in the stored table; only the key column of that table is read."""
-    return rows.join(stored.select(key), key, "left_anti")
+    """Rows whose key is not in the stored table; only the key column of that table is read.
+
+    `rows` should be a written table. If its keys are small enough to broadcast, the stored keys
+    are looked through where they are instead of being shuffled for every batch.
+    """
+    keys = rows.select(key)
+    known = stored.select(key)
+    if table_bytes(keys) <= BROADCAST_BYTES:
+        known = known.join(F.broadcast(keys), key, "left_semi")
+    return rows.join(known, key, "left_anti")

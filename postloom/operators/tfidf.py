@@ -10,10 +10,16 @@ from postloom.operators.joins import BROADCAST_BYTES, HOT_FLOOR, lookup_join
 from postloom.session import written
 
 
-def term_counts(docs: DataFrame, id_col: str = "id", text: str = "text_clean") -> DataFrame:
-    """`(id, term, tf)`; documents are placed by id once, the later steps need no other shuffle."""
-    words = docs.select(id_col, text).repartition(F.col(id_col)).select(id_col, F.explode(terms(F.col(text))).alias("term"))
-    return words.groupBy(id_col, "term").agg(F.count("*").alias("tf"))
+def term_counts(
+    docs: DataFrame, id_col: str = "id", text: str = "text_clean", carry: tuple[str, ...] = ()
+) -> DataFrame:
+    """`(id, term, tf)` plus the small columns in `carry`.
+
+    Documents are placed by id once; whatever groups by document afterwards needs no other shuffle.
+    """
+    words = docs.select(id_col, *carry, text).repartition(F.col(id_col))
+    words = words.select(id_col, *carry, F.explode(terms(F.col(text))).alias("term"))
+    return words.groupBy(id_col, *carry, "term").agg(F.count("*").alias("tf"))
 
 
 def doc_freq(docs: DataFrame, text: str = "text_clean") -> DataFrame:
@@ -43,21 +49,22 @@ def tfidf(
     idf: DataFrame,
     id_col: str = "id",
     text: str = "text_clean",
+    carry: tuple[str, ...] = (),
     broadcast_bytes: int = BROADCAST_BYTES,
     floor: int = HOT_FLOOR,
 ) -> DataFrame:
-    """`(id, term, weight)`: tf times idf, scaled to length one per document.
+    """`(id, term, weight)` plus `carry`: tf times idf, scaled to length one per document.
 
     Terms the idf table does not know are ignored, as for texts the model was not fitted on.
     """
-    counts = term_counts(docs, id_col, text)
+    counts = term_counts(docs, id_col, text, carry)
     known = lookup_join(
         counts, idf.select("term", "idf"), "term", id_col, "inner",
         idf.select("term", F.col("df").alias("n")), broadcast_bytes, floor,
     )
     raw = F.col("tf") * F.col("idf")
     length = F.sqrt(F.sum(raw * raw).over(Window.partitionBy(id_col)))
-    return known.select(id_col, "term", (raw / length).alias("weight"))
+    return known.select(id_col, *carry, "term", (raw / length).alias("weight"))
 
 
 def wide_matrix(weights: DataFrame, top: int, id_col: str = "id") -> DataFrame:

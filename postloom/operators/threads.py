@@ -13,7 +13,8 @@ from postloom.session import materialize, written
 
 def keeps(author: Column, body: Column) -> Column:
     """Nodes that stay: they have a body and are not written by the excluded author."""
-    return body.isNotNull() & (F.coalesce(author, F.lit("")) != C.EXCLUDED_AUTHOR)
+    names = [C.EXCLUDED_AUTHOR, C.AUTHOR_PREFIX + C.EXCLUDED_AUTHOR]  # raw, and as stored
+    return body.isNotNull() & ~F.coalesce(author, F.lit("")).isin(names)
 
 
 def flatten_listings(listings: DataFrame, post_id: str = "post_id", value: str = "value") -> DataFrame:

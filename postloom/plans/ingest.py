@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from postloom import constants as C
 from postloom import schemas
 from postloom.functions.names import entity_of
-from postloom.operators import records
-from postloom.session import configure, scratch_folder
+from postloom.operators import records, threads
+from postloom.session import configure, scratch_folder, written
 from postloom.sources import manifest as M
 from postloom.sources.dumps import list_dumps, read_lines
 from postloom.sources.tables import read_stored, write_batch
@@ -66,7 +66,7 @@ def store(
 
 def _append(rows: DataFrame, path: str, batch_id: str, schema) -> None:
     stored = read_stored(rows.sparkSession, path, schema).where(F.col("batch_id") != batch_id)
-    first = records.keep_first(rows, "id", ["created_utc", "path"]).drop("path")
+    first = written(records.keep_first(rows, "id", ["created_utc", "path"]).drop("path"), "first")
     write_batch(records.not_stored(first, stored, "id"), path, batch_id, "created_utc")
 
 
@@ -120,3 +120,9 @@ def ingest(
 def totals(manifest: DataFrame) -> DataFrame:
     """Run totals over the manifest."""
     return records.run_totals(manifest.withColumn("bytes_processed", F.when(F.col("complete"), F.col("file_size")).otherwise(0)))
+
+
+def comment_threads(spark: SparkSession, output: str, max_depth: int | None = None) -> DataFrame:
+    """Stored comments with their depth, without excluded ones and the replies below them."""
+    comments = read_stored(spark, f"{output}/comments", schemas.COMMENTS).select(schemas.COMMENTS.names)
+    return threads.thread_depth(comments, max_depth, threads.keeps(F.col("author"), F.col("body")))

@@ -39,15 +39,15 @@ def read_jdbc(spark: SparkSession, url: str, table: str, properties: dict | None
 def write_batch(rows: DataFrame, path: str, batch_id: str, month_of: str | None = None) -> None:
     """Write one batch of a table. Writing a batch again replaces it, so a replay changes nothing.
 
-    `month_of` names a timestamp column whose month becomes a partition folder; rows are gathered
-    by month before the write only as far as the writer's own sort does it.
+    `month_of` names a timestamp column whose month becomes a partition folder. Rows are rebalanced
+    by month first: adaptive execution merges small months into one file and splits large ones.
     """
     target = f"{path}/batch_id={batch_id}"
     if month_of is None:
         rows.write.mode("overwrite").parquet(target)
         return
     month = F.coalesce(F.date_format(month_of, "yyyy-MM"), F.lit("none"))
-    rows.withColumn("month", month).write.mode("overwrite").partitionBy("month").parquet(target)
+    rows.withColumn("month", month).hint("rebalance", "month").write.mode("overwrite").partitionBy("month").parquet(target)
 
 
 def stream_batch_id(batch: DataFrame, number: int) -> str:

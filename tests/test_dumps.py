@@ -101,6 +101,7 @@ def test_ingest(spark, folder, tmp_path):
     assert posts.where("id = 'p1'").first().title is None  # of two equal times the first file wins
     comments = read_stored(spark, f"{out}/comments", schemas.COMMENTS)
     assert sorted((r.id, r.depth) for r in threads.thread_depth(comments).collect()) == [("c1", 0), ("c2", 1)]
+    assert ids(I.comment_threads(spark, out, 0)) == ["c1"] and ids(I.comment_threads(spark, out)) == ["c1", "c2"]
     assert sorted(r.line_status for r in spark.read.parquet(f"{out}/rejects").collect()) == ["bad_json", "missing_field", "not_object"]
     total = I.totals(manifest.read_manifest(spark, out)).first()
     assert (total.files, total.lines_processed, total.lines_matched, total.error_lines, total.files_done, total.files_failed) == (4, 12, 7, 3, 4, 0)

@@ -23,15 +23,19 @@ def table_bytes(df: DataFrame) -> int:
     return df.agg(F.sum(width)).first()[0] or 0
 
 
-def hot_keys(rows: DataFrame, on: list[str], floor: int = HOT_FLOOR) -> DataFrame:
-    """Keys holding at least 1/1000 of all rows, with the number of salts each needs.
+def hot_keys(counts: DataFrame, on: list[str], floor: int = HOT_FLOOR) -> DataFrame | None:
+    """Keys holding at least 1/1000 of all rows with the number of salts each needs, or None.
 
-    `rows` has the key columns and `n`, the number of rows per key. At most 1000 keys can hold
-    1/1000 of the rows, so the result has a fixed bound whatever the data.
+    `counts` has the key columns and `n`, the number of rows per key. At most 1000 keys can hold
+    1/1000 of the rows, so the result has a fixed bound whatever the data. A key with fewer than
+    `floor` rows is never hot.
     """
-    total = rows.agg(F.sum("n")).first()[0] or 0
-    limit = max(total / HOT_FRACTION, floor)
-    return rows.where(F.col("n") >= limit).select(*on, F.ceil(F.col("n") / limit).cast("int").alias("_salts"))
+    total, most = counts.agg(F.sum("n"), F.max("n")).first()
+    limit = max((total or 0) / HOT_FRACTION, floor)
+    if (most or 0) < limit:
+        return None
+    salts = F.ceil(F.col("n") / limit).cast("int")
+    return materialize(counts.where(F.col("n") >= limit).select(*on, salts.alias("_salts")))
 
 
 def lookup_join(
@@ -56,8 +60,8 @@ def lookup_join(
         return rows.join(F.broadcast(table), on, how)
     if counts is None:
         counts = rows.groupBy(*on).agg(F.count("*").alias("n"))
-    hot = materialize(hot_keys(counts, on, floor))
-    if hot.isEmpty():
+    hot = hot_keys(counts, on, floor)
+    if hot is None:
         return rows.join(table, on, how)
     salted_rows = (
         rows.join(F.broadcast(hot), on, "left")

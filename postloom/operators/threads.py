@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from postloom import constants as C
 from postloom.functions import fields
 from postloom.operators.joins import HOT_FLOOR, hot_keys
-from postloom.session import materialize, written
+from postloom.session import written
 
 
 def keeps(author: Column, body: Column) -> Column:
@@ -123,9 +123,9 @@ def _double(state: DataFrame, pending: DataFrame, floor: int) -> DataFrame:
         "post_id", F.col("id").alias("above"), F.col("above").alias("next"), F.col("steps").alias("more")
     )
     counts = pending.groupBy("post_id", "above").agg(F.count("*").alias("n"))
-    hot = materialize(hot_keys(counts, ["post_id", "above"], floor))
     on = ["post_id", "above"]
-    if not hot.isEmpty():
+    hot = hot_keys(counts, on, floor)
+    if hot is not None:
         # a comment with very many replies: spread its replies, repeat its own row per salt
         salts = F.coalesce(F.col("_salts"), F.lit(1)).cast("bigint")
         pending = pending.join(F.broadcast(hot), on, "left").withColumn("_salt", F.pmod(F.xxhash64("id"), salts))

@@ -28,19 +28,23 @@ def _dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dataset.flair_dataset(V.posts(spark, sf_dir), S.DATASET_START, S.DATASET_END, keep=("id",))
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.spread_few_files(_dataset(spark, sf_dir), "id")
+
+
 def _plain(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = X.remove_non_ascii(X.remove_punctuation(X.remove_urls(F.col("text"))))
-    return _dataset(spark, sf_dir).select("id", "label_post", X.tokenize(F.lower(text)).alias("tokens"))
+    return _texts(spark, sf_dir).select("id", "label_post", X.tokenize(F.lower(text)).alias("tokens"))
 
 
 def _shortened(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _dataset(spark, sf_dir).select(
+    return _texts(spark, sf_dir).select(
         "id", "label_post", X.clean_tokens(F.col("text"), C.ENGLISH_STOPWORDS).alias("tokens")
     )
 
 
 def _clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clean_text(_dataset(spark, sf_dir))
+    return clean_text(_texts(spark, sf_dir))
 
 
 def _marked(spark: SparkSession, sf_dir: str) -> DataFrame:

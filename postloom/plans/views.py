@@ -76,3 +76,13 @@ def progress(spark: SparkSession, sf_dir: str) -> DataFrame:
         events, "run", ["ts", "sample_id"], {"bytes_done": F.floor(F.col("value") * 1000).cast("bigint")}, "lines_done"
     )
     return done.select("run", "sample_id", "ts", "bytes_done", "lines_done", "event_type")
+
+
+def spread_few_files(df: DataFrame, by: str) -> DataFrame:
+    """Rows of a table with fewer files than the session has cores, spread over all cores.
+
+    A file with a single row group is one task, whatever follows. Work that is heavy per row is
+    worth a shuffle then; a table of many files is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, F.col(by)) if len(df.inputFiles()) < cores else df

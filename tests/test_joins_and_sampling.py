@@ -26,6 +26,7 @@ def test_hot_keys_need_as_many_salts_as_they_hold_shares(spark):
     counts = spark.createDataFrame([("a", 10_000), ("b", 11), ("c", 3)], "key string, n bigint")
     hot = {r.key: r["_salts"] for r in joins.hot_keys(counts, ["key"], floor=1).collect()}
     assert hot["a"] == 999 and hot["b"] == 2 and "c" not in hot
+    assert joins.hot_keys(counts, ["key"]) is None
 
 
 def test_table_size(spark):

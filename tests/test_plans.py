@@ -23,7 +23,7 @@ def test_no_python_workers_and_no_cross_joins(spark, name):
 
 
 def test_narrow_queries_do_not_shuffle(spark):
-    for name in ("flair_dataset", "record_projection", "remove_urls", "tokenize", "field_filter_any", "comment_projection"):
+    for name in ("flair_dataset", "record_projection", "remove_urls", "remove_punct", "field_filter_any", "comment_projection"):
         assert "Exchange" not in plan(entry.queries()[name](spark, FOLDER))
 
 

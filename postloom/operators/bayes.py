@@ -59,7 +59,8 @@ def fit_bayes(docs: DataFrame, label: str, id_col: str = "id", text: str = "text
     all2 = sum((F.col(f"s2_{i}") for i in range(len(labels))), F.lit(0.0))
     variance = F.greatest(all2 / n - (all1 / n) * (all1 / n), F.lit(0.0))
     top = terms.agg(F.max(variance)).first()[0]
-    return BayesFit(labels, sizes, terms, top or 0.0)
+    # without any variance the smoothing has nothing to scale with, so it stands for itself
+    return BayesFit(labels, sizes, terms, top or 1.0)
 
 
 def _moments(fit: BayesFit, index: int, smoothing: float) -> tuple[Column, Column]:

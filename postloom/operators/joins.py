@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -61,16 +63,21 @@ def lookup_join(
     if counts is None:
         counts = rows.groupBy(*on).agg(F.count("*").alias("n"))
     hot = hot_keys(counts, on, floor)
-    if hot is None:
+    if hot is None and how == "inner":
         return rows.join(table, on, how)
-    salted_rows = (
-        rows.join(F.broadcast(hot), on, "left")
-        .withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(spread_by), F.col("_salts")), F.lit(0)).cast("int"))
-        .drop("_salts")
-    )
-    salted_table = (
-        table.join(F.broadcast(hot), on, "left")
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)))
-        .drop("_salts")
-    )
+    salt = F.lit(0).cast("bigint")
+    salted_rows, salted_table = rows, table.withColumn("_salt", salt)
+    if hot is not None:
+        salted_rows = rows.join(F.broadcast(hot), on, "left")
+        salt = F.coalesce(F.pmod(F.xxhash64(spread_by), F.col("_salts").cast("bigint")), salt)
+        last = F.coalesce(F.col("_salts"), F.lit(1)).cast("bigint") - 1
+        salted_table = (
+            table.join(F.broadcast(hot), on, "left")
+            .withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
+            .drop("_salts")
+        )
+    # rows without a key match nothing, but an outer join would send all of them to one task
+    keyless = reduce(lambda a, b: a | b, [F.col(name).isNull() for name in on])
+    salt = F.when(keyless, F.pmod(F.xxhash64(spread_by), F.lit(HOT_FRACTION).cast("bigint"))).otherwise(salt)
+    salted_rows = salted_rows.withColumn("_salt", salt).drop("_salts")
     return salted_rows.join(salted_table, [*on, "_salt"], how).drop("_salt")

@@ -30,8 +30,8 @@ def running_totals(
     )
     earlier = Window.partitionBy(key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     before = sums.select(
-        key,
-        "_part",
+        F.col(key).alias("_series"),
+        F.col("_part").alias("_at"),
         F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_rows_before"),
         *[F.coalesce(F.sum(f"_sum{name}").over(earlier), F.lit(0)).alias(f"_before{name}") for name in values],
     )
@@ -39,7 +39,7 @@ def running_totals(
     stretch = parts.withColumn("_row", F.row_number().over(here))
     upto = here.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     stretch = stretch.withColumns({f"_run{name}": F.sum(name).over(upto) for name in values})
-    joined = stretch.join(before, [key, "_part"])
+    joined = stretch.join(before, F.col(key).eqNullSafe(F.col("_series")) & (F.col("_part") == F.col("_at")))
     return joined.select(
         *samples.columns,
         (F.col("_row") + F.col("_rows_before")).alias(position),
@@ -117,7 +117,8 @@ def eta(
     left = F.try_divide(F.col("total_bytes") - F.col(size_done), F.floor("avg_speed"))
     return (
         speed.drop("_block", "_extra")
-        .join(totals.select(key, "total_bytes"), key)
+        .join(totals.select(F.col(key).alias("_series"), "total_bytes"), F.col(key).eqNullSafe(F.col("_series")))
+        .drop("_series")
         .withColumn("seconds_left", F.floor(left).cast("bigint"))
     )
 

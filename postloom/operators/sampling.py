@@ -39,15 +39,15 @@ def ranked(
     sizes = keyed.groupBy(label, "_bucket").agg(F.count("*").alias("_n"))
     by_label = Window.partitionBy(label)
     offsets = sizes.select(
-        label,
-        "_bucket",
+        F.col(label).alias("_label"),
+        F.col("_bucket").alias("_of"),
         (F.sum("_n").over(by_label.orderBy("_bucket")) - F.col("_n")).alias("_before"),
         F.sum("_n").over(by_label).alias("label_rows"),
     )
     within = F.row_number().over(Window.partitionBy(label, "_bucket").orderBy("_key"))
     return (
         keyed.withColumn("_within", within)
-        .join(offsets, [label, "_bucket"])
+        .join(offsets, F.col(label).eqNullSafe(F.col("_label")) & (F.col("_bucket") == F.col("_of")))
         .withColumn("rank", F.col("_before") + F.col("_within"))
         .select(*df.columns, "rank", "label_rows")
     )

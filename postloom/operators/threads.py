@@ -84,7 +84,7 @@ def thread_depth(
     depth d takes log2(d) joins instead of d.
     """
     columns = [name for name in comments.columns if name != "depth"]
-    base = comments.select(*columns)
+    base = comments.select(*columns).where("post_id IS NOT NULL AND parent_id IS NOT NULL")
     if keep is not None:
         base = base.where(keep)
     if max_depth is not None and max_depth < 0:

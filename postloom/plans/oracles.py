@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from postloom import constants as C
+from postloom.operators.bayes import SMOOTHING
 from postloom.plans import views as V
 from postloom.plans.settings import (
     CUSTOM_STOPWORDS,
     DATASET_END,
     DATASET_START,
     EVENT_VALUES,
+    FOLDS,
     LINE_VALUE,
     MAX_DEPTH,
     MONTH_END,
@@ -232,11 +234,53 @@ FROM split s CROSS JOIN base b LEFT JOIN changes c ON c.id = s.id AND c.label_po
     )
 
 
+def _bayes_grid(smoothing: list[float], folds: int) -> str:
+    values = ", ".join(f"({i}, {v!r})" for i, v in enumerate(smoothing))
+    return (
+        _with(
+            *TO_CLEAN, TERMS, _ranked("clean"), SPLIT,
+            ("train", "SELECT id, label_post FROM split WHERE NOT is_valid"),
+            ("dealt", f"SELECT id, label_post, (row_number() OVER (PARTITION BY label_post ORDER BY md5('{SEED}:' || id), id) - 1) % {folds} AS fold FROM train"),
+            ("f", f"SELECT unnest(range({folds})) AS f"),
+            ("s", f"SELECT * FROM (VALUES {values}) AS t(grid_index, smoothing)"),
+            ("n_docs", "SELECT f, count(*) AS n FROM dealt JOIN f ON fold <> f GROUP BY f"),
+            ("classes", "SELECT f, label_post, count(*) AS nc FROM dealt JOIN f ON fold <> f GROUP BY 1, 2"),
+            ("freq", "SELECT f, term, count(*) AS df FROM terms JOIN dealt USING (id) JOIN f ON fold <> f GROUP BY 1, 2"),
+            ("idf", "SELECT f, term, ln((1.0 + n) / (1.0 + df)) + 1.0 AS idf FROM freq JOIN n_docs USING (f)"),
+            ("weights", """
+SELECT i.f, id, term, label_post, fold = i.f AS held, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY i.f, id)) AS w
+FROM terms JOIN dealt USING (id) JOIN idf i USING (term)"""),
+            ("sums", "SELECT f, label_post, term, sum(w) AS s1, sum(w * w) AS s2 FROM weights WHERE NOT held GROUP BY 1, 2, 3"),
+            ("top", """
+SELECT f, max(v) AS v FROM (SELECT f, greatest(sum(s2) / any_value(n) - pow(sum(s1) / any_value(n), 2), 0) AS v
+ FROM sums JOIN n_docs USING (f) GROUP BY f, term) GROUP BY f"""),
+            ("grid", """
+SELECT i.f, grid_index, c.label_post, i.term, coalesce(s1, 0) / nc AS m,
+ greatest(coalesce(s2, 0) / nc - pow(coalesce(s1, 0) / nc, 2), 0) + smoothing * top.v AS v
+FROM idf i JOIN classes c ON c.f = i.f JOIN top ON top.f = i.f CROSS JOIN s
+LEFT JOIN sums ON sums.f = i.f AND sums.label_post = c.label_post AND sums.term = i.term"""),
+            ("base", """
+SELECT g.f, grid_index, g.label_post, ln(any_value(nc) / any_value(n)) + sum(-0.5 * ln(2 * pi() * v) - 0.5 * m * m / v) AS b
+FROM grid g JOIN classes c ON c.f = g.f AND c.label_post = g.label_post JOIN n_docs d ON d.f = g.f GROUP BY 1, 2, 3"""),
+            ("changes", """
+SELECT w.f, w.id, grid_index, g.label_post, sum((w.w * g.m - 0.5 * w.w * w.w) / g.v) AS d
+FROM weights w JOIN grid g ON g.f = w.f AND g.term = w.term WHERE held GROUP BY 1, 2, 3, 4"""),
+            ("scores", """
+SELECT t.fold AS f, t.id, b.grid_index, t.label_post AS label, b.label_post AS candidate, b.b + coalesce(c.d, 0) AS score
+FROM dealt t JOIN base b ON b.f = t.fold
+LEFT JOIN changes c ON c.id = t.id AND c.grid_index = b.grid_index AND c.label_post = b.label_post"""),
+            ("best", "SELECT *, row_number() OVER (PARTITION BY id, grid_index ORDER BY score DESC, candidate) AS rn FROM scores"),
+            ("per_fold", "SELECT f, grid_index, avg(cast(label = candidate AS int)) AS a FROM best WHERE rn = 1 GROUP BY 1, 2"),
+        )
+        + "SELECT cast(grid_index AS int) AS grid_index, round(avg(a), 6) AS score FROM per_fold GROUP BY grid_index"
+    )
+
+
 def oracle_sql() -> dict[str, str]:
     queries = {
         "flair_dataset": _with(POSTS, DATASET) + "SELECT id, text, label_post FROM dataset",
         "label_counts": _with(POSTS, DATASET, PLAIN, SHORTENED)
-        + "SELECT label_post, count(*) AS posts, sum(len(tokens)) AS words FROM shortened GROUP BY label_post",
+        + "SELECT label_post, count(*) AS posts, cast(sum(len(tokens)) AS bigint) AS words FROM shortened GROUP BY label_post",
         "field_filter_contains": _with(POSTS)
         + f"SELECT {_POST_COLUMNS} FROM posts WHERE contains(lower(subreddit), lower('{POST_VALUE}'))",
         "field_filter_any": "SELECT event_id, user_id, event_type, value FROM events "
@@ -312,6 +356,7 @@ SELECT run, sample_id, round(avg_speed, 6) AS avg_speed, cast(floor((total - byt
         "stratified_folds": _with(POSTS, DATASET, _ranked("dataset"))
         + "SELECT id, label_post, cast((rank - 1) % 10 AS int) AS fold FROM ranked",
         "gaussian_nb_predict": _bayes(1e-7),
+        "grid_scores": _bayes_grid(SMOOTHING, FOLDS),
         "predict_batch": _bayes(1e-7),
         "predict_stream": _bayes(1e-7),
         "confusion_counts": _with(_PAIRS, _COUNTS) + "SELECT label, prediction, n FROM counts",

@@ -117,9 +117,10 @@ def incremental_files(spark, sf_dir):
     lines = V.lines(spark, sf_dir)
     month = names.month_of(F.col("file_name"))
     done = lines.where((month != "") & (month < S.MONTH_START)).select("file_name").distinct()
-    marked = records.mark_matches(records.parse_lines(lines), S.LINE_VALUE)
-    # one row per file on the right; adaptive execution broadcasts it by its measured size
-    return marked.join(done, "file_name", "left_anti").select("event_id", "file_name", "line_status", "matched")
+    # one row per file on the right; lines of completed files are dropped before they are parsed
+    fresh = lines.join(done, "file_name", "left_anti")
+    marked = records.mark_matches(records.parse_lines(fresh), S.LINE_VALUE)
+    return marked.select("event_id", "file_name", "line_status", "matched")
 
 
 def dedup_keep_first(spark, sf_dir):
@@ -204,7 +205,7 @@ def remove_non_ascii(spark, sf_dir):
 
 
 def tokenize(spark, sf_dir):
-    return _plain(spark, sf_dir).select("id", X.join_tokens(F.col("tokens")).alias("tokens"), F.size("tokens").alias("n"))
+    return _plain(spark, sf_dir).select("id", X.join_tokens(F.col("tokens")).alias("tokens"), F.size("tokens").cast("bigint").alias("n"))
 
 
 def remove_stopwords(spark, sf_dir):
@@ -329,7 +330,8 @@ def svm_predict(spark, sf_dir):
 def grid_scores(spark, sf_dir):
     """Mean accuracy per smoothing value over stratified folds of the training rows."""
     rows, _ = _training(spark, sf_dir)
-    return train.tune(rows, "nb", {"var_smoothing": bayes.SMOOTHING}, folds=S.FOLDS).scores
+    tuned = train.tune(rows, "nb", {"var_smoothing": bayes.SMOOTHING}, folds=S.FOLDS, parallelism=4)
+    return tuned.scores.select("grid_index", F.round("score", 6).alias("score"))
 
 
 def _saved_model(spark, sf_dir):

@@ -204,6 +204,12 @@ def predict(
     )
 
 
+def predict_texts(spark: SparkSession, model: PipelineModel, texts: list[str]) -> DataFrame:
+    """Predictions for a handful of texts given as a list, as `(text, prediction)` rows."""
+    rows = spark.createDataFrame([(str(n), text) for n, text in enumerate(texts)], "id string, text string")
+    return predict(model, rows)
+
+
 def train_and_evaluate(
     spark: SparkSession,
     dataset: DataFrame,

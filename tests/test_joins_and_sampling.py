@@ -12,7 +12,7 @@ def rows_of(df):
 
 @pytest.mark.parametrize("how", ["inner", "left"])
 def test_lookup_join_with_a_hot_key(spark, how):
-    keys = ["hot"] * 700 + [f"k{i % 50}" for i in range(300)] + ["missing"] * 5
+    keys = ["hot"] * 700 + [f"k{i % 50}" for i in range(300)] + ["missing"] * 5 + [None] * 40
     rows = spark.createDataFrame([(i, key) for i, key in enumerate(keys)], "id int, key string").repartition(6)
     table = spark.createDataFrame([("hot", 1)] + [(f"k{i}", i) for i in range(50)], "key string, v int")
     expected = rows_of(rows.join(table, "key", how).select("id", "key", "v"))
@@ -64,6 +64,13 @@ def test_split_and_folds(labelled, per_bucket):
         assert {r.id: r.fold for r in folds} == {i: (rank - 1) % 10 for i, (rank, _) in ranks.items()}
 
 
+def test_rows_without_a_label_are_kept(spark):
+    df = spark.createDataFrame([(str(i), None if i % 3 else "x") for i in range(30)], "id string, label string")
+    folds = sampling.stratified_folds(df, "id", "label", 4, per_bucket=2).collect()
+    assert len(folds) == 30 and {r.fold for r in folds if r.label is None} == {0, 1, 2, 3}
+    assert sampling.stratified_split(df, "id", "label").count() == 30
+
+
 def test_split_does_not_shuffle_the_rows(labelled):
     plan = sampling.stratified_split(labelled, "id", "label")._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan

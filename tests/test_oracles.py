@@ -11,7 +11,7 @@ import __spark_entry__ as entry
 
 FOLDER = "/root/testdata/sf0.001"
 SQL = entry.oracle_sql()
-SLOW = {"rf_predict", "svm_predict", "grid_scores"}
+SLOW = {"rf_predict", "svm_predict"}
 
 
 @pytest.fixture(scope="module")

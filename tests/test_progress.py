@@ -63,9 +63,11 @@ def test_blocks_shorter_than_the_look_back_are_refused(spark):
 
 def test_running_totals(spark):
     rng = random.Random(1)
-    rows = [("hot" if rng.random() < 0.8 else f"r{rng.randrange(9)}", rng.randrange(40), i, rng.randrange(100)) for i in range(900)]
+    rows = [("hot" if rng.random() < 0.8 else rng.choice(["r1", "r2", "", "r4"]), rng.randrange(40), i, rng.randrange(100)) for i in range(900)]
     df = spark.createDataFrame(rows, "run string, t int, id int, v bigint").repartition(7)
+    df = df.withColumn("run", F.nullif("run", F.lit("")))
     out = progress.running_totals(df, "run", ["t", "id"], {"total": F.col("v"), "double": F.col("v") * 2}, "position")
+    out = out.na.fill("", ["run"])
     seen = {}
     for run, _, id_, v in sorted(rows):
         total, position = seen.get(run, (0, 0, 0))[:2]

@@ -35,6 +35,7 @@ def forest(seed, n=400, posts=3):
         kin.append(f"c{i}")
     rows += [(f"d{i}", "p1", f"d{i - 1}" if i else "p1", "x", "t") for i in range(60)]
     rows += [("o1", "p0", "gone", "x", "t"), ("o2", "p0", "o1", "x", "t")]  # no way up
+    rows += [("n1", "p0", None, "x", "t"), ("n2", "p0", "n1", "x", "t")]
     rows += [("k1", "p1", "k2", "x", "t"), ("k2", "p1", "k1", "x", "t")]  # a cycle
     rng.shuffle(rows)
     return rows

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 
 from pyspark import keyword_only
-from pyspark.ml import Estimator, Model, PipelineModel, Transformer
+from pyspark.ml import Estimator, Model, Pipeline, PipelineModel, Transformer
 from pyspark.ml.feature import CountVectorizer, ElementwiseProduct, IDF, Normalizer, RegexTokenizer
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.param import Param, Params, TypeConverters
@@ -54,6 +54,51 @@ class TextCleaner(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable,
         return dataset.withColumn(self.getOutputCol(), X.join_tokens(tokens))
 
 
+class TextStage(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
+    """One cleaning stage by name, from text to text, to be chained as needed."""
+
+    NAMES = ("urls", "punctuation", "non_ascii", "stopwords", "short_words")
+
+    stage = Param(Params._dummy(), "stage", "what the stage removes", TypeConverters.toString)
+    minLength = Param(Params._dummy(), "minLength", "shortest word that is kept", TypeConverters.toInt)
+    stopwords = Param(Params._dummy(), "stopwords", "words to remove", TypeConverters.toListString)
+
+    @keyword_only
+    def __init__(self, stage="urls", inputCol="text", outputCol="text", minLength=3, stopwords=None):
+        super().__init__()
+        self._setDefault(stage="urls", inputCol="text", outputCol="text", minLength=3, stopwords=C.ENGLISH_STOPWORDS)
+        if stage not in self.NAMES:
+            raise ValueError(f"unknown stage: {stage}")
+        self._set(**{key: value for key, value in self._input_kwargs.items() if value is not None})
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        text, stage = F.coalesce(F.col(self.getInputCol()), F.lit("")), self.getOrDefault(self.stage)
+        if stage == "urls":
+            text = X.remove_urls(text)
+        elif stage == "punctuation":
+            text = X.remove_punctuation(text)
+        elif stage == "non_ascii":
+            text = X.remove_non_ascii(text)
+        elif stage == "stopwords":
+            text = X.join_tokens(X.remove_stopwords(X.tokenize(F.lower(text)), self.getOrDefault(self.stopwords)))
+        else:
+            text = X.join_tokens(X.remove_short(X.tokenize(text), self.getOrDefault(self.minLength)))
+        return dataset.withColumn(self.getOutputCol(), text)
+
+
+def cleaning_stages(
+    min_length: int = 3, stopwords: list[str] | None = None, column: str = "text", dictionary: DataFrame | None = None
+) -> Pipeline:
+    """The six cleaning stages in their fixed order, each on its own; `TextCleaner` is the first five in one."""
+    words = C.ENGLISH_STOPWORDS if stopwords is None else stopwords
+    stages = [
+        TextStage(stage=name, inputCol=column, outputCol=column, minLength=min_length, stopwords=words)
+        for name in TextStage.NAMES
+    ]
+    lemmas = NounLemmas(dictionary)
+    return Pipeline(stages=[*stages, lemmas._set(inputCol=column, outputCol=column)])
+
+
 class _TableWriter(MLWriter):
     """Saves the parameters of a model plus named tables and a small JSON document."""
 

@@ -100,18 +100,17 @@ def thread_depth(
         "threads",
     )
     total = state.count()
+    # comments that have found their post are not written again by later rounds
+    done, pending = state.where("above IS NULL"), state.where("above IS NOT NULL")
     reach = 1
-    while True:
-        pending = state.where("above IS NOT NULL")
-        if pending.isEmpty():
-            break
+    while not pending.isEmpty():
         # a chain longer than all comments together is a cycle, one longer than the limit is cut
         if reach > total or (max_depth is not None and reach > max_depth):
-            state = state.where("above IS NULL")
             break
-        state = written(_double(state, pending, floor), "threads")
+        moved = written(_double(done.unionByName(pending), pending, floor), "threads")
+        done, pending = done.unionByName(moved.where("above IS NULL")), moved.where("above IS NOT NULL")
         reach *= 2
-    found = state.select("post_id", "id", F.col("steps").cast("int").alias("depth"))
+    found = done.select("post_id", "id", F.col("steps").cast("int").alias("depth"))
     if max_depth is not None:
         found = found.where(F.col("depth") <= max_depth)
     return base.join(found, ["post_id", "id"]).select(*columns, "depth")
@@ -133,10 +132,9 @@ def _double(state: DataFrame, pending: DataFrame, floor: int) -> DataFrame:
             "_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), salts - 1))
         )
         on = [*on, "_salt"]
-    moved = pending.join(upper, on).select(
+    return pending.join(upper, on).select(
         "post_id", "id", F.col("next").alias("above"), (F.col("steps") + F.col("more")).alias("steps")
     )
-    return state.where("above IS NULL").unionByName(moved)
 
 
 def comments_per_post(comments: DataFrame) -> DataFrame:

@@ -35,6 +35,18 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def size_shuffles(spark: SparkSession, input_bytes: int, per_task: int = 128 * 1024 * 1024) -> int:
+    """Raise the number of shuffle partitions so that none holds much more than `per_task` bytes.
+
+    Adaptive execution merges partitions that turn out small but does not add any for a large
+    input. The number is never lowered.
+    """
+    current = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    wanted = max(current, -(-input_bytes // per_task))
+    spark.conf.set("spark.sql.shuffle.partitions", str(wanted))
+    return wanted
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder of the session.
 
@@ -66,7 +78,7 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
     Unlike a checkpoint this is compressed, and later passes read only the columns they need.
     """
     folder = scratch_folder(df.sparkSession, purpose)
-    df.write.parquet(folder)
+    df.write.option("compression", "zstd").parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 

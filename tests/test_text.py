@@ -124,3 +124,30 @@ def test_clean_text_without_lemmas_is_one_narrow_pass(spark):
     df = spark.createDataFrame([("1", "Cars go", "A")], "id string, text string, label_post string")
     plan = clean_text(df, lemmas=None)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan
+
+
+def test_chained_stages_equal_the_whole(spark, tmp_path):
+    from pyspark.ml import PipelineModel
+
+    from postloom.functions.stages import TextStage, cleaning_stages
+
+    texts = [case[0] for case in CASES] + ["Cars and a car, wolves & a wolf", None]
+    df = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "id string, text string")
+    model = cleaning_stages(stopwords=WORDS).fit(df)
+    model.write().save(str(tmp_path / "m"))
+    expected = {r.id: r.text_clean for r in clean_text(df.na.fill("", ["text"]), stopwords=WORDS).collect()}
+    for kept in (model, PipelineModel.load(str(tmp_path / "m"))):
+        assert {r.id: r.text for r in kept.transform(df).collect()} == expected
+    with pytest.raises(ValueError):
+        TextStage(stage="spelling")
+
+
+def test_shuffles_are_sized_by_the_input(spark):
+    from postloom.session import size_shuffles
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        assert size_shuffles(spark, 10) == int(before)
+        assert size_shuffles(spark, 1000 * 128 * 1024 * 1024) == 1000
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)

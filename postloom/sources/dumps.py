@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postloom import constants as C
@@ -32,6 +32,12 @@ def largest_first(files: DataFrame) -> DataFrame:
     return files.orderBy(F.desc("length"), "path")
 
 
+def _source() -> list[Column]:
+    """Path and name of the file a row comes from, in the plain spelling `list_dumps` uses."""
+    plain = lambda name: F.url_decode(F.replace(F.col(name), F.lit("+"), F.lit("%2B")))
+    return [plain("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file_name")]
+
+
 def read_lines(
     spark: SparkSession, paths: list[str], long_windows: bool = False, spread: int | None = None
 ) -> DataFrame:
@@ -47,13 +53,7 @@ def read_lines(
         register(spark)
         lines = spark.read.format("zstd_lines").option("paths", "\n".join(paths)).load()
     else:
-        lines = (
-            spark.read.option("lineSep", "\n")
-            .text(paths)
-            .select(
-                F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file_name"), "value"
-            )
-        )
+        lines = spark.read.option("lineSep", "\n").text(paths).select(*_source(), "value")
     return lines.repartition(spread) if spread else lines
 
 
@@ -66,6 +66,4 @@ def stream_lines(spark: SparkSession, folder: str, files_per_trigger: int | None
     )
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(files_per_trigger))
-    return reader.text(folder).select(
-        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file_name"), "value"
-    )
+    return reader.text(folder).select(*_source(), "value")

@@ -37,14 +37,25 @@ class ZstdLinesReader(DataSourceReader):
             )
 
 
+def _open(path: str):
+    """The raw bytes of a file on any file system Arrow knows."""
+    from urllib.parse import quote
+
+    from pyarrow import fs
+
+    if path.startswith("file:"):
+        system, location = fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+    else:
+        system, location = fs.FileSystem.from_uri(quote(path, safe=":/@"))
+    return system.open_input_stream(location, compression=None)
+
+
 def _line_batches(path: str) -> Iterator[list[str]]:
     """Lines of one file in batches; only one chunk and one unfinished line are held at a time."""
     import zstandard
-    from pyarrow import fs
 
-    system, location = fs.FileSystem.from_uri(path)
     decoder = zstandard.ZstdDecompressor(max_window_size=MAX_WINDOW)
-    with system.open_input_stream(location, compression=None) as raw, decoder.stream_reader(raw, read_across_frames=True) as stream:
+    with _open(path) as raw, decoder.stream_reader(raw, read_across_frames=True) as stream:
         rest: list[bytes] = []
         while chunk := stream.read(CHUNK):
             head, newline, tail = chunk.rpartition(b"\n")

@@ -124,6 +124,15 @@ def test_storing_a_batch_twice_changes_nothing(spark, folder, tmp_path):
     assert ids(read_stored(spark, f"{out}/submissions", schemas.SUBMISSIONS)) == ["p1", "p3", "p4", "p5"]
 
 
+@pytest.mark.parametrize("long_windows", [False, True])
+def test_odd_folder_names(spark, tmp_path, long_windows):
+    write(tmp_path / "my dumps+x%41é" / "RS_2020-01.zst", post("p1") + "\nbad\n")
+    row = I.ingest(spark, str(tmp_path), str(tmp_path / "out"), long_windows=long_windows).first()
+    assert (row.lines_processed, row.lines_matched, row.error_lines) == (2, 1, 1)
+    assert "my dumps+x%41é" in row.input_path
+    assert I.ingest(spark, str(tmp_path), str(tmp_path / "out"), long_windows=long_windows).count() == 1
+
+
 def test_no_input_and_no_comments(spark, folder, tmp_path):
     empty = tmp_path / "empty"
     empty.mkdir()

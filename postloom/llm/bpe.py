@@ -19,7 +19,6 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from postloom.llm import common
 from postloom.llm.pieces import PRE_TOKENS, Cache, bare, split
@@ -245,54 +244,27 @@ def codec(path: str) -> Codec:
 
 
 def encode_texts(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
-    """`docs` with the ids of each text (decimals joined by commas) and the text decoded from them.
+    """`docs` with the ids of each text (decimals joined by commas) and the bytes decoded from them.
 
     One row out per row in, whatever repeats; null counts as empty. `path` names a rank file every
     executor has. Columns of the input named like a result are replaced.
     """
-    spark = docs.sparkSession
-    common.prepare(spark)
-    kept = docs.select(*[common.quoted(c) for c in common.without(docs, [ids, decoded])])
-    return _mapped(kept, path, text, {ids: pa.binary(), decoded: pa.binary()}, lambda pair: pair)
+    kinds = {ids: pa.binary(), decoded: pa.binary()}
+    return common.map_text(docs, text, kinds, lambda: _encoder(path, lambda pair: pair))
 
 
 def encode_digests(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """`docs` with `n_tokens`, `ids_sha256` and `decoded_sha256` of each text instead of the ids themselves."""
-    common.prepare(docs.sparkSession)
     kinds = {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}
-    kept = docs.select(*[common.quoted(c) for c in common.without(docs, list(kinds))])
-    return _mapped(kept, path, text, kinds, _digests)
+    return common.map_text(docs, text, kinds, lambda: _encoder(path, _digests))
+
+
+def _encoder(path: str, finish):
+    own = codec(path)
+    return lambda values: [finish(pair) for pair in own.encode([value.decode() for value in values])]
 
 
 def _digests(pair: tuple[bytes, bytes]) -> tuple[int, str, str]:
     ids, decoded = pair
     count = ids.count(b",") + 1 if ids else 0
     return count, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest()
-
-
-def _mapped(docs: DataFrame, path: str, text: str, kinds: dict, finish) -> DataFrame:
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    # the text travels under a name of its own, as bytes; the other columns pass through
-    source = docs.withColumn("_text", common.quoted(text).cast("string").cast("binary"))
-    if text not in kinds:
-        passed = docs.columns
-    else:
-        passed = [c for c in docs.columns if c != text]
-    source = source.select(*[common.quoted(c) for c in passed], "_text")
-    if not passed:
-        schema = pa.schema([])
-    else:
-        schema = to_arrow_schema(source.select(*[common.quoted(c) for c in passed]).schema)
-    schema = pa.schema([*schema, *[pa.field(name, kind) for name, kind in kinds.items()]])
-
-    def run(batches):
-        own = codec(path)
-        for b in batches:
-            values = [v.decode() for v in common.texts(b.column(b.num_columns - 1))]
-            rows = [finish(pair) for pair in own.encode(values)]
-            columns = [b.column(k) for k in range(b.num_columns - 1)]
-            made = [pa.array([row[k] for row in rows], kind) for k, kind in enumerate(kinds.values())]
-            yield pa.RecordBatch.from_arrays([*columns, *made], schema=schema)
-
-    return common.map_arrow(source, run, schema)

@@ -115,3 +115,30 @@ def map_arrow(df: DataFrame, function, schema: pa.Schema) -> DataFrame:
         yield from function(batches)
 
     return df.mapInArrow(run, from_arrow_schema(schema))
+
+
+def map_text(docs: DataFrame, text: str, kinds: dict[str, pa.DataType], make, replace_text: bool = False) -> DataFrame:
+    """`docs` with the columns `kinds` worked out from the bytes of `text`, one row per row.
+
+    `make()` runs once per partition and returns a function from the list of texts of a batch to
+    the list of result rows. Input columns named like a result are replaced; other columns pass
+    through. With `replace_text` the text column itself does not pass through.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    prepare(docs.sparkSession)
+    names = [*kinds, *([text] if replace_text else [])]
+    passed = docs.select(*[quoted(c) for c in without(docs, names)])
+    passed_schema = to_arrow_schema(passed.schema) if passed.columns else pa.schema([])
+    source = docs.select(*[quoted(c) for c in passed.columns], quoted(text).cast("string").cast("binary").alias("_text"))
+    schema = pa.schema([*passed_schema, *[pa.field(name, kind) for name, kind in kinds.items()]])
+
+    def run(batches):
+        own = make()
+        for b in batches:
+            rows = own(texts(b.column(b.num_columns - 1)))
+            columns = [b.column(k) for k in range(b.num_columns - 1)]
+            made = [pa.array([row[k] for row in rows], kind) for k, kind in enumerate(kinds.values())]
+            yield pa.RecordBatch.from_arrays([*columns, *made], schema=schema)
+
+    return map_arrow(source, run, schema)

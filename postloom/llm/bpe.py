@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from postloom.llm import common
-from postloom.llm.pieces import PRE_TOKENS, Cache, bare, split
+from postloom.llm.pieces import Cache, bare, split, words_of
 
 NO_RANK = np.int32(2**31 - 1)
 WIDEST = 256
@@ -191,10 +191,10 @@ class Codec:
         self.ranks = load_ranks(path)
         self.decimals = {i: str(i) for i in self.ranks.tokens}
         self.whole: dict[str, tuple[bytes, bytes]] = {}
-        self.inner: dict[str, tuple[bytes, bytes] | None] = {}
+        self.inner: dict[str, tuple[bytes, bytes]] = {}
 
     def learn(self, pieces: list[str]) -> list[tuple[bytes, bytes]]:
-        parts = [PRE_TOKENS.findall(piece) for piece in pieces]
+        parts = list(map(words_of, pieces))
         words = list({word for part in parts for word in part})
         decimal, token = self.decimals.__getitem__, self.ranks.tokens.__getitem__
         known = {}
@@ -206,35 +206,25 @@ class Codec:
             for part in parts
         ]
 
-    def _fill(self, cache: dict, keys: set[str], prefix: str, usable=lambda key: True) -> None:
+    def _fill(self, cache: dict, keys: set[str], prefix: str) -> None:
         if len(cache) > MAX_CACHED:
             known = {key: cache[key] for key in keys if key in cache}
             cache.clear()
             cache.update(known)
         new = [key for key in keys if key not in cache]
-        good = [key for key in new if usable(key)]
-        cache.update(dict.fromkeys(new))
-        cache.update(zip(good, self.learn([prefix + key for key in good])))
+        cache.update(zip(new, self.learn([prefix + key for key in new])))
 
     def encode(self, texts: list[str]) -> Iterator[tuple[bytes, bytes]]:
         """For each text its ids as decimals joined by commas, and the decoded bytes."""
-        plain = [bare(text) if text else [] for text in texts]
-        edges = lambda part: part.strip() == part
-        self._fill(self.inner, {p for parts in plain if parts for p in parts[1:]}, " ", edges)
-        found: list = [None] * len(texts)
-        for k, parts in enumerate(plain):
-            if parts is not None:
-                values = list(map(self.inner.__getitem__, parts[1:]))
-                if None not in values and (not parts or edges(parts[0])):
-                    found[k] = values
-        cut = [split(text) if values is None else None for text, values in zip(texts, found)]
-        heads = {parts[0] for parts, values in zip(plain, found) if values is not None and parts}
-        self._fill(self.whole, heads | {piece for pieces in cut if pieces for piece in pieces}, "")
-        for parts, pieces, values in zip(plain, cut, found):
-            if pieces:
-                values = [self.whole[piece] for piece in pieces]
-            elif parts:
-                values.insert(0, self.whole[parts[0]])
+        plain = [bare(text) for text in texts]
+        cut = [split(text) if text and parts is None else [] for text, parts in zip(texts, plain)]
+        self._fill(self.inner, {p for parts in plain if parts for p in parts[1:]}, " ")
+        heads = {parts[0] for parts in plain if parts}
+        self._fill(self.whole, heads | {piece for pieces in cut for piece in pieces}, "")
+        for parts, pieces in zip(plain, cut):
+            values = list(map(self.whole.__getitem__, parts[:1] if parts else pieces))
+            if parts:
+                values += map(self.inner.__getitem__, parts[1:])
             yield b",".join([x for x, _ in values]), b"".join([x for _, x in values])
 
 

@@ -96,6 +96,14 @@ def keyed(docs: DataFrame, id_col: str, *columns: str) -> DataFrame:
     return written(ordered.withColumn(ROW, F.monotonically_increasing_id()).drop("_tie"), "rows")
 
 
+def id_is_key(rows: DataFrame, id_col: str) -> bool:
+    """Whether `_row` of a table made by `keyed` is the id itself and not a number given to it."""
+    if dict(rows.dtypes)[id_col] not in INTEGRAL:
+        return False
+    same = F.col(ROW).eqNullSafe(quoted(id_col).cast("bigint"))
+    return rows.select(ROW, quoted(id_col)).where(~same).isEmpty()
+
+
 def without(df: DataFrame, names: list[str]) -> list[str]:
     """Columns of `df` other than `names`, whose results replace them."""
     taken = {n.lower() for n in names}

@@ -6,8 +6,9 @@ import public_tokenizers
 
 from pyspark.sql import DataFrame, SparkSession
 
-from postloom.llm import bpe, lines, urls
+from postloom.llm import bpe, lines, packing, tokens, urls
 
+TOKENIZER, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"  # one vocabulary in two formats
 MULTI_RANKS = "byte_bpe_multi_50k.tiktoken"
 URL_RULES = [
     ("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
@@ -30,6 +31,17 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(pages, urls.rule_table(spark, URL_RULES)).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = public_tokenizers.path
+    return packing.pack_documents(docs, path(TOKENIZER), length=1024, ranks_path=path(RANKS))
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return tokens.count_tokens(docs, public_tokenizers.path(TOKENIZER), limit=512)
+
+
 def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     made = bpe.encode_digests(docs, public_tokenizers.path(MULTI_RANKS))
@@ -61,5 +73,10 @@ SELECT p.page_id, p.host, p.path, f.best.rule AS rule, coalesce(f.best.verdict,
 FROM parsed p LEFT JOIN fits f ON p.page_id = f.page_id
 """
 
-QUERIES = {"op1_line_dedup": op1_line_dedup, "op3_url_filter": op3_url_filter, "op10_bpe_codec": op10_bpe_codec}
+QUERIES = {
+    query.__name__: query
+    for query in (
+        op1_line_dedup, op3_url_filter, op6_packing, op7_token_counts, op10_bpe_codec,
+    )
+}
 ORACLES: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op3_url_filter": OP3_SQL}

@@ -5,8 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from postloom.llm import bpe, lines, packing, tokens, urls
+from postloom.llm import bpe, language, lines, packing, tokens, urls
 
 TOKENIZER, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"  # one vocabulary in two formats
 MULTI_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -42,6 +43,15 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(docs, public_tokenizers.path(TOKENIZER), limit=512)
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4))
+    model = language.fit(docs.where(fold != 2))
+    held_out = F.coalesce(fold == 2, F.lit(False)).alias("held_out")
+    texts = docs.select("doc_id", held_out, "text")
+    return language.identify(texts, model).select("doc_id", "held_out", "lang_pred", "score", "bits", "rejected")
+
+
 def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     made = bpe.encode_digests(docs, public_tokenizers.path(MULTI_RANKS))
@@ -76,7 +86,7 @@ FROM parsed p LEFT JOIN fits f ON p.page_id = f.page_id
 QUERIES = {
     query.__name__: query
     for query in (
-        op1_line_dedup, op3_url_filter, op6_packing, op7_token_counts, op10_bpe_codec,
+        op1_line_dedup, op3_url_filter, op6_packing, op7_token_counts, op8_language_id, op10_bpe_codec,
     )
 }
 ORACLES: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op3_url_filter": OP3_SQL}

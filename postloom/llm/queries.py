@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postloom.llm import bpe, language, lines, packing, tokens, urls
+from postloom.llm import bpe, fingerprints, language, lines, packing, tokens, urls
 
 TOKENIZER, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"  # one vocabulary in two formats
 MULTI_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -27,6 +27,10 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n_lines", "n_dropped", "kept_sha256")
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return urls.judge_urls(pages, urls.rule_table(spark, URL_RULES)).select("page_id", "host", "path", "rule", "verdict")
@@ -86,7 +90,7 @@ FROM parsed p LEFT JOIN fits f ON p.page_id = f.page_id
 QUERIES = {
     query.__name__: query
     for query in (
-        op1_line_dedup, op3_url_filter, op6_packing, op7_token_counts, op8_language_id, op10_bpe_codec,
+        op1_line_dedup, op2_fingerprints, op3_url_filter, op6_packing, op7_token_counts, op8_language_id, op10_bpe_codec,
     )
 }
 ORACLES: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op3_url_filter": OP3_SQL}

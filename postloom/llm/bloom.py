@@ -36,8 +36,8 @@ def positions(hashes: np.ndarray, bits: int) -> np.ndarray:
     return (common.mix(hashes[None, :] + steps[:, None]) & np.uint64(bits - 1)).astype(np.int64)
 
 
-def twice_seen(rows: DataFrame, hashes_of, bits: int) -> np.ndarray:
-    """The packed twice-seen filter of all hashes that `hashes_of(batch)` gives for the Arrow batches of `rows`.
+def twice_seen(rows: DataFrame, hashes_of, bits: int, once: bool = False) -> np.ndarray:
+    """The packed twice-seen filter (or the once-seen one) of all hashes that `hashes_of(batch)` gives for the Arrow batches of `rows`.
 
     A hash counts once per batch and position in the returned array, so a function that returns
     the distinct hashes of each row counts rows.
@@ -48,9 +48,9 @@ def twice_seen(rows: DataFrame, hashes_of, bits: int) -> np.ndarray:
     def cut(sets: list[np.ndarray]):
         edges = [np.searchsorted(s, np.arange(SEGMENTS + 1) * segment) for s in sets]
         for k in range(SEGMENTS):
-            once, twice = [(s[e[k] : e[k + 1]] - k * segment).astype(np.uint32) for s, e in zip(sets, edges)]
-            if len(once):
-                yield common.batch(SCHEMA, [k], [once.tobytes()], [twice.tobytes()])
+            single, twice = [(s[e[k] : e[k + 1]] - k * segment).astype(np.uint32) for s, e in zip(sets, edges)]
+            if len(single):
+                yield common.batch(SCHEMA, [k], [single.tobytes()], [twice.tobytes()])
 
     def local(batches):
         held, size = [], 0
@@ -71,16 +71,17 @@ def twice_seen(rows: DataFrame, hashes_of, bits: int) -> np.ndarray:
     def merge(batches):
         filters: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for b in batches:
-            for k, once, twice in zip(*[c.to_pylist() for c in b.columns]):
+            for k, single, twice in zip(*[c.to_pylist() for c in b.columns]):
                 if k not in filters:
                     filters[k] = np.zeros(segment, bool), np.zeros(segment, bool)
                 seen, again = filters[k]
-                at = np.frombuffer(once, np.uint32)
+                at = np.frombuffer(single, np.uint32)
                 again[at[seen[at]]] = True
                 again[np.frombuffer(twice, np.uint32)] = True
                 seen[at] = True
-        for k, (_, again) in filters.items():
-            yield common.batch(SCHEMA, [k], [b""], [np.packbits(again, bitorder="little").tobytes()])
+        for k, (seen, again) in filters.items():
+            bits_of = np.packbits(seen if once else again, bitorder="little")
+            yield common.batch(SCHEMA, [k], [b""], [bits_of.tobytes()])
 
     common.prepare(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))

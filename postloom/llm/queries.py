@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postloom.llm import bpe, fingerprints, language, lines, packing, tokens, urls
+from postloom.llm import bpe, fingerprints, language, lines, packing, setjoin, tokens, urls
 
 TOKENIZER, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"  # one vocabulary in two formats
 MULTI_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -56,6 +56,11 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(texts, model).select("doc_id", "held_out", "lang_pred", "score", "bits", "rejected")
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return setjoin.similar_sets(docs, size=3, percent=90).select("doc_id", "n_shingles", "component_id", "n_links")
+
+
 def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     made = bpe.encode_digests(docs, public_tokenizers.path(MULTI_RANKS))
@@ -90,7 +95,7 @@ FROM parsed p LEFT JOIN fits f ON p.page_id = f.page_id
 QUERIES = {
     query.__name__: query
     for query in (
-        op1_line_dedup, op2_fingerprints, op3_url_filter, op6_packing, op7_token_counts, op8_language_id, op10_bpe_codec,
+        op1_line_dedup, op2_fingerprints, op3_url_filter, op6_packing, op7_token_counts, op8_language_id, op9_jaccard_join, op10_bpe_codec,
     )
 }
 ORACLES: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op3_url_filter": OP3_SQL}

@@ -117,30 +117,27 @@ def count_tokens(
         sums: dict[str, int] = {}
         rare: dict[str, list[str]] = {}
 
-        def learn(piece: str) -> int:
+        def learn(piece: str) -> None:
             total, others = 0, []
             for word in splitter.words(piece):
                 if word in top:
                     total += top[word]
                 else:
                     others.append(word)
-            if len(sums) > FLUSH // 2:
-                sums.clear()
-                rare.clear()
             sums[piece] = total
             if others:
                 rare[piece] = others
-            return total
 
         for b in batches:
             out: list[list] = [[], [], [], []]
             for row, value in zip(b.column(0).to_pylist(), common.texts(b.column(1))):
                 counts = document_pieces(value.decode())
-                for piece in counts.keys() - sums.keys():
-                    learn(piece)
-                if len(sums) < len(counts):  # emptied meanwhile
-                    for piece in counts:
-                        sums.get(piece) is None and learn(piece)
+                if len(sums) > FLUSH // 2:
+                    sums.clear()
+                    rare.clear()
+                for piece in counts:
+                    if piece not in sums:
+                        learn(piece)
                 total = sum(map(mul, counts.values(), map(sums.__getitem__, counts)))
                 left = Counter()
                 for piece in counts.keys() & rare.keys():

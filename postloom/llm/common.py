@@ -150,3 +150,16 @@ def map_text(docs: DataFrame, text: str, kinds: dict[str, pa.DataType], make, re
             yield pa.RecordBatch.from_arrays([*columns, *made], schema=schema)
 
     return map_arrow(source, run, schema)
+
+
+def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple]]:
+    """Rows of sorted batches as lists that agree in the first `keys` columns."""
+    held: list[tuple] = []
+    for b in batches:
+        for row in zip(*[column.to_pylist() for column in b.columns]):
+            if held and held[0][:keys] != row[:keys]:
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held

@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postloom.llm import bpe, fingerprints, language, lines, packing, setjoin, substrings, tokens, urls
+from postloom.llm import bpe, embeddings, fingerprints, language, lines, packing, setjoin, substrings, tokens, urls
 
 TOKENIZER, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"  # one vocabulary in two formats
 MULTI_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -36,6 +36,11 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(pages, urls.rule_table(spark, URL_RULES)).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return embeddings.near_duplicates(vectors, least=0.95)
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     made = substrings.drop_repeated_passages(docs, window=20, digests=True)
@@ -101,7 +106,7 @@ FROM parsed p LEFT JOIN fits f ON p.page_id = f.page_id
 QUERIES = {
     query.__name__: query
     for query in (
-        op1_line_dedup, op2_fingerprints, op3_url_filter, op5_substring_dedup, op6_packing, op7_token_counts, op8_language_id, op9_jaccard_join, op10_bpe_codec,
+        op1_line_dedup, op2_fingerprints, op3_url_filter, op4_embedding_near_dedup, op5_substring_dedup, op6_packing, op7_token_counts, op8_language_id, op9_jaccard_join, op10_bpe_codec,
     )
 }
 ORACLES: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op3_url_filter": OP3_SQL}

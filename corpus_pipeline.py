@@ -1,12 +1,68 @@
-"""The corpus pipeline: documents through five operators, each stage written and read again."""
+"""The corpus pipeline: documents through five operators, each stage written and read again.
+
+Documents whose language is rejected go; lines that ten documents share go from all of them; of
+similar documents (five-word shingles, similarity of 0.8 or more) the first stays; words in passages
+of twenty words that also start earlier go; what is left is packed into sequences of 1024 tokens.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from postloom.llm import language, lines, packing, setjoin, substrings
+from postloom.session import written
+
+TOKENIZER, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
+
+
+def _measured(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns of the input, with `n_chars` of the new text."""
+    if "n_chars" in columns:
+        docs = docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return docs.select(*columns)
+
+
+def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter and those unlike every language of the corpus go."""
+    model = language.fit(docs)
+    judged = language.identify(docs, model)
+    return judged.where("not rejected").select(*docs.columns)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _measured(lines.drop_repeated_lines(docs, min_docs=10), docs.columns)
+
+
+def drop_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return setjoin.drop_similar(docs, size=5, percent=80)
+
+
+def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _measured(substrings.drop_repeated_passages(docs, window=20), docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path
+    return packing.pack_documents(docs, path(TOKENIZER), length=1024, ranks_path=path(RANKS))
+
 
-STAGES: list = []
-ORACLE_SQL = None
+STAGES = [
+    ("language_id", keep_languages),
+    ("line_dedup", drop_repeated_lines),
+    ("jaccard_join", drop_similar),
+    ("substring_dedup", drop_repeated_passages),
+    ("packing", pack),
+]
+ORACLE_SQL = None  # language models, FM-indexes and tokenizers are beyond SQL; tests compare with brute force
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages over `documents`."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = stage(spark, docs, sf_dir)
+        if name != STAGES[-1][0]:
+            docs = written(docs, name)
+    return docs

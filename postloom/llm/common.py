@@ -82,17 +82,17 @@ def keyed(docs: DataFrame, id_col: str, *columns: str) -> DataFrame:
     by one count over that column). Otherwise rows are range-partitioned by id, ties by their other
     columns, numbered in that order, and written, so that the numbers hold whatever is recomputed.
     """
-    chosen = docs.select(F.col(id_col), *[F.col(c) for c in columns if c != id_col])
+    chosen = docs.select(quoted(id_col), *[quoted(c) for c in columns if c != id_col])
     if dict(chosen.dtypes)[id_col] in INTEGRAL:
         total, known, distinct = chosen.agg(
-            F.count(F.lit(1)), F.count(id_col), F.countDistinct(id_col)
+            F.count(F.lit(1)), F.count(quoted(id_col)), F.countDistinct(quoted(id_col))
         ).first()
         if total == distinct == known:
-            return chosen.withColumn(ROW, F.col(id_col).cast("bigint"))
-    tie = F.xxhash64(*[F.col(c) for c in chosen.columns])
+            return chosen.withColumn(ROW, quoted(id_col).cast("bigint"))
+    tie = F.xxhash64(*[quoted(c) for c in chosen.columns])
     parts = int(chosen.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = chosen.withColumn("_tie", tie).repartitionByRange(parts, id_col, "_tie")
-    ordered = ranged.sortWithinPartitions(id_col, "_tie")
+    ranged = chosen.withColumn("_tie", tie).repartitionByRange(parts, quoted(id_col), "_tie")
+    ordered = ranged.sortWithinPartitions(quoted(id_col), "_tie")
     return written(ordered.withColumn(ROW, F.monotonically_increasing_id()).drop("_tie"), "rows")
 
 

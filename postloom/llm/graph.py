@@ -9,6 +9,7 @@ WIDTH = 32  # neighbours a node may gather before it is pruned again
 BEAM = 40
 ALPHA = 1.2
 BATCH = 256
+PASSES = 2
 
 
 def medoid(vectors: np.ndarray) -> int:
@@ -77,7 +78,9 @@ def build(vectors: np.ndarray, seed: int = 3) -> np.ndarray:
     if first:
         neighbours[:, :first] = (np.arange(count)[:, None] + random.integers(1, count, (count, first))) % count
     start = medoid(vectors)
-    for nodes in np.array_split(random.permutation(count), max(1, -(-count // BATCH))):
+    batches = max(1, -(-count // BATCH))
+    # the first pass searches a graph that is still half random, so every node has a second turn
+    for nodes in [part for _ in range(PASSES) for part in np.array_split(random.permutation(count), batches)]:
         reached, _ = beam_search(vectors, neighbours, vectors[nodes], start)
         neighbours[nodes] = robust_prune(vectors, nodes, np.concatenate([reached, neighbours[nodes]], 1))
         _link_back(vectors, neighbours, nodes)
@@ -110,12 +113,24 @@ def _link_back(vectors: np.ndarray, neighbours: np.ndarray, nodes: np.ndarray) -
         neighbours[full] = robust_prune(vectors, full, merged[~fits])
 
 
+def both_ways(neighbours: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All edges (source, target) of the lists and of their reverse, sorted by source."""
+    source, slot = np.nonzero(neighbours >= 0)
+    target = neighbours[source, slot].astype(np.int64)
+    count = len(neighbours)
+    keys = np.unique(np.concatenate([source * count + target, target * count + source]))
+    return np.divmod(keys, count)
+
+
 def range_search(vectors: np.ndarray, neighbours: np.ndarray, queries: np.ndarray, own: np.ndarray, least: float, block: int = 512):
     """Pairs (query, node) of similarity at least `least` that the graph reaches: greedy search from the medoid, then
-    from everything in range to its neighbours as long as new nodes are in range. `own` is the node that a query is
-    itself (-1: none), which is in range from the start."""
+    from everything in range along edges in both directions as long as new nodes are in range. Pruning leaves the
+    members of a dense group pointing to its middle, so the way out leads over reversed edges. `own` is the node that
+    a query is itself (-1: none), which is in range from the start."""
     start = medoid(vectors)
     count = len(vectors)
+    source, target = both_ways(neighbours)
+    begins = np.searchsorted(source, np.arange(count + 1))
     out = []
     for begin in range(0, len(queries), block):
         part, self_ = queries[begin : begin + block], own[begin : begin + block]
@@ -128,10 +143,12 @@ def range_search(vectors: np.ndarray, neighbours: np.ndarray, queries: np.ndarra
         hits = [frontier]
         while len(frontier):
             query, node = np.divmod(frontier, count)
-            reached = neighbours[node]
-            keys = (query[:, None] * count + reached)[reached >= 0]
-            keys = np.unique(keys[~seen[keys]])
+            degree = begins[node + 1] - begins[node]
+            at = np.repeat(begins[node] - np.cumsum(degree) + degree, degree) + np.arange(degree.sum())
+            keys = np.repeat(query, degree) * count + target[at]
+            fresh = ~seen[keys]
             seen[keys] = True
+            keys = np.unique(keys[fresh])
             query, node = np.divmod(keys, count)
             frontier = keys[np.einsum("nd,nd->n", part[query], vectors[node]) >= least]
             hits.append(frontier)

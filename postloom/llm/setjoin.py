@@ -275,19 +275,8 @@ def _links(clusters: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return written(common.map_arrow(dealt, run, FOUND), "links")
 
 
-def similar_sets(
-    docs: DataFrame, text: str = "text", id_col: str = "doc_id", size: int = 5, percent: int = 80
-) -> DataFrame:
-    """Per document its id, `n_shingles`, `n_links` and `component_id`.
-
-    Sets are the distinct shingles of `size` words (A-Z lower-cased, between ASCII white space); a
-    text with fewer words is one shingle; null and empty texts have none and link with nothing. Two
-    documents link when 100 * shared >= `percent` * union; the component id is the smallest id
-    reachable by links. Documents with equal sets are joined once as one. One row per row in; rows
-    with null or repeated ids keep their own row, and ids order them (nulls first).
-    """
-    common.prepare(docs.sparkSession)
-    rows = common.keyed(docs, id_col, text)
+def joined_rows(rows: DataFrame, text: str, size: int, percent: int) -> DataFrame:
+    """For each row of a table made by `keyed`: `row`, `n`, `n_links` and `component` (the first row reachable)."""
     signed = written(_signed(rows, text, size, percent), "signed")
     filled = signed.where("n > 0")
     classes = written(filled.groupBy("n", "d1", "d2").agg(F.min("row").alias("row"), F.count(F.lit(1)).alias("copies")), "classes")
@@ -302,10 +291,25 @@ def similar_sets(
         (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
     )
     named = written(named, "components")
-    # null keys for empty sets: they match nothing and must not meet in one task
     own = signed.select("row", "n", "d1", "d2")
-    result = own.where("n > 0").join(named, ["n", "d1", "d2"]).select("row", "n", "n_links", "component")
-    result = result.unionByName(own.where("n = 0").select("row", "n", F.lit(0).cast("bigint").alias("n_links"), F.col("row").alias("component")))
+    alone = own.where("n = 0").select("row", "n", F.lit(0).cast("bigint").alias("n_links"), F.col("row").alias("component"))
+    return own.where("n > 0").join(named, ["n", "d1", "d2"]).select("row", "n", "n_links", "component").unionByName(alone)
+
+
+def similar_sets(
+    docs: DataFrame, text: str = "text", id_col: str = "doc_id", size: int = 5, percent: int = 80
+) -> DataFrame:
+    """Per document its id, `n_shingles`, `n_links` and `component_id`.
+
+    Sets are the distinct shingles of `size` words (A-Z lower-cased, between ASCII white space); a
+    text with fewer words is one shingle; null and empty texts have none and link with nothing. Two
+    documents link when 100 * shared >= `percent` * union; the component id is the smallest id
+    reachable by links. Documents with equal sets are joined once as one. One row per row in; rows
+    with null or repeated ids keep their own row, and ids order them (nulls first).
+    """
+    common.prepare(docs.sparkSession)
+    rows = common.keyed(docs, id_col, text)
+    result = joined_rows(rows, text, size, percent)
     kind = dict(rows.dtypes)[id_col]
     if common.id_is_key(rows, id_col):
         return result.select(
@@ -316,3 +320,14 @@ def similar_sets(
     return result.join(ids, "row").join(heads, "component").select(
         F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), "n_links", "component_id"
     )
+
+
+def drop_similar(docs: DataFrame, text: str = "text", id_col: str = "doc_id", size: int = 5, percent: int = 80) -> DataFrame:
+    """`docs` with one document of each group of similar ones: the first by id (nulls first, ties by content).
+
+    Groups are those of `similar_sets`. Documents without words are all kept. All columns stay.
+    """
+    common.prepare(docs.sparkSession)
+    rows = common.keyed(docs, id_col, *[c for c in docs.columns if c != id_col])
+    gone = joined_rows(rows, text, size, percent).where("row <> component").select(F.col("row").alias(common.ROW))
+    return rows.join(gone, common.ROW, "left_anti").select(*[common.quoted(c) for c in docs.columns])

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from postloom.session import written
 
-ROW = "_row"
+ROW = "__row"  # names with two underscores in front are reserved
 INTEGRAL = {"tinyint", "smallint", "int", "bigint"}
 
 
@@ -76,7 +76,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def keyed(docs: DataFrame, id_col: str, *columns: str) -> DataFrame:
-    """`columns` with a key `_row` that is unique and ordered as `id_col`, nulls first.
+    """`columns` with a key `ROW` that is unique and ordered as `id_col`, nulls first.
 
     The id itself serves as the key where it is an integer, never null and never repeated (checked
     by one count over that column). Otherwise rows are range-partitioned by id, ties by their other
@@ -91,13 +91,13 @@ def keyed(docs: DataFrame, id_col: str, *columns: str) -> DataFrame:
             return chosen.withColumn(ROW, quoted(id_col).cast("bigint"))
     tie = F.xxhash64(*[quoted(c) for c in chosen.columns])
     parts = int(chosen.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = chosen.withColumn("_tie", tie).repartitionByRange(parts, quoted(id_col), "_tie")
-    ordered = ranged.sortWithinPartitions(quoted(id_col), "_tie")
-    return written(ordered.withColumn(ROW, F.monotonically_increasing_id()).drop("_tie"), "rows")
+    ranged = chosen.withColumn("__tie", tie).repartitionByRange(parts, quoted(id_col), "__tie")
+    ordered = ranged.sortWithinPartitions(quoted(id_col), "__tie")
+    return written(ordered.withColumn(ROW, F.monotonically_increasing_id()).drop("__tie"), "rows")
 
 
 def id_is_key(rows: DataFrame, id_col: str) -> bool:
-    """Whether `_row` of a table made by `keyed` is the id itself and not a number given to it."""
+    """Whether the `ROW` of a table made by `keyed` is the id itself and not a number given to it."""
     if dict(rows.dtypes)[id_col] not in INTEGRAL:
         return False
     same = F.col(ROW).eqNullSafe(quoted(id_col).cast("bigint"))
@@ -138,7 +138,7 @@ def map_text(docs: DataFrame, text: str, kinds: dict[str, pa.DataType], make, re
     names = [*kinds, *([text] if replace_text else [])]
     passed = docs.select(*[quoted(c) for c in without(docs, names)])
     passed_schema = to_arrow_schema(passed.schema) if passed.columns else pa.schema([])
-    source = docs.select(*[quoted(c) for c in passed.columns], quoted(text).cast("string").cast("binary").alias("_text"))
+    source = docs.select(*[quoted(c) for c in passed.columns], quoted(text).cast("string").cast("binary").alias("__text"))
     schema = pa.schema([*passed_schema, *[pa.field(name, kind) for name, kind in kinds.items()]])
 
     def run(batches):

@@ -84,7 +84,6 @@ def repeated_keys(docs: DataFrame, text: str, row: str | None, min_docs: int) ->
             yield from flush()
 
     counted = common.map_arrow(source, suspects, COUNTED).groupBy("hash", "digest")
-    # two minima of one number each keep the aggregation on hashes; the line is looked up among the first row's
     confirmed = counted.agg(F.sum("docs").alias("docs"), F.min(F.struct("row", "line")).alias("first"))
     return written(confirmed.where(F.col("docs") >= min_docs), "repeated"), packed
 
@@ -164,13 +163,13 @@ def _drop_known(docs, text, row, confirmed, keep, digests):
             return lambda values: [one(value, None) for value in values]
 
         return common.map_text(docs, text, _kinds(text, digests), over)
-    packed = docs.withColumn("_packed", F.concat(F.lpad(F.hex(F.col(row)), 16, "0"), F.lit(":"), F.coalesce(common.quoted(text).cast("string"), F.lit(""))))
+    packed = docs.withColumn("__packed", F.concat(F.lpad(F.hex(F.col(row)), 16, "0"), F.lit(":"), F.coalesce(common.quoted(text).cast("string"), F.lit(""))))
 
     def over():
         one = make()
         return lambda values: [one(v[17:], int(v[:16], 16) - (1 << 64) * (v[:1] >= b"8")) for v in values]
 
-    made = common.map_text(packed, "_packed", _kinds(text, digests), over, replace_text=True)
+    made = common.map_text(packed, "__packed", _kinds(text, digests), over, replace_text=True)
     return made if digests else made.select(*[common.quoted(c) for c in common.without(docs, ["n_lines", "n_dropped"])], "n_lines", "n_dropped")
 
 
@@ -195,13 +194,13 @@ def _drop_joined(docs, text, row, confirmed, packed, keep, digests):
     own = common.map_arrow(source, suspects, schema)
     found = written(own, "suspects").join(confirmed, ["hash", "digest"])
     place = F.when(F.col("first.row") == F.col("at"), F.col("first.line")).otherwise(-1)
-    mine = found.select("at", F.concat(F.hex("digest"), F.lpad(place.cast("string"), 12, " ")).alias("mark"))
-    marks = mine.groupBy("at").agg(F.array_join(F.collect_list("mark"), "").alias("marks"))
+    mine = found.select(F.col("at").alias("__at"), F.concat(F.hex("digest"), F.lpad(place.cast("string"), 12, " ")).alias("mark"))
+    marks = mine.groupBy("__at").agg(F.array_join(F.collect_list("mark"), "").alias("__marks"))
     first = keep == "first"
-    joined = docs.join(marks, docs[row] == marks["at"], "left").drop("at")
-    head = F.coalesce(F.col("marks"), F.lit(""))
+    joined = docs.join(marks, docs[row] == marks["__at"], "left").drop("__at")
+    head = F.coalesce(F.col("__marks"), F.lit(""))
     body = F.coalesce(common.quoted(text).cast("string"), F.lit(""))
-    packed_text = joined.withColumn("_packed", F.concat(head, F.lit("\n"), body)).drop("marks")
+    packed_text = joined.withColumn("__packed", F.concat(head, F.lit("\n"), body)).drop("__marks")
 
     def over():
         def one(packed_value: bytes):
@@ -216,5 +215,5 @@ def _drop_joined(docs, text, row, confirmed, packed, keep, digests):
 
         return lambda values: [one(value) for value in values]
 
-    made = common.map_text(packed_text, "_packed", _kinds(text, digests), over, replace_text=True)
+    made = common.map_text(packed_text, "__packed", _kinds(text, digests), over, replace_text=True)
     return made if digests else made.select(*[common.quoted(c) for c in common.without(docs, ["n_lines", "n_dropped"])], "n_lines", "n_dropped")

@@ -146,7 +146,7 @@ def _search(dealt: DataFrame, window: int) -> DataFrame:
 
 
 def repeated_windows(rows: DataFrame, text: str, window: int, words_per_shard: int = WORDS_PER_SHARD, segments_per_anchor: int = SEGMENTS_PER_ANCHOR) -> DataFrame:
-    """Windows of `rows` (with `_row`) that also start earlier: `row`, `start` of a segment and a `mask` of its windows."""
+    """Windows of `rows` (a table made by `keyed`) that also start earlier: `row`, `start` of a segment and a `mask` of its windows."""
     found = _suspects(rows, text, window)
     bare = found.drop("words")
     first = F.min(F.struct("row", "start")).alias("first")
@@ -202,11 +202,11 @@ def drop_repeated_passages(
     common.prepare(docs.sparkSession)
     rows = common.keyed(docs, id_col, *[c for c in docs.columns if c != id_col])
     marked = repeated_windows(rows, text, window, words_per_shard, segments_per_anchor)
-    gathered = marked.groupBy(F.col("row").alias("_at")).agg(F.flatten(F.collect_list(F.array("start", "mask"))).alias("_marks"))
-    joined = rows.join(gathered, rows[common.ROW] == gathered["_at"], "left")
-    marks = F.coalesce(F.array_join(F.transform("_marks", lambda x: x.cast("string")), " "), F.lit(""))
+    gathered = marked.groupBy(F.col("row").alias("__at")).agg(F.flatten(F.collect_list(F.array("start", "mask"))).alias("__marks"))
+    joined = rows.join(gathered, rows[common.ROW] == gathered["__at"], "left")
+    marks = F.coalesce(F.array_join(F.transform("__marks", lambda x: x.cast("string")), " "), F.lit(""))
     body = F.coalesce(common.quoted(text).cast("string"), F.lit(""))
-    packed = joined.withColumn("_packed", F.concat(marks, F.lit("\n"), body)).drop("_at", "_marks", common.ROW)
+    packed = joined.withColumn("__packed", F.concat(marks, F.lit("\n"), body)).drop("__at", "__marks", common.ROW)
 
     def make():
         def one(value: bytes):
@@ -225,11 +225,11 @@ def drop_repeated_passages(
 
         return lambda values: [one(value) for value in values]
 
-    kinds = {"kept_sha256" if digests else "_kept": pa.string(), "n_words": pa.int64(), "n_removed": pa.int64()}
-    made = common.map_text(packed, "_packed", kinds, make, replace_text=True)
+    kinds = {"kept_sha256" if digests else "__kept": pa.string(), "n_words": pa.int64(), "n_removed": pa.int64()}
+    made = common.map_text(packed, "__packed", kinds, make, replace_text=True)
     if digests:
         return made
-    kept = F.when(common.quoted(text).isNotNull(), F.col("_kept")).alias(text)
+    kept = F.when(common.quoted(text).isNotNull(), F.col("__kept")).alias(text)
     return made.select(
         *[kept if c == text else common.quoted(c) for c in docs.columns if c not in ("n_words", "n_removed")], "n_words", "n_removed"
     )

@@ -149,10 +149,10 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
         F.encode(F.concat(reversed_host(F.col("_anchor")), "_path"), "utf-8").alias("key"), "_url"
     )
     hits = sweep(_events(nodes), points).where("node.rule is not null")
-    best = hits.groupBy("_url").agg(F.max("node").alias("_node"))
-    joined = kept.withColumn("_key", address).join(best, F.col("_key") == F.col("_url"), "left")
+    best = hits.groupBy(F.col("_url").alias("__url")).agg(F.max("node").alias("__node"))
+    joined = kept.withColumn("__key", address).join(best, F.col("__key") == F.col("__url"), "left")
     return joined.select(
         *[quoted(c) for c in kept.columns],
-        host_of(F.col("_key")).alias("host"), path_of(F.col("_key")).alias("path"),
-        F.col("_node.rule").alias("rule"), F.coalesce("_node.verdict", F.lit(default)).alias("verdict"),
+        host_of(F.col("__key")).alias("host"), path_of(F.col("__key")).alias("path"),
+        F.col("__node.rule").alias("rule"), F.coalesce("__node.verdict", F.lit(default)).alias("verdict"),
     )

@@ -29,7 +29,7 @@ from postloom.operators.bayes import BayesFit, fit_bayes, predict_bayes
 from postloom.operators.lemmas import apply_lemmas, lemma_table, vocabulary
 from postloom.session import written
 
-MAX_VOCABULARY = 2_000_000
+MAX_VOCABULARY = 2**31 - 1  # what Spark can index
 
 
 class TextCleaner(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
@@ -190,8 +190,8 @@ class SmoothTfidf(Estimator, HasInputCol, HasOutputCol):
     """Sparse TF-IDF vectors: raw counts times ln((1 + n) / (1 + df)) + 1, scaled to length one.
 
     Fitting gives a PipelineModel of Spark's own stages. The vocabulary lives on the driver, as in
-    every vector model; one that is larger than `maxVocabulary` raises an error instead of being
-    cut, and the long form in `operators.tfidf` has no such bound.
+    every vector model of Spark, and is never cut: with a `maxVocabulary` (none by default) a larger
+    one raises an error. The long form in `operators.tfidf` keeps it in a table.
     """
 
     maxVocabulary = Param(Params._dummy(), "maxVocabulary", "largest vocabulary accepted", TypeConverters.toInt)
@@ -210,7 +210,7 @@ class SmoothTfidf(Estimator, HasInputCol, HasOutputCol):
         )
         terms = words.transform(dataset.select(self.getInputCol()))
         vectorizer = CountVectorizer(
-            inputCol=names["terms"], outputCol=names["counts"], minDF=1, vocabSize=limit + 1
+            inputCol=names["terms"], outputCol=names["counts"], minDF=1, vocabSize=min(limit + 1, MAX_VOCABULARY)
         ).fit(terms)
         if len(vectorizer.vocabulary) > limit:
             raise ValueError(f"the vocabulary has more than {limit} terms")

@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 from postloom.session import materialize
 
 BROADCAST_BYTES = 64 * 1024 * 1024
-HOT_FRACTION = 1000
-HOT_FLOOR = 1_000_000
+HOT_FLOOR = 1_000_000  # rows of one key that a task may get, whatever the size of the table
 
 
 def table_bytes(df: DataFrame) -> int:
@@ -26,18 +25,21 @@ def table_bytes(df: DataFrame) -> int:
 
 
 def hot_keys(counts: DataFrame, on: list[str], floor: int = HOT_FLOOR) -> DataFrame | None:
-    """Keys holding at least 1/1000 of all rows with the number of salts each needs, or None.
+    """Keys with more than `floor` rows and the number of salts that leaves each salt about `floor` rows, or None.
 
-    `counts` has the key columns and `n`, the number of rows per key. At most 1000 keys can hold
-    1/1000 of the rows, so the result has a fixed bound whatever the data. A key with fewer than
-    `floor` rows is never hot.
+    `counts` has the key columns and `n`, the number of rows per key. The rows per salted key do
+    not grow with the table; the number of hot keys is at most its rows over `floor`.
     """
-    total, most = counts.agg(F.sum("n"), F.max("n")).first()
-    limit = max((total or 0) / HOT_FRACTION, floor)
-    if (most or 0) < limit:
+    most = counts.agg(F.max("n")).first()[0]
+    if (most or 0) <= floor:
         return None
-    salts = F.ceil(F.col("n") / limit).cast("int")
-    return materialize(counts.where(F.col("n") >= limit).select(*on, salts.alias("_salts")))
+    salts = F.ceil(F.col("n") / floor).cast("int")
+    return materialize(counts.where(F.col("n") > floor).select(*on, salts.alias("_salts")))
+
+
+def small(df: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """`df` marked for broadcast if its measured size allows it, else as it is."""
+    return F.broadcast(df) if table_bytes(df) <= broadcast_bytes else df
 
 
 def lookup_join(
@@ -53,8 +55,7 @@ def lookup_join(
     """Join `rows` with `table`, which has one row per key and is read several times.
 
     The table is broadcast only if its measured size is under `broadcast_bytes`. Beyond that both
-    sides are shuffled, and keys that hold at least 1/1000 of the rows are spread over several
-    salts derived from `spread_by` (a column of `rows` that varies within a key). `counts` gives
+    sides are shuffled, and keys with more than `floor` rows are spread over several salts derived from `spread_by` (a column of `rows` that varies within a key). `counts` gives
     the rows per key (key columns and `n`) where the caller knows them already.
     """
     on = [on] if isinstance(on, str) else on
@@ -68,16 +69,20 @@ def lookup_join(
     salt = F.lit(0).cast("bigint")
     salted_rows, salted_table = rows, table.withColumn("_salt", salt)
     if hot is not None:
-        salted_rows = rows.join(F.broadcast(hot), on, "left")
+        hot = small(hot)
+        salted_rows = rows.join(hot, on, "left")
         salt = F.coalesce(F.pmod(F.xxhash64(spread_by), F.col("_salts").cast("bigint")), salt)
         last = F.coalesce(F.col("_salts"), F.lit(1)).cast("bigint") - 1
         salted_table = (
-            table.join(F.broadcast(hot), on, "left")
+            table.join(hot, on, "left")
             .withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
             .drop("_salts")
         )
     # rows without a key match nothing, but an outer join would send all of them to one task
     keyless = reduce(lambda a, b: a | b, [F.col(name).isNull() for name in on])
-    salt = F.when(keyless, F.pmod(F.xxhash64(spread_by), F.lit(HOT_FRACTION).cast("bigint"))).otherwise(salt)
+    if how != "inner":
+        missing = rows.where(keyless).count()
+        spread = F.pmod(F.xxhash64(spread_by), F.lit(max(1, -(-missing // floor))).cast("bigint"))
+        salt = F.when(keyless, spread).otherwise(salt)
     salted_rows = salted_rows.withColumn("_salt", salt).drop("_salts")
     return salted_rows.join(salted_table, [*on, "_salt"], how).drop("_salt")

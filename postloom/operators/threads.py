@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from postloom import constants as C
 from postloom.functions import fields
-from postloom.operators.joins import HOT_FLOOR, hot_keys
+from postloom.operators.joins import HOT_FLOOR, hot_keys, small
 from postloom.session import written
 
 
@@ -90,8 +90,10 @@ def thread_depth(
     if max_depth is not None and max_depth < 0:
         return base.limit(0).withColumn("depth", F.lit(0))
     top = F.col("parent_id") == F.col("post_id")
+    # one row per comment, whatever repeats; of different parents the least counts
+    unique = base.groupBy("post_id", "id").agg(F.min("parent_id").alias("parent_id"))
     state = written(
-        base.select(
+        unique.select(
             "post_id",
             "id",
             F.when(~top, F.col("parent_id")).alias("above"),
@@ -127,8 +129,9 @@ def _double(state: DataFrame, pending: DataFrame, floor: int) -> DataFrame:
     if hot is not None:
         # a comment with very many replies: spread its replies, repeat its own row per salt
         salts = F.coalesce(F.col("_salts"), F.lit(1)).cast("bigint")
-        pending = pending.join(F.broadcast(hot), on, "left").withColumn("_salt", F.pmod(F.xxhash64("id"), salts))
-        upper = upper.join(F.broadcast(hot), on, "left").withColumn(
+        hot = small(hot)
+        pending = pending.join(hot, on, "left").withColumn("_salt", F.pmod(F.xxhash64("id"), salts))
+        upper = upper.join(hot, on, "left").withColumn(
             "_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), salts - 1))
         )
         on = [*on, "_salt"]
@@ -142,8 +145,9 @@ def comments_per_post(comments: DataFrame) -> DataFrame:
 
 
 def posts_with_comments(posts: DataFrame, comments: DataFrame) -> DataFrame:
-    """Posts joined with the number of their comments.
+    """Posts joined with the number of their comments, 0 for posts without any.
 
     Comments are counted before the join, so a post with very many comments is one row in it.
     """
-    return posts.join(comments_per_post(comments), posts["id"] == F.col("post_id")).drop("post_id")
+    joined = posts.join(comments_per_post(comments), posts["id"] == F.col("post_id"), "left").drop("post_id")
+    return joined.withColumn("comments", F.coalesce("comments", F.lit(0)))

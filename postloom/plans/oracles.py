@@ -234,6 +234,17 @@ FROM split s CROSS JOIN base b LEFT JOIN changes c ON c.id = s.id AND c.label_po
     )
 
 
+_HELD_OUT = (
+    _with(POSTS, DATASET, _ranked("dataset"), SPLIT)
+    + "SELECT id, label_post AS label, true AS known_label FROM split WHERE is_valid"
+)
+_MAJORITY = (
+    _with(POSTS, DATASET, _ranked("dataset"), SPLIT)
+    + """SELECT cast(sum(n) AS bigint) AS n, max(n) AS largest, true AS beats_majority
+FROM (SELECT label_post, count(*) AS n FROM split WHERE is_valid GROUP BY 1)"""
+)
+
+
 def _bayes_grid(smoothing: list[float], folds: int) -> str:
     values = ", ".join(f"({i}, {v!r})" for i, v in enumerate(smoothing))
     return (
@@ -356,6 +367,10 @@ SELECT run, sample_id, round(avg_speed, 6) AS avg_speed, cast(floor((total - byt
         "stratified_folds": _with(POSTS, DATASET, _ranked("dataset"))
         + "SELECT id, label_post, cast((rank - 1) % 10 AS int) AS fold FROM ranked",
         "gaussian_nb_predict": _bayes(1e-7),
+        "rf_predict": _HELD_OUT,
+        "svm_predict": _HELD_OUT,
+        "rf_accuracy": _MAJORITY,
+        "svm_accuracy": _MAJORITY,
         "grid_scores": _bayes_grid(SMOOTHING, FOLDS),
         "predict_batch": _bayes(1e-7),
         "predict_stream": _bayes(1e-7),

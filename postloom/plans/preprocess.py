@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postloom import constants as C
 from postloom.functions import text as X
 from postloom.operators.dataset import require_columns
-from postloom.operators.lemmas import apply_lemmas, lemmatize
+from postloom.functions.stages import NounLemmasModel, TextCleaner
+from postloom.operators.lemmas import apply_lemmas, lemma_table, lemmatize, vocabulary
 from postloom.session import written
 
 
@@ -48,6 +50,14 @@ def clean_text(
     return tokens.select(id_col, *others, X.join_tokens(F.col("tokens")).alias(output))
 
 
+def cleaning_model(
+    lemmas: DataFrame | None, min_length: int = 3, stopwords: list[str] | None = None
+) -> PipelineModel:
+    """All cleaning stages from a column `text` to `text_clean`, with the lemma table they use (None: no lemmas)."""
+    stages = [TextCleaner(inputCol="text", outputCol="text_clean", minLength=min_length, stopwords=stopwords)]
+    return PipelineModel(stages if lemmas is None else [*stages, NounLemmasModel(lemmas)])
+
+
 def preprocess_dataset(
     df: DataFrame,
     min_length: int = 3,
@@ -56,13 +66,20 @@ def preprocess_dataset(
     dictionary: DataFrame | None = None,
     exceptions: DataFrame | None = None,
     id_col: str = "id",
-) -> DataFrame:
-    """`(label_post, text_clean)` of a raw dataset, with its id column first if it has one."""
+) -> tuple[DataFrame, PipelineModel]:
+    """`(label_post, text_clean)` of a raw dataset, with its id column first if it has one, and the fitted cleaning.
+
+    The cleaning holds the word list, the shortest length and the lemma table of this dataset;
+    training stores it in front of the model, so that new texts are cleaned in the same way.
+    """
     require_columns(df, "text", "label_post")
     kept = [id_col] if id_col in df.columns else []
     rows = with_id(df.select(*kept, "text", "label_post"), id_col)
     stopwords = X.load_stopwords(language, custom_stopwords, df.sparkSession)
-    cleaned = clean_text(
-        rows, id_col=id_col, min_length=min_length, stopwords=stopwords, dictionary=dictionary, exceptions=exceptions
-    )
-    return cleaned.select(*kept, "label_post", "text_clean")
+    tokens = X.clean_tokens(F.coalesce("text", F.lit("")), stopwords, min_length).alias("tokens")
+    tokens = written(rows.select(id_col, "label_post", tokens), "tokens")
+    words = written(vocabulary(tokens), "words")
+    table = written(lemma_table(words, dictionary, exceptions), "lemmas")
+    spelled = apply_lemmas(tokens, table, id_col, "tokens", ("label_post",), words)
+    cleaned = spelled.select(*kept, "label_post", X.join_tokens(F.col("tokens")).alias("text_clean"))
+    return cleaned, cleaning_model(table, min_length, stopwords)

@@ -15,7 +15,7 @@ from postloom import schemas
 from postloom.plans import settings as S
 from postloom.plans import train
 from postloom.plans import views as V
-from postloom.plans.preprocess import clean_text
+from postloom.plans.preprocess import clean_text, preprocess_dataset
 from postloom.session import configure, scratch_folder, written
 from postloom.sources.tables import read_stored
 from postloom.streaming.ingest import ingest_stream
@@ -319,12 +319,39 @@ def _held_out(spark, sf_dir, kind, grid):
     )
 
 
+def _labelled(held_out):
+    """Held-out rows with whether the prediction is one of their labels."""
+    held_out = written(held_out, "held_out")
+    labels = held_out.select(F.col("label").alias("prediction")).distinct().withColumn("known", F.lit(True))
+    return held_out.join(F.broadcast(labels), "prediction", "left").select(
+        "id", "label", F.coalesce("known", F.lit(False)).alias("known_label")
+    )
+
+
+def _beats_majority(held_out):
+    """Whether the model is right at least as often as always naming the largest class."""
+    by_label = held_out.groupBy("label").agg(
+        F.count_if(F.col("label") == F.col("prediction")).alias("right"), F.count("*").alias("rows")
+    )
+    return by_label.agg(
+        F.sum("rows").alias("n"), F.max("rows").alias("largest"), (F.sum("right") >= F.max("rows")).alias("beats_majority")
+    )
+
+
 def rf_predict(spark, sf_dir):
-    return _held_out(spark, sf_dir, "rf", S.FOREST)
+    return _labelled(_held_out(spark, sf_dir, "rf", S.FOREST))
 
 
 def svm_predict(spark, sf_dir):
-    return _held_out(spark, sf_dir, "svm", S.MACHINE)
+    return _labelled(_held_out(spark, sf_dir, "svm", S.MACHINE))
+
+
+def rf_accuracy(spark, sf_dir):
+    return _beats_majority(_held_out(spark, sf_dir, "rf", S.FOREST))
+
+
+def svm_accuracy(spark, sf_dir):
+    return _beats_majority(_held_out(spark, sf_dir, "svm", S.MACHINE))
 
 
 def grid_scores(spark, sf_dir):
@@ -335,16 +362,14 @@ def grid_scores(spark, sf_dir):
 
 
 def _saved_model(spark, sf_dir):
-    """A naive Bayes model with its cleaning, saved and loaded again, and the raw validation texts."""
+    """A naive Bayes model with its cleaning, trained and loaded again, and the raw validation texts."""
     raw = _dataset(spark, sf_dir)
-    words = written(lemmas.vocabulary(_shortened(spark, sf_dir)), "words")
-    table = written(lemmas.lemma_table(words), "lemmas")
-    rows = train.prepare(clean_text(raw, lemmas=table))
-    model = train.fit_one(rows.where("NOT is_valid").drop("is_valid"), "nb", {"var_smoothing": [S.BAYES_SMOOTHING]})
+    cleaned, cleaning = preprocess_dataset(_texts(spark, sf_dir))
     folder = scratch_folder(spark, "model")
-    train.with_cleaning(model, table).write().save(folder)
+    train.train_and_evaluate(spark, cleaned, "nb", folder, cleaning, {"var_smoothing": [S.BAYES_SMOOTHING]}, folds=2)
+    rows = sampling.stratified_split(raw.select("id", "label_post"), "id", "label_post", seed=S.SEED)
     texts = raw.join(rows.where("is_valid").select("id"), "id", "left_semi")
-    return train.load_model(folder), texts.select("id", "text", F.col("label_post").alias("label"))
+    return train.load_model(f"{folder}/model"), texts.select("id", "text", F.col("label_post").alias("label"))
 
 
 def predict_batch(spark, sf_dir):
@@ -387,7 +412,7 @@ QUERIES: dict[str, Query] = {
         thread_depth, thread_pruned, thread_max_depth, comment_projection, comments_per_post, remove_urls, remove_punct,
         remove_non_ascii, tokenize, remove_stopwords, remove_short, stopword_hits, lemma_table, lemmatize, term_counts,
         doc_freq, vocabulary, label_set, class_weights, stratified_split, stratified_folds, gaussian_nb_predict,
-        confusion_counts, confusion_percent, classification_report, rf_predict, svm_predict, grid_scores, predict_batch,
+        confusion_counts, confusion_percent, classification_report, rf_predict, rf_accuracy, svm_predict, svm_accuracy, grid_scores, predict_batch,
         predict_stream, stream_ingest,
     )
 }

@@ -10,6 +10,6 @@ MAX_DEPTH = 1
 SEED = 42
 CUSTOM_STOPWORDS = ["", "post", "see", "Share"]
 BAYES_SMOOTHING = 1e-7
-FOREST = {"trees": [50], "depth": [20], "min_split": [2], "min_leaf": [1]}
-MACHINE = {"c": [1.0], "tol": [1e-3], "iterations": [20]}
+FOREST = {"trees": [100], "depth": [20], "min_split": [2], "min_leaf": [1]}
+MACHINE = {"c": [1.0], "tol": [1e-3], "iterations": [1000]}
 FOLDS = 10

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import product
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
@@ -10,16 +11,15 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC, OneVsRest, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import IndexToString, StringIndexer, StringIndexerModel
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postloom.functions.stages import GaussianTextBayes, NounLemmasModel, SmoothTfidf, TextCleaner
+from postloom.functions.stages import GaussianTextBayes, SmoothTfidf
 from postloom.operators import bayes, evaluation, sampling
 from postloom.operators.dataset import fill_text
 from postloom.operators.tfidf import fit_idf, tfidf
 from postloom.plans.preprocess import with_id
-from postloom.session import configure, materialize, written
+from postloom.session import configure, written
 from postloom.sources.tables import write_results, write_weights
 
 SEED = 42
@@ -32,7 +32,14 @@ GRIDS = {
     "rf": {"trees": [100, 200, 300], "depth": [None, 10, 20], "min_split": [2, 5], "min_leaf": [1, 2]},
     "svm": {"c": [0.01, 0.1, 1.0], "tol": [1e-4, 1e-3], "iterations": [1000, 5000]},
 }
-DEEPEST = 30
+DEEPEST = 30  # no limit on the depth means this one, the deepest tree that Spark grows
+
+
+def parameter_sets(kind: str, grid: dict[str, list] | None = None) -> list[dict]:
+    """Every combination of a grid, by the names used here; the last name varies fastest."""
+    wanted = GRIDS[kind] if grid is None else grid
+    names = list(GRIDS[kind])
+    return [dict(zip(names, values)) for values in product(*[wanted[name] for name in names])]
 
 
 def build_pipeline(kind: str, rows: int = 1, grid: dict[str, list] | None = None) -> tuple[Pipeline, list[dict]]:
@@ -40,58 +47,62 @@ def build_pipeline(kind: str, rows: int = 1, grid: dict[str, list] | None = None
 
     `rows` is the number of training rows: balanced class weights sum up to it, and it turns the
     penalty C into Spark's regularization, 1 / (C * rows). Spark's forest has no minimum number of
-    rows for a split; a split needs `min_leaf` rows on both sides, so `min_split` acts as its half.
+    rows for a split; a split needs `min_leaf` rows on both sides, so `min_split` acts as its half:
+    of the default pairs (2, 1), (2, 2), (5, 1), (5, 2) the last two come down to the same forest.
+    Every combination has its own map; maps that are equal are fitted once.
     """
     if kind not in KINDS:
         raise ValueError(f"unsupported model kind: {kind}")
-    wanted = GRIDS[kind] if grid is None else grid
-    build = ParamGridBuilder()
+    sets = parameter_sets(kind, grid)
     if kind == "nb":
         model = GaussianTextBayes(labelCol="label")
-        build.addGrid(model.varSmoothing, [float(v) for v in wanted["var_smoothing"]])
-        return Pipeline(stages=[model]), build.build()
+        return Pipeline(stages=[model]), [{model.varSmoothing: float(one["var_smoothing"])} for one in sets]
     if kind == "rf":
         model = RandomForestClassifier(labelCol="label", weightCol="weight", seed=SEED, featureSubsetStrategy="sqrt")
-        build.addGrid(model.numTrees, wanted["trees"])
-        build.addGrid(model.maxDepth, [depth or DEEPEST for depth in wanted["depth"]])
-        leaves = [max(leaf, (split + 1) // 2) for split in wanted["min_split"] for leaf in wanted["min_leaf"]]
-        build.addGrid(model.minInstancesPerNode, sorted(set(leaves)))
-        return Pipeline(stages=[SmoothTfidf(), model]), build.build()
+        maps = [
+            {
+                model.numTrees: one["trees"],
+                model.maxDepth: one["depth"] or DEEPEST,
+                model.minInstancesPerNode: max(one["min_leaf"], (one["min_split"] + 1) // 2),
+            }
+            for one in sets
+        ]
+        return Pipeline(stages=[SmoothTfidf(), model]), maps
     svc = LinearSVC(standardization=False, weightCol="weight")
     model = OneVsRest(classifier=svc, labelCol="label", weightCol="weight", parallelism=4)
-    build.addGrid(svc.regParam, [1.0 / (c * max(rows, 1)) for c in wanted["c"]])
-    build.addGrid(svc.tol, wanted["tol"])
-    build.addGrid(svc.maxIter, wanted["iterations"])
-    return Pipeline(stages=[SmoothTfidf(), model]), build.build()
+    maps = [
+        {svc.regParam: 1.0 / (one["c"] * max(rows, 1)), svc.tol: one["tol"], svc.maxIter: one["iterations"]}
+        for one in sets
+    ]
+    return Pipeline(stages=[SmoothTfidf(), model]), maps
 
 
-class FoldedValidator(CrossValidator):
-    """A CrossValidator whose vectorizer is fitted once per fold and not once per parameter set.
+def search(
+    vectorizer: SmoothTfidf, classifier, maps: list[dict], rows: DataFrame, folds: int, parallelism: int
+) -> list[float]:
+    """Mean accuracy per parameter map over the column `fold`.
 
-    Vectorizing belongs to training, so every fold fits its own vectorizer on its training rows.
+    Vectorizing belongs to training, so every fold fits its own vectorizer on its training rows,
+    once for all parameter maps. Equal maps are fitted once.
     """
-
-    vectorizer: SmoothTfidf | None = None
-
-    def scores(self, dataset: DataFrame) -> list[float]:
-        """Mean of the metric per parameter map, without the final fit on all rows."""
-        maps, folds = self.getEstimatorParamMaps(), self.getNumFolds()
-        estimator, evaluator = self.getEstimator(), self.getEvaluator()
-        fold, totals = F.col(self.getFoldCol()), [0.0] * len(maps)
-        with ThreadPool(min(self.getParallelism(), len(maps))) as pool:
-            for number in range(folds):
-                fitted = self.vectorizer.fit(dataset.where(fold != number))
-                train = fitted.transform(dataset.where(fold != number)).persist()
-                valid = fitted.transform(dataset.where(fold == number)).persist()
-
-                def one(index: int) -> float:
-                    return evaluator.evaluate(estimator.fit(train, maps[index]).transform(valid))
-
-                for index, score in enumerate(pool.map(inheritable_thread_target(dataset.sparkSession)(one), range(len(maps)))):
-                    totals[index] += score / folds
-                train.unpersist()
-                valid.unpersist()
-        return totals
+    keys = [tuple(sorted((param.name, value) for param, value in params.items())) for params in maps]
+    different = {key: params for key, params in zip(keys, maps)}
+    evaluator = MulticlassClassificationEvaluator(metricName="accuracy", labelCol="label")
+    totals = dict.fromkeys(different, 0.0)
+    with ThreadPool(min(parallelism, len(different))) as pool:
+        for number in range(folds):
+            fitted = vectorizer.fit(rows.where(F.col("fold") != number))
+            train = fitted.transform(rows.where(F.col("fold") != number)).persist()
+            valid = fitted.transform(rows.where(F.col("fold") == number)).persist()
+
+            def one(key: tuple) -> float:
+                return evaluator.evaluate(classifier.fit(train, different[key]).transform(valid))
+
+            for key, score in zip(different, pool.map(inheritable_thread_target(rows.sparkSession)(one), different)):
+                totals[key] += score / folds
+            train.unpersist()
+            valid.unpersist()
+    return [totals[key] for key in keys]
 
 
 @dataclass
@@ -148,10 +159,10 @@ def tune(
         means = bayes.cross_validate_bayes(rows, "label", values, folds, parallelism=parallelism).collect()
         metrics = [row.score for row in sorted(means, key=lambda row: row.grid_index)]
     else:
-        metrics = _search(front[0], classifier, maps, rows, folds, seed, parallelism)
+        metrics = search(front[0], classifier, maps, rows, folds, parallelism)
     best = max(range(len(maps)), key=lambda index: (metrics[index], -index))
     fitted = pipeline.fit(rows, maps[best])
-    texts = [{param.name: value for param, value in params.items()} for params in maps]
+    texts = parameter_sets(kind, grid)
     scores = spark.createDataFrame(
         [(index, str(text), float(score)) for index, (text, score) in enumerate(zip(texts, metrics))],
         "grid_index int, params string, score double",
@@ -159,49 +170,31 @@ def tune(
     return Tuned(PipelineModel([*fitted.stages, _label_names(indexer)]), scores, texts[best])
 
 
-def _search(
-    vectorizer: SmoothTfidf, classifier, maps: list[dict], rows: DataFrame, folds: int, seed: int, parallelism: int
-) -> list[float]:
-    """Mean accuracy per parameter map."""
-    search = FoldedValidator(
-        estimator=classifier,
-        estimatorParamMaps=maps,
-        evaluator=MulticlassClassificationEvaluator(metricName="accuracy", labelCol="label"),
-        numFolds=folds,
-        foldCol="fold",
-        parallelism=parallelism,
-        seed=seed,
-    )
-    search.vectorizer = vectorizer
-    return search.scores(rows)
-
-
 def best_scores(scores: DataFrame) -> DataFrame:
     """The parameter set with the highest score, the first one on ties."""
     return scores.orderBy(F.desc("score"), "grid_index").limit(1)
 
 
-def with_cleaning(
-    model: PipelineModel, lemmas: DataFrame | None, min_length: int = 3, stopwords: list[str] | None = None
-) -> PipelineModel:
+def with_cleaning(model: PipelineModel, cleaning: PipelineModel) -> PipelineModel:
     """The model with the cleaning it was trained with in front, so that it takes raw texts."""
-    stages = [TextCleaner(inputCol="text", outputCol="text_clean", minLength=min_length, stopwords=stopwords)]
-    if lemmas is not None:
-        stages.append(NounLemmasModel(lemmas))
-    return PipelineModel([*stages, *model.stages])
+    return PipelineModel([*cleaning.stages, *model.stages])
 
 
 def predict(
     model: PipelineModel, texts: DataFrame, keep: tuple[str, ...] = ("text",), text: str = "text"
 ) -> DataFrame:
-    """`prediction` (a label) for every row of `texts`, next to the columns in `keep`."""
-    rows = with_id(texts).withColumnRenamed(text, "text")
-    carried = {name for name in keep if name != text}
-    out = model.transform(rows.select("text", *({"id"} | carried)))
-    return out.select(
-        *[F.col("text").alias(text) if name == text else F.col(name) for name in keep],
-        F.col("prediction_label").alias("prediction"),
-    )
+    """`prediction` (a label) for every row of `texts`, next to the columns in `keep`.
+
+    The stages that gather words by row work on numbers given here, so ids that are null or occur
+    again give exactly as many rows as there were.
+    """
+    carried = [name for name in keep if name != text]
+    kept = [F.col(name).alias(f"_keep{k}") for k, name in enumerate(carried)]
+    rows = texts.select(F.col(text).alias("text"), *kept).withColumn("_number", F.monotonically_increasing_id())
+    numbered = {stage.idCol: "_number" for stage in model.stages if stage.hasParam("idCol")}
+    out = model.transform(written(rows, "rows"), numbered)
+    columns = {name: F.col(f"_keep{k}").alias(name) for k, name in enumerate(carried)} | {text: F.col("text").alias(text)}
+    return out.select(*[columns[name] for name in keep], F.col("prediction_label").alias("prediction"))
 
 
 def predict_texts(spark: SparkSession, model: PipelineModel, texts: list[str]) -> DataFrame:
@@ -215,14 +208,14 @@ def train_and_evaluate(
     dataset: DataFrame,
     kind: str,
     output: str,
+    cleaning: PipelineModel,
     grid: dict[str, list] | None = None,
     folds: int = FOLDS,
-    lemmas: DataFrame | None = None,
-    min_length: int = 3,
-    stopwords: list[str] | None = None,
 ) -> Tuned:
     """Train on 80 % of a cleaned dataset, and store the model, its TF-IDF matrix and its results.
 
+    `cleaning` is what `preprocess_dataset` returned with the dataset; it is stored with the model.
+
     {output}/model holds the model with its cleaning, {output}/tfidf the weights of the training
     rows in long form, {output}/scores the grid, {output}/report and {output}/confusion the
     results on the other 20 %.
@@ -233,12 +226,13 @@ def train_and_evaluate(
     rows = prepare(dataset)
     train, valid = rows.where("NOT is_valid").drop("is_valid"), rows.where("is_valid").drop("is_valid")
     tuned = tune(train, kind, grid, folds)
-    with_cleaning(tuned.model, lemmas, min_length, stopwords).write().overwrite().save(f"{output}/model")
+    with_cleaning(tuned.model, cleaning).write().overwrite().save(f"{output}/model")
     write_weights(tfidf(train, fit_idf(train)), f"{output}/tfidf")
-    scored = materialize(
+    scored = written(
         tuned.model.transform(valid).select(
             F.col("label_post").alias("label"), F.col("prediction_label").alias("prediction")
-        )
+        ),
+        "scored",
     )
     counts = evaluation.confusion_counts(scored)
     write_results(output, evaluation.classification_report(scored), evaluation.confusion_percent(counts))

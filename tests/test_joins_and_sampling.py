@@ -22,10 +22,12 @@ def test_lookup_join_with_a_hot_key(spark, how):
     assert "_salt" in salted._jdf.queryExecution().optimizedPlan().toString()
 
 
-def test_hot_keys_need_as_many_salts_as_they_hold_shares(spark):
-    counts = spark.createDataFrame([("a", 10_000), ("b", 11), ("c", 3)], "key string, n bigint")
-    hot = {r.key: r["_salts"] for r in joins.hot_keys(counts, ["key"], floor=1).collect()}
-    assert hot["a"] == 999 and hot["b"] == 2 and "c" not in hot
+def test_rows_per_salt_do_not_grow_with_the_input(spark):
+    for scale in (1, 2, 50):
+        sizes = {"a": 10_000 * scale, "b": 110 * scale, "c": 3}
+        counts = spark.createDataFrame(list(sizes.items()), "key string, n bigint")
+        hot = {r.key: r["_salts"] for r in joins.hot_keys(counts, ["key"], floor=100).collect()}
+        assert set(hot) == {"a", "b"} and all(sizes[key] / salts <= 100 for key, salts in hot.items())
     assert joins.hot_keys(counts, ["key"]) is None
 
 

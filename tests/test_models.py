@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from postloom.functions.stages import SmoothTfidf
 from postloom.operators import bayes, evaluation, tfidf
 from postloom.plans import train as T
+from postloom.plans.preprocess import cleaning_model, preprocess_dataset
 from postloom.sources import tables
 from postloom.streaming.score import stream_predictions
 
@@ -97,7 +98,9 @@ def test_gaussian_bayes(spark, docs):
 ])
 def test_train_save_load_predict(spark, docs, tmp_path, kind, grid):
     out = str(tmp_path / kind)
-    tuned = T.train_and_evaluate(spark, docs, kind, out, grid, folds=3)
+    raw = docs.withColumnRenamed("text_clean", "text")
+    cleaned, cleaning = preprocess_dataset(raw)
+    tuned = T.train_and_evaluate(spark, cleaned, kind, out, cleaning, grid, folds=3)
     scores = tuned.scores.collect()
     assert len(scores) == 2 and all(0 <= r.score <= 1 for r in scores)
     best = T.best_scores(tuned.scores).first()
@@ -121,14 +124,16 @@ def test_errors(spark, docs, tmp_path):
     with pytest.raises(ValueError):
         T.build_pipeline("tree")
     with pytest.raises(ValueError):
-        T.train_and_evaluate(spark, docs, "tree", str(tmp_path))
+        T.train_and_evaluate(spark, docs, "tree", str(tmp_path), cleaning_model(None))
     with pytest.raises(Exception):
         T.load_model(str(tmp_path / "missing"))
 
 
 def test_default_grids():
     assert [len(T.build_pipeline(kind, 100)[1]) for kind in ("nb", "svm")] == [3, 12]
-    assert len(T.build_pipeline("rf")[1]) == 27  # the four pairs of minimums come down to three leaf minimums
+    maps = T.build_pipeline("rf")[1]
+    assert len(maps) == 36 and len(T.parameter_sets("rf")) == 36
+    assert len({tuple(sorted((p.name, v) for p, v in m.items())) for m in maps}) == 27  # four pairs of minimums, three leaf sizes
 
 
 def test_report(spark):
@@ -162,3 +167,16 @@ def test_dataset_files(spark, tmp_path):
     assert list((tmp_path / "l").glob("*.gz"))
     df.createOrReplaceTempView("some_posts")
     assert tables.read_table(spark, "some_posts").columns == df.columns
+
+
+def test_training_and_prediction_clean_alike(spark, tmp_path):
+    """Words that only the lemma table makes known, repeated and null ids, and as many rows out as in."""
+    rows = [(f"{k}", "dog cat walk dogs", "Venting") for k in range(20)] + [(f"r{k}", "paper book link books", "Resources") for k in range(10)]
+    raw = spark.createDataFrame(rows, "id string, text string, label_post string")
+    cleaned, cleaning = preprocess_dataset(raw)
+    T.train_and_evaluate(spark, cleaned, "nb", str(tmp_path / "m"), cleaning, {"var_smoothing": [1e-2]}, folds=2)
+    model = T.load_model(str(tmp_path / "m/model"))
+    texts = spark.createDataFrame([("a", "dogs dogs dogs"), ("a", "books"), (None, "dog"), (None, None)], "id string, text string")
+    got = [(r.id, r.text, r.prediction) for r in T.predict(model, texts, ("id", "text")).collect()]
+    assert len(got) == 4
+    assert set(got) >= {("a", "dogs dogs dogs", "Venting"), ("a", "books", "Resources"), (None, "dog", "Venting")}

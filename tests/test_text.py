@@ -114,7 +114,7 @@ def test_preprocess_dataset(spark):
     raw = spark.createDataFrame(
         [("Cars are https://x.y great", "A"), ("The car", "B"), ("", "B"), ("", "B")], "text string, label_post string"
     )
-    rows = sorted((r.label_post, r.text_clean) for r in preprocess_dataset(raw).collect())
+    rows = sorted((r.label_post, r.text_clean) for r in preprocess_dataset(raw)[0].collect())
     assert rows == [("A", "car great"), ("B", ""), ("B", ""), ("B", "car")]
     with pytest.raises(ValueError):
         preprocess_dataset(raw.drop("text"))

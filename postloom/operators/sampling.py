@@ -72,7 +72,9 @@ def stratified_split(
     only rows of that bucket are numbered. The table itself is then compared with the thresholds
     and is not shuffled.
     """
-    keyed = df.select(F.col(label).alias("_label"), order_key(id_col, seed).alias("_key"))
+    # rows without a label are a class of their own
+    name = F.coalesce(F.concat(F.lit("="), F.col(label).cast("string")), F.lit(""))
+    keyed = df.select(name.alias("_label"), order_key(id_col, seed).alias("_key"))
     digits = _bucket_digits(df.count(), per_bucket)
     keyed = keyed.withColumn("_bucket", F.substring("_key", 1, digits))
     sizes = keyed.groupBy("_label", "_bucket").agg(F.count("*").alias("n"))
@@ -92,9 +94,9 @@ def stratified_split(
         lookup_join(keyed, cut, ["_label", "_bucket"], "_key")
         .withColumn("within", within)
         .where(F.col("within") == F.col("nth"))
-        .select(F.col("_label").alias(label), F.col("_key").alias("_limit"))
+        .select("_label", F.col("_key").alias("_limit"))
     )
-    marked = lookup_join(df, materialize(limits), label, id_col, "left")
+    marked = lookup_join(df.withColumn("_label", name), materialize(limits), "_label", id_col, "left")
     inside = F.coalesce(order_key(id_col, seed) <= F.col("_limit"), F.lit(False))
     return marked.select(*df.columns, inside.alias("is_valid"))
 

@@ -17,10 +17,10 @@ from postloom import constants as C
 from postloom import schemas
 from postloom.functions.names import entity_of
 from postloom.operators import records, threads
-from postloom.session import configure, scratch_folder, written
+from postloom.session import configure, scratch_folder, scratch_scope, written
 from postloom.sources import manifest as M
 from postloom.sources.dumps import list_dumps, read_lines
-from postloom.sources.tables import read_stored, write_batch
+from postloom.sources.tables import read_committed, write_batch
 
 
 def mark(lines: DataFrame, field: str, value: str, match: str = "auto") -> DataFrame:
@@ -49,25 +49,48 @@ def store(
     """Append the matching lines of one batch to the tables and return its counters per file.
 
     Ids that an earlier batch has stored are left out. The batch writes to its own folders, so
-    storing it again after a failure replaces what the first attempt left behind.
+    storing it again after a failure replaces what the first attempt left behind, and readers see
+    it only once it is entered in the manifest. With `comment_depth` only comments up to that depth
+    are stored, with their depth (-1: none); parents have to be stored already or in this batch.
     """
     spark = marked.sparkSession
     staged = _stage(marked, scratch_folder(spark, "stage"))
     hits = records.parse_lines(staged.where("kind = 'matched'").select("path", "entity", "value"), field)
     posts = records.select_posts(hits.where("entity = 'submissions'"), "path")
-    _append(posts, f"{output}/submissions", batch_id, schemas.SUBMISSIONS)
+    _append(posts, output, "submissions", batch_id, schemas.SUBMISSIONS)
     if comment_depth is None or comment_depth >= 0:
         comments = records.select_comments(hits.where("entity = 'comments'"), "path")
-        _append(comments, f"{output}/comments", batch_id, schemas.COMMENTS)
+        _append(comments, output, "comments", batch_id, schemas.COMMENTS, comment_depth)
     errors = staged.where("kind = 'error'").select("path", "file_name", "line_status", "value")
     write_batch(errors, f"{output}/rejects", batch_id)
     return records.line_counters(staged, "path")
 
 
-def _append(rows: DataFrame, path: str, batch_id: str, schema) -> None:
-    stored = read_stored(rows.sparkSession, path, schema).where(F.col("batch_id") != batch_id)
+def _append(rows: DataFrame, output: str, table: str, batch_id: str, schema, depth: int | None = None) -> None:
+    stored = read_committed(rows.sparkSession, output, table, schema).where(F.col("batch_id") != batch_id)
     first = written(records.keep_first(rows, "id", ["created_utc", "path"]).drop("path"), "first")
-    write_batch(records.not_stored(first, stored, "id"), path, batch_id, "created_utc")
+    if depth is not None:
+        every = stored.select(schema.names).unionByName(first.select(schema.names))
+        deep = threads.thread_depth(every, depth).select("id", "depth").dropDuplicates(["id"])
+        first = written(first.drop("depth").join(deep, "id").select(*first.columns), "first")
+    write_batch(records.not_stored(first, stored, "id"), f"{output}/{table}", batch_id, "created_utc")
+
+
+def readable(spark: SparkSession, paths: list[str], long_windows: bool = False) -> tuple[list[str], dict[str, str]]:
+    """Files that can be read to their end, and the error of each that cannot.
+
+    Halves a list that fails, so a few bad files among many take few jobs. Only looked for after a
+    batch has failed.
+    """
+    try:
+        read_lines(spark, paths, long_windows).agg(F.sum(F.length("value"))).first()
+    except Exception as error:
+        if len(paths) == 1:
+            return [], {paths[0]: str(error).strip().splitlines()[0][:500] if str(error).strip() else type(error).__name__}
+        half = len(paths) // 2
+        left, right = readable(spark, paths[:half], long_windows), readable(spark, paths[half:], long_windows)
+        return left[0] + right[0], left[1] | right[1]
+    return paths, {}
 
 
 def ingest(
@@ -85,12 +108,14 @@ def ingest(
 ) -> DataFrame:
     """Ingest all files under `folder` that are not in the manifest yet; returns the manifest.
 
-    A second call reads only files that are new. A call with another filter than the stored run
-    raises ValueError and writes nothing. With `comment_depth` -1 no comments are stored.
+    A second call reads only files that are new or failed before. A file that cannot be read to its
+    end gets its error in the manifest and is not complete; the others are stored. A call with
+    another filter than the stored run raises ValueError and writes nothing. With `comment_depth`
+    only comments up to that depth are stored (-1: none).
     """
     configure(spark)
     records.matches(F.lit(""), value, match)  # rejects an unusable filter before anything is read
-    args = M.run_args(field, value)
+    args = M.run_args(field, value, match)
     manifest = M.read_manifest(spark, output)
     M.check_args(manifest, args)
     files = M.pending(list_dumps(spark, folder, start, end), manifest)
@@ -98,31 +123,51 @@ def ingest(
     todo = [row.path for row in files.select("path").orderBy("path").collect()]
     if not todo:
         return manifest
-    batch_id = "b" + hashlib.md5("\n".join([args, *todo]).encode()).hexdigest()
-    marked = mark(read_lines(spark, todo, long_windows, spread), field, value, match)
-    counters = store(marked, output, batch_id, field, comment_depth)
-    same = lambda name: F.regexp_replace(name, "^file:/+", "/")
-    counted = counters.select(same("path").alias("_at"), *[c for c in counters.columns if c != "path"])
-    state = files.join(counted, same("path") == F.col("_at"), "left").select(
-        F.col("path").alias("input_path"),
-        F.lit(output).alias("output_path"),
-        F.lit(True).alias("complete"),
-        *[F.coalesce(name, F.lit(0)).alias(name) for name in ("lines_processed", "error_lines", "lines_matched")],
-        F.col("length").alias("file_size"),
-        F.lit(None).cast("string").alias("error_message"),
-        F.lit(args).alias("args"),
-        F.lit(M.RUN_TYPE).alias("type"),
-    )
-    M.append_manifest(state, output, batch_id)
+
+    def run(paths: list[str], failed: dict[str, str]) -> None:
+        # the name depends on the files that failed as well, so a later try of theirs is a batch of its own
+        batch_id = "b" + hashlib.md5("\n".join([args, *todo, *sorted(failed)]).encode()).hexdigest()
+        marked = mark(read_lines(spark, paths, long_windows, spread), field, value, match)
+        counters = store(marked, output, batch_id, field, comment_depth)
+        same = lambda name: F.regexp_replace(name, "^file:/+", "/")
+        counted = counters.select(same("path").alias("_at"), *[c for c in counters.columns if c != "path"])
+        errors = spark.createDataFrame(list(failed.items()), "_failed string, error_message string")
+        state = (
+            files.join(counted, same("path") == F.col("_at"), "left")
+            .join(errors, F.col("path") == F.col("_failed"), "left")
+            .select(
+                F.col("path").alias("input_path"),
+                F.lit(output).alias("output_path"),
+                F.col("error_message").isNull().alias("complete"),
+                *[F.coalesce(name, F.lit(0)).alias(name) for name in ("lines_processed", "error_lines", "lines_matched")],
+                F.col("length").alias("file_size"),
+                "error_message",
+                F.lit(args).alias("args"),
+                F.lit(M.RUN_TYPE).alias("type"),
+            )
+        )
+        M.append_manifest(state, output, batch_id)
+
+    with scratch_scope(spark):
+        try:
+            run(todo, {})
+        except Exception:
+            good, bad = readable(spark, todo, long_windows)
+            if not bad:
+                raise
+            run(good, bad)
     return M.read_manifest(spark, output)
 
 
 def totals(manifest: DataFrame) -> DataFrame:
-    """Run totals over the manifest."""
-    return records.run_totals(manifest.withColumn("bytes_processed", F.when(F.col("complete"), F.col("file_size")).otherwise(0)))
+    """Run totals over the manifest; of a file that failed and was read later the later state counts."""
+    rest = [name for name in manifest.columns if name not in ("input_path", "complete")]
+    last = manifest.groupBy("input_path").agg(F.max(F.struct("complete", *rest)).alias("_last"))
+    files = last.select("input_path", "_last.*")
+    return records.run_totals(files.withColumn("bytes_processed", F.when(F.col("complete"), F.col("file_size")).otherwise(0)))
 
 
 def comment_threads(spark: SparkSession, output: str, max_depth: int | None = None) -> DataFrame:
     """Stored comments with their depth, without excluded ones and the replies below them."""
-    comments = read_stored(spark, f"{output}/comments", schemas.COMMENTS).select(schemas.COMMENTS.names)
+    comments = read_committed(spark, output, "comments", schemas.COMMENTS).select(schemas.COMMENTS.names)
     return threads.thread_depth(comments, max_depth, threads.keeps(F.col("author"), F.col("body")))

@@ -17,7 +17,7 @@ from postloom.plans import train
 from postloom.plans import views as V
 from postloom.plans.preprocess import clean_text, preprocess_dataset
 from postloom.session import configure, scratch_folder, written
-from postloom.sources.tables import read_stored
+from postloom.sources.tables import read_committed
 from postloom.streaming.ingest import ingest_stream
 from postloom.streaming.score import stream_predictions
 
@@ -397,7 +397,7 @@ def stream_ingest(spark, sf_dir):
         .select(path.alias("path"), F.regexp_extract(path, "file_name=([^/]+)/", 1).alias("file_name"), "value")
     )
     ingest_stream(lines, f"{folder}/out", f"{folder}/state", value=S.LINE_VALUE).awaitTermination()
-    posts = read_stored(spark, f"{folder}/out/submissions", schemas.SUBMISSIONS)
+    posts = read_committed(spark, f"{folder}/out", "submissions", schemas.SUBMISSIONS)
     return posts.select(
         "id", "author", "title", F.unix_seconds("created_utc").alias("created_epoch"), "selftext", "subreddit", "link",
         "score",

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -83,5 +86,29 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
 
 
 def scratch_folder(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder name under the shared checkpoint folder."""
-    return f"{checkpoint_dir(spark)}/{purpose}-{uuid.uuid4().hex}"
+    """A fresh folder name under the shared checkpoint folder; an open scope removes it at its end."""
+    folder = f"{checkpoint_dir(spark)}/{purpose}-{uuid.uuid4().hex}"
+    owned = _owned.get()
+    if owned is not None:
+        owned.append(folder)
+    return folder
+
+
+_owned: ContextVar[list[str] | None] = ContextVar("owned", default=None)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Remove the scratch tables made inside once the block has ended, also by an error.
+
+    Nothing that is still to be read may depend on them: results are stored inside the block.
+    """
+    token, folders = _owned.set([]), []
+    try:
+        yield
+    finally:
+        folders = _owned.get() or []
+        _owned.reset(token)
+        for folder in folders:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

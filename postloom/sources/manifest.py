@@ -11,8 +11,10 @@ from postloom.sources.tables import read_stored, write_batch
 RUN_TYPE = "split"
 
 
-def run_args(field: str, value: str) -> str:
-    return f"{field}:{value or None}"
+def run_args(field: str, value: str, match: str = "auto") -> str:
+    """The filter of a run as one text; the mode is named where it is not the usual one."""
+    mode = "" if match == "auto" else f" ({match})"
+    return f"{field}:{value or None}{mode}"
 
 
 def read_manifest(spark: SparkSession, output: str) -> DataFrame:

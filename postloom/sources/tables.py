@@ -26,6 +26,25 @@ def read_stored(spark: SparkSession, path: str, schema: T.StructType) -> DataFra
         raise
 
 
+def read_committed(spark: SparkSession, output: str, table: str, schema: T.StructType) -> DataFrame:
+    """A stored table without the batches of runs that ended before they were entered in the manifest or the progress."""
+    entered = [
+        spark.read.schema("batch_id string").parquet(f"{output}/{name}").select("batch_id")
+        for name in ("manifest", "progress")
+        if _exists(spark, f"{output}/{name}")
+    ]
+    stored = read_stored(spark, f"{output}/{table}", schema)
+    if not entered:
+        return stored.limit(0)
+    batches = entered[0] if len(entered) == 1 else entered[0].unionByName(entered[1])
+    return stored.join(batches.distinct(), "batch_id", "left_semi").select(*stored.columns)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+
+
 def read_table(spark: SparkSession, name: str) -> DataFrame:
     """A catalog table with the columns it has."""
     return spark.table(name)
@@ -46,7 +65,9 @@ def write_batch(rows: DataFrame, path: str, batch_id: str, month_of: str | None
     if month_of is None:
         rows.write.mode("overwrite").parquet(target)
         return
-    month = F.coalesce(F.date_format(month_of, "yyyy-MM"), F.lit("none"))
+    # from the day in UTC, whatever the time zone of the session
+    day = F.date_from_unix_date(F.floor(F.unix_seconds(month_of) / 86400).cast("int"))
+    month = F.coalesce(F.date_format(day, "yyyy-MM"), F.lit("none"))
     rows.withColumn("month", month).hint("rebalance", "month").write.mode("overwrite").partitionBy("month").parquet(target)
 
 

@@ -10,7 +10,7 @@ from postloom import constants as C
 from postloom.functions.names import in_months
 from postloom.operators.records import OK
 from postloom.plans.ingest import mark, store
-from postloom.session import configure
+from postloom.session import configure, scratch_scope
 from postloom.sources.dumps import stream_lines
 from postloom.sources.tables import stream_batch_id, write_batch
 
@@ -61,9 +61,10 @@ def ingest_stream(
 
     def write(batch: DataFrame, number: int) -> None:
         batch_id = stream_batch_id(batch, number)
-        counters = store(batch, output, batch_id, field, comment_depth)
-        progress = counters.withColumn("batch", F.lit(number)).withColumn("ts", F.current_timestamp())
-        write_batch(progress, f"{output}/progress", batch_id)
+        with scratch_scope(batch.sparkSession):
+            counters = store(batch, output, batch_id, field, comment_depth)
+            progress = counters.withColumn("batch", F.lit(number)).withColumn("ts", F.current_timestamp())
+            write_batch(progress, f"{output}/progress", batch_id)
 
     return (
         marked.writeStream.foreachBatch(write)

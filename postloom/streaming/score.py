@@ -6,6 +6,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
+from postloom.session import scratch_scope
 from postloom.sources.tables import stream_batch_id, write_batch
 
 
@@ -20,7 +21,8 @@ def stream_predictions(
     from postloom.plans.train import predict
 
     def write(batch: DataFrame, batch_number: int) -> None:
-        write_batch(predict(model, batch, keep), output, stream_batch_id(batch, batch_number))
+        with scratch_scope(batch.sparkSession):
+            write_batch(predict(model, batch, keep), output, stream_batch_id(batch, batch_number))
 
     return (
         texts.writeStream.foreachBatch(write)

@@ -9,7 +9,7 @@ from postloom import schemas
 from postloom.operators import threads
 from postloom.plans import ingest as I
 from postloom.sources import dumps, manifest
-from postloom.sources.tables import read_stored
+from postloom.sources.tables import read_committed, read_stored
 from postloom.streaming.ingest import stream_ingest
 
 
@@ -166,3 +166,70 @@ def test_stream_equals_batch_and_reads_files_once(spark, folder, tmp_path):
 def test_month_limits_in_the_stream(spark, folder, tmp_path):
     stream_ingest(spark, str(folder), str(tmp_path / "o"), str(tmp_path / "s"), start="2020-02", end="2020-03").awaitTermination()
     assert ids(read_stored(spark, str(tmp_path / "o" / "submissions"), schemas.SUBMISSIONS)) == ["p1", "p3", "p4", "p5"]
+
+
+def test_one_bad_file_does_not_stop_the_others(spark, folder, tmp_path):
+    broken = folder / "RS_2020-05.zst"
+    write(broken, "\n".join(post(f"q{k}", title="x" * 300 + str(k * 7919)) for k in range(3000)))
+    whole = broken.read_bytes()
+    broken.write_bytes(whole[: len(whole) // 2])
+    out = str(tmp_path / "o")
+    rows = {r.input_path.rsplit("/", 1)[1]: r for r in I.ingest(spark, str(folder), out).collect()}
+    assert not rows["RS_2020-05.zst"].complete and rows["RS_2020-05.zst"].error_message
+    assert all(r.complete and r.error_message is None for name, r in rows.items() if name != "RS_2020-05.zst")
+    assert I.totals(manifest.read_manifest(spark, out)).first().files_failed == 1
+    assert ids(read_committed(spark, out, "submissions", schemas.SUBMISSIONS)) == ["p1", "p3", "p4", "p5"]
+    broken.write_bytes(whole)
+    again = I.ingest(spark, str(folder), out)
+    assert sum(r.complete for r in again.collect()) == 5
+    last = I.totals(again).first()
+    assert (last.files, last.files_failed, last.files_done) == (5, 0, 5)
+    assert read_committed(spark, out, "submissions", schemas.SUBMISSIONS).count() == 3004
+
+
+def test_readers_see_only_batches_that_are_entered(spark, folder, tmp_path):
+    out = str(tmp_path / "o")
+    I.ingest(spark, str(folder), out)
+    lines = dumps.read_lines(spark, [str(folder / "RS_misc.zst")])
+    I.store(I.mark(lines.withColumn("value", F.replace("value", F.lit("p5"), F.lit("p9"))), "subreddit", "mentalhealth"), out, "died", "subreddit")
+    assert "p9" in ids(read_stored(spark, f"{out}/submissions", schemas.SUBMISSIONS))
+    assert "p9" not in ids(read_committed(spark, out, "submissions", schemas.SUBMISSIONS))
+
+
+def test_comment_depth_limits_what_is_stored(spark, folder, tmp_path):
+    for depth, want in ((-1, {}), (0, {"c1": 0}), (1, {"c1": 0, "c2": 1})):
+        out = str(tmp_path / f"o{depth}")
+        I.ingest(spark, str(folder), out, comment_depth=depth)
+        assert {r.id: r.depth for r in read_committed(spark, out, "comments", schemas.COMMENTS).collect()} == want
+
+
+def test_ingest_leaves_no_scratch_tables(spark, folder, tmp_path):
+    import os
+
+    from postloom.session import checkpoint_dir
+
+    where = checkpoint_dir(spark).removeprefix("file:")
+    before = set(os.listdir(where))
+    I.ingest(spark, str(folder), str(tmp_path / "o"))
+    stream_ingest(spark, str(folder), str(tmp_path / "s"), str(tmp_path / "state")).awaitTermination()
+    left = {name for name in set(os.listdir(where)) - before if "-" in name and not name.count("-") == 4}
+    assert not left
+
+
+def test_months_do_not_depend_on_the_time_zone(spark, tmp_path):
+    from postloom.sources.tables import write_batch
+
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        rows = spark.range(1).select(F.timestamp_seconds(F.lit(1577836800)).alias("created_utc"))  # 2020-01-01 in UTC
+        write_batch(rows, str(tmp_path / "t"), "b", "created_utc")
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert [p.name for p in (tmp_path / "t" / "batch_id=b").glob("month=*")] == ["month=2020-01"]
+
+
+def test_another_match_mode_is_another_run(spark, folder, tmp_path):
+    I.ingest(spark, str(folder), str(tmp_path / "o"))
+    with pytest.raises(ValueError):
+        I.ingest(spark, str(folder), str(tmp_path / "o"), match="exact")

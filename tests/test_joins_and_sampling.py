@@ -54,6 +54,12 @@ def labelled(spark):
     return spark.createDataFrame([(str(i), label) for i, label in enumerate(LABELS)], "id string, label string")
 
 
+def test_rows_without_a_label_are_split_like_a_class(spark):
+    df = spark.createDataFrame([(str(i), "a" if i < 50 else None) for i in range(80)], "id string, label string")
+    rows = sampling.stratified_split(df, "id", "label").where("is_valid").collect()
+    assert sum(r.label == "a" for r in rows) == 10 and sum(r.label is None for r in rows) == 6
+
+
 @pytest.mark.parametrize("per_bucket", [1_000_000, 20, 1])
 def test_split_and_folds(labelled, per_bucket):
     ranks = brute_ranks()

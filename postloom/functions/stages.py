@@ -257,7 +257,7 @@ class GaussianTextBayes(Estimator, _BayesParams):
 
 
 class GaussianTextBayesModel(_TableModel, _BayesParams):
-    TABLES = ("terms",)
+    TABLES = ("terms", "classes")
 
     def __init__(self, fit: BayesFit | None = None):
         super().__init__()
@@ -265,15 +265,15 @@ class GaussianTextBayesModel(_TableModel, _BayesParams):
         self.fit = fit
 
     def _tables(self) -> dict[str, DataFrame]:
-        return {"terms": self.fit.terms}
+        return {"terms": self.fit.terms, "classes": self.fit.classes}
 
     def _state(self):
-        return json.dumps([self.fit.labels, self.fit.sizes, self.fit.max_variance])
+        return json.dumps([self.fit.rows, self.fit.n_terms, self.fit.max_variance])
 
     @classmethod
     def _restore(cls, tables, state):
-        labels, sizes, variance = json.loads(state)
-        return cls(BayesFit(labels, sizes, tables["terms"], variance))
+        rows, n_terms, variance = json.loads(state)
+        return cls(BayesFit(tables["classes"], tables["terms"], rows, n_terms, variance))
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
         key = self.getOrDefault(self.idCol)

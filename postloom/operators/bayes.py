@@ -14,74 +14,74 @@ from functools import reduce
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from postloom.operators.joins import BROADCAST_BYTES, HOT_FLOOR, lookup_join
+from postloom.operators.joins import BROADCAST_BYTES, HOT_FLOOR, lookup_join, small
 from postloom.operators.tfidf import fit_idf, term_counts, tfidf
 from postloom.session import written
 
 SMOOTHING = [1e-9, 1e-8, 1e-7]
-MAX_CLASSES = 200
 
 
 @dataclass
 class BayesFit:
-    """Class sizes and one row per term: `term, df, idf, s1_0, s2_0, s1_1, ...` (sums of w and w*w)."""
+    """Class sizes `(class, n)`, and a row per term and class with the sums of w and w*w: `term, df, idf, class, s1, s2`.
 
-    labels: list[str]
-    sizes: list[int]
+    A class without a row for a term has only zeros there. There is no bound on terms or classes.
+    """
+
+    classes: DataFrame
     terms: DataFrame
+    rows: int
+    n_terms: int
     max_variance: float
 
 
 def fit_bayes(docs: DataFrame, label: str, id_col: str = "id", text: str = "text_clean") -> BayesFit:
-    """Class statistics of every term, combined before the one shuffle by term."""
-    rows = docs.groupBy(label).agg(F.count("*").alias("n")).orderBy(label).limit(MAX_CLASSES + 1).collect()
-    if len(rows) > MAX_CLASSES:
-        raise ValueError(f"more than {MAX_CLASSES} classes")
-    labels, sizes = [row[label] for row in rows], [row.n for row in rows]
-    idf = fit_idf(docs, text, sum(sizes))
+    """Class statistics of every term, combined before the one shuffle by term and class."""
+    classes = written(docs.groupBy(F.col(label).alias("class")).agg(F.count("*").alias("n")), "classes")
+    rows = classes.agg(F.sum("n")).first()[0] or 0
+    idf = fit_idf(docs, text, rows)
     # the label travels with the words, so the weights need no join with the documents afterwards
     weights = tfidf(docs, idf, id_col, text, (label,))
     w = F.col("weight")
-    sums: list[Column] = []
-    for index, name in enumerate(labels):
-        mine = F.when(F.col(label) == name, w)
-        sums += [
-            F.coalesce(F.sum(mine), F.lit(0.0)).alias(f"s1_{index}"),
-            F.coalesce(F.sum(mine * mine), F.lit(0.0)).alias(f"s2_{index}"),
-        ]
-    per_term = weights.groupBy("term").agg(*sums)
-    terms = written(idf.join(per_term, "term"), "terms")
-    n = float(sum(sizes))
-    all1 = sum((F.col(f"s1_{i}") for i in range(len(labels))), F.lit(0.0))
-    all2 = sum((F.col(f"s2_{i}") for i in range(len(labels))), F.lit(0.0))
-    variance = F.greatest(all2 / n - (all1 / n) * (all1 / n), F.lit(0.0))
-    top = terms.agg(F.max(variance)).first()[0]
+    sums = weights.groupBy("term", F.col(label).alias("class")).agg(F.sum(w).alias("s1"), F.sum(w * w).alias("s2"))
+    terms = written(idf.join(sums, "term"), "terms")
+    all1, all2 = F.sum("s1") / float(rows or 1), F.sum("s2") / float(rows or 1)
+    per_term = terms.groupBy("term").agg(F.greatest(all2 - all1 * all1, F.lit(0.0)).alias("variance"))
+    n_terms, top = per_term.agg(F.count("*"), F.max("variance")).first()
     # without any variance the smoothing has nothing to scale with, so it stands for itself
-    return BayesFit(labels, sizes, terms, top or 1.0)
+    return BayesFit(classes, terms, rows, n_terms, top or 1.0)
 
 
-def _moments(fit: BayesFit, index: int, smoothing: float) -> tuple[Column, Column]:
-    size = float(fit.sizes[index])
-    mean = F.col(f"s1_{index}") / size
-    variance = F.greatest(F.col(f"s2_{index}") / size - mean * mean, F.lit(0.0))
+def _moments(fit: BayesFit, smoothing: float) -> tuple[Column, Column]:
+    mean = F.col("s1") / F.col("n")
+    variance = F.greatest(F.col("s2") / F.col("n") - mean * mean, F.lit(0.0))
     return mean, variance + F.lit(smoothing * fit.max_variance)
 
 
-def base_scores(fit: BayesFit, smoothing: list[float]) -> list[list[float]]:
-    """Score of an empty document per smoothing value and class, from one pass over the terms."""
+def base_scores(fit: BayesFit, smoothing: list[float]) -> DataFrame:
+    """Score of an empty document per class, `(class, base_0, rank_0, ...)`; the best class has rank 0."""
     sums = []
-    for value in smoothing:
-        for index in range(len(fit.labels)):
-            mean, variance = _moments(fit, index, value)
-            sums.append(F.sum(-0.5 * F.log(2 * math.pi * variance) - 0.5 * mean * mean / variance))
-    row = fit.terms.agg(*sums).first()
-    n, k = sum(fit.sizes), len(fit.labels)
-    return [
-        [math.log(fit.sizes[i] / n) + (row[s * k + i] or 0.0) for i in range(k)] for s in range(len(smoothing))
-    ]
+    for s, value in enumerate(smoothing):
+        mean, variance = _moments(fit, value)
+        sums.append(F.sum(-0.5 * F.log(2 * math.pi * variance) - 0.5 * mean * mean / variance).alias(f"sum_{s}"))
+    known = fit.terms.join(small(fit.classes), "class").groupBy("class").agg(F.count("*").alias("known"), *sums)
+    scored = fit.classes.join(small(known), "class", "left")
+    absent = F.lit(fit.n_terms) - F.coalesce("known", F.lit(0))
+    columns = []
+    for s, value in enumerate(smoothing):
+        # zeros everywhere: mean 0 and the variance that smoothing alone gives
+        zero = -0.5 * math.log(2 * math.pi * value * fit.max_variance)
+        score = F.log(F.col("n") / F.lit(float(fit.rows))) + F.coalesce(f"sum_{s}", F.lit(0.0)) + absent * F.lit(zero)
+        columns.append(score.alias(f"base_{s}"))
+    based = scored.select("class", *columns)
+    # one row per class
+    for s in range(len(smoothing)):
+        order = Window.orderBy(F.desc(f"base_{s}"), "class")
+        based = based.withColumn(f"rank_{s}", F.row_number().over(order) - 1)
+    return written(based, "bases")
 
 
 def predict_bayes(
@@ -93,59 +93,65 @@ def predict_bayes(
     broadcast_bytes: int = BROADCAST_BYTES,
     floor: int = HOT_FLOOR,
 ) -> DataFrame:
-    """`(id, prediction_0, prediction_1, ...)`, one prediction per smoothing value.
+    """`(id, prediction_0, prediction_1, ...)`, one prediction per smoothing value; the first class wins ties.
 
-    All smoothing values share one pass; a document without any known term gets the base scores.
+    All smoothing values share one pass. What a term adds to a class without it is the same for all
+    such classes, so scores are counted from there: a document only adds up the classes its terms
+    are known in, and the best of all other classes is the first of the base order that is not
+    among them. A document without any known term gets the base order's first.
     """
-    k = len(fit.labels)
+    count = range(len(smoothing))
     bases = base_scores(fit, smoothing)
     changes = {}
     for s, value in enumerate(smoothing):
-        for index in range(k):
-            mean, variance = _moments(fit, index, value)
-            changes[f"a_{s}_{index}"] = mean / variance
-            changes[f"b_{s}_{index}"] = 0.5 / variance
+        mean, variance = _moments(fit, value)
+        changes[f"a_{s}"] = mean / variance
+        changes[f"b_{s}"] = 0.5 / variance - 0.5 / (value * fit.max_variance)
     names = list(changes)
-    factors = written(
-        fit.terms.select("term", "df", "idf", *[changes[name].alias(name) for name in names]), "factors"
+    per_class = F.struct("class", *[changes[name].alias(name) for name in names])
+    factors = fit.terms.join(small(fit.classes), "class").groupBy("term").agg(
+        F.first("df").alias("n"), F.first("idf").alias("idf"), F.collect_list(per_class).alias("by_class")
     )
+    factors = written(factors, "factors")
     words = lookup_join(
-        term_counts(docs, id_col, text), factors, "term", id_col, "inner",
-        factors.select("term", F.col("df").alias("n")), broadcast_bytes, floor,
+        term_counts(docs, id_col, text), factors.drop("n"), "term", id_col, "inner", factors.select("term", "n"),
+        broadcast_bytes, floor,
     )
-    # a weight is tf * idf over the length of the document, and the length comes out of the sums
+    # a weight is tf * idf over the length of the document; a row without a class sums up that length
     raw = F.col("tf") * F.col("idf")
-    per_doc = words.groupBy(id_col).agg(
-        F.sum(raw * raw).alias("q"),
-        *[F.sum(raw * F.col(name) if name.startswith("a") else raw * raw * F.col(name)).alias(name) for name in names],
+    no_class = F.struct(
+        F.lit(None).cast(fit.classes.schema["class"].dataType).alias("class"), *[F.lit(0.0).alias(name) for name in names]
     )
-    per_doc = per_doc.select(
-        id_col,
-        *[
-            (F.col(f"a_{s}_{i}") / F.sqrt("q") - F.col(f"b_{s}_{i}") / F.col("q")).alias(f"d_{s}_{i}")
-            for s in range(len(smoothing))
-            for i in range(k)
-        ],
+    spread = words.select(
+        id_col, raw.alias("_raw"), F.explode(F.concat("by_class", F.array(no_class))).alias("_of")
+    ).select(id_col, "_raw", "_of.*")
+    square = F.col("_raw") * F.col("_raw")
+    sums = spread.groupBy(id_col, "class").agg(
+        F.sum(square).alias("q"),
+        *[F.sum((F.col("_raw") if name.startswith("a") else square) * F.col(name)).alias(name) for name in names],
     )
-    everyone = docs.select(id_col).join(per_doc, id_col, "left")
-    return everyone.select(
-        id_col,
-        *[
-            _best(fit.labels, [F.lit(bases[s][i]) + F.coalesce(f"d_{s}_{i}", F.lit(0.0)) for i in range(k)]).alias(
-                f"prediction_{s}"
-            )
-            for s in range(len(smoothing))
-        ],
+    sums = sums.join(small(bases), "class", "left")
+    found = F.struct("class", *names, *[f"base_{s}" for s in count], *[f"rank_{s}" for s in count])
+    per_doc = sums.groupBy(id_col).agg(
+        F.max(F.when(F.col("class").isNull(), F.col("q"))).alias("q"),
+        F.collect_list(F.when(F.col("class").isNotNull(), found)).alias("found"),
     )
-
-
-def _best(labels: list[str], scores: list[Column]) -> Column:
-    """The label of the highest score, the first one on ties."""
-    top = F.greatest(*scores) if len(scores) > 1 else scores[0]
-    choice = F.lit(labels[-1])
-    for name, score in reversed(list(zip(labels, scores))[:-1]):
-        choice = F.when(score == top, F.lit(name)).otherwise(choice)
-    return choice
+    everyone = docs.select(id_col).join(per_doc, id_col, "left")
+    for s in count:
+        score = lambda x: x[f"base_{s}"] + x[f"a_{s}"] / F.sqrt("q") - x[f"b_{s}"] / F.col("q")  # noqa: B023, E731
+        scored = F.transform("found", lambda x: F.struct((-score(x)).alias("score"), x["class"].alias("class")))  # noqa: B023
+        ranks = F.array_sort(F.transform("found", lambda x: x[f"rank_{s}"]))  # noqa: B023
+        # the first rank that none of the classes found has
+        gap = F.aggregate(ranks, F.lit(0), lambda at, rank: F.when(rank == at, at + 1).otherwise(at))
+        others = bases.select(
+            F.col(f"rank_{s}").alias("_rank"),
+            F.struct((-F.col(f"base_{s}")).alias("score"), "class").alias("_other"),
+        )
+        best = everyone.withColumn("_best", F.array_min(scored)).withColumn("_gap", F.coalesce(gap, F.lit(0)))
+        everyone = best.join(small(others), F.col("_gap") == F.col("_rank"), "left").withColumn(
+            f"prediction_{s}", F.least("_best", "_other")["class"]
+        ).drop("_best", "_gap", "_rank", "_other")
+    return everyone.select(id_col, *[f"prediction_{s}" for s in count])
 
 
 def cross_validate_bayes(

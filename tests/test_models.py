@@ -82,7 +82,7 @@ def gaussian(rows, test, smoothing):
 def test_gaussian_bayes(spark, docs):
     rows, test = corpus(), corpus(60, seed=9)
     fit = bayes.fit_bayes(docs, "label_post")
-    assert fit.labels == ["a", "b", "c"] and sum(fit.sizes) == len(rows)
+    assert sorted(r["class"] for r in fit.classes.collect()) == ["a", "b", "c"] and fit.rows == len(rows)
     new = spark.createDataFrame(test, "id string, label_post string, text_clean string")
     values = [1e-9, 1e-7, 1e-2]
     for options in ({}, {"broadcast_bytes": 0, "floor": 5}):
@@ -180,3 +180,12 @@ def test_training_and_prediction_clean_alike(spark, tmp_path):
     got = [(r.id, r.text, r.prediction) for r in T.predict(model, texts, ("id", "text")).collect()]
     assert len(got) == 4
     assert set(got) >= {("a", "dogs dogs dogs", "Venting"), ("a", "books", "Resources"), (None, "dog", "Venting")}
+
+
+def test_bayes_with_very_many_classes(spark):
+    rng = random.Random(7)
+    rows = [(f"{k}", f"c{k % 300:03}", f"topic{k % 300} shared " + " ".join(f"w{rng.randrange(40)}" for _ in range(4))) for k in range(900)]
+    docs = spark.createDataFrame(rows, "id string, label_post string, text_clean string")
+    test = rows[:40] + [("none", "", "unknown"), ("empty", "", "")]
+    got = bayes.predict_bayes(bayes.fit_bayes(docs, "label_post"), spark.createDataFrame(test, docs.schema), [1e-2]).collect()
+    assert {r.id: r.prediction_0 for r in got} == gaussian(rows, test, 1e-2)

@@ -341,7 +341,7 @@ SELECT run, sample_id, round(avg_speed, 6) AS avg_speed, cast(floor((total - byt
         "comments_per_post": _with(
             THREAD, ("starts", "SELECT concat('p', cast(conv_id AS string)) AS id, role AS started_by, text AS opening FROM conversations WHERE turn = 0")
         )
-        + "SELECT s.id, any_value(started_by) AS started_by, any_value(opening) AS opening, count(*) AS comments FROM starts s JOIN thread t ON t.post_id = s.id GROUP BY s.id",
+        + "SELECT s.id, any_value(started_by) AS started_by, any_value(opening) AS opening, count(t.post_id) AS comments FROM starts s LEFT JOIN thread t ON t.post_id = s.id GROUP BY s.id",
         "remove_urls": _with(POSTS, DATASET) + f"SELECT id, {_no_urls('text')} AS text FROM dataset",
         "remove_punct": _with(POSTS, DATASET) + f"SELECT id, {_no_punct('text')} AS text FROM dataset",
         "remove_non_ascii": "SELECT doc_id, " + _ascii("text") + " AS text FROM documents",
@@ -360,6 +360,9 @@ SELECT run, sample_id, round(avg_speed, 6) AS avg_speed, cast(floor((total - byt
         "doc_freq": _with(*TO_CLEAN, TERMS, IDF) + "SELECT term, df, round(idf, 6) AS idf FROM idf",
         "vocabulary": _with(*TO_CLEAN, TERMS) + "SELECT DISTINCT term FROM terms ORDER BY term",
         "tfidf": _with(*TO_CLEAN, TERMS, IDF, TFIDF) + "SELECT id, term, round(weight, 6) AS weight FROM tfidf",
+        "smooth_tfidf": _with(*TO_CLEAN, TERMS, IDF, TFIDF) + "SELECT id, term, round(weight, 6) AS weight FROM tfidf",
+        "stored_dataset": _with(*TO_CLEAN) + "SELECT label_post, text_clean FROM clean",
+        "stored_weights": _with(*TO_CLEAN, TERMS, IDF, TFIDF) + "SELECT id, term, round(weight, 6) AS weight FROM tfidf",
         "label_set": _with(POSTS, DATASET) + "SELECT DISTINCT label_post FROM dataset ORDER BY label_post",
         "class_weights": _with(POSTS, DATASET)
         + "SELECT label_post, count(*) AS n, round((SELECT count(*) FROM dataset) / ((SELECT count(DISTINCT label_post) FROM dataset) * count(*)), 9) AS weight FROM dataset GROUP BY label_post",
@@ -375,6 +378,10 @@ SELECT run, sample_id, round(avg_speed, 6) AS avg_speed, cast(floor((total - byt
         "predict_batch": _bayes(1e-7),
         "predict_stream": _bayes(1e-7),
         "confusion_counts": _with(_PAIRS, _COUNTS) + "SELECT label, prediction, n FROM counts",
+        "confusion_matrix": _with(_PAIRS, _COUNTS)
+        + """SELECT label, coalesce(sum(n) FILTER (prediction = 0), 0)::bigint AS predicted_0,
+ coalesce(sum(n) FILTER (prediction = 1), 0)::bigint AS predicted_1 FROM counts GROUP BY label""",
+        "best_score": f"SELECT * FROM ({_bayes_grid(SMOOTHING, FOLDS)}) ORDER BY score DESC, grid_index LIMIT 1",
         "confusion_percent": _with(_PAIRS, _COUNTS)
         + "SELECT label, prediction, n, round(100.0 * n / sum(n) OVER (PARTITION BY label), 6) AS percent FROM counts",
         "classification_report": _with(_PAIRS, _COUNTS, _REPORT)

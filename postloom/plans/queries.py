@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postloom import constants as C
-from postloom.functions import fields, names
+from postloom.functions import names
 from postloom.functions import text as X
+from postloom.functions.stages import SmoothTfidf
 from postloom.operators import bayes, dataset, evaluation, lemmas, progress, records, sampling, threads, tfidf
 from postloom import schemas
 from postloom.plans import settings as S
@@ -17,7 +19,8 @@ from postloom.plans import train
 from postloom.plans import views as V
 from postloom.plans.preprocess import clean_text, preprocess_dataset
 from postloom.session import configure, scratch_folder, written
-from postloom.sources.tables import read_committed
+from postloom.sources import dumps, manifest
+from postloom.sources.tables import read_committed, read_dataset, read_training_csv, write_dataset, write_weights
 from postloom.streaming.ingest import ingest_stream
 from postloom.streaming.score import stream_predictions
 
@@ -116,9 +119,12 @@ def incremental_files(spark, sf_dir):
     """Lines of files an earlier run (all months before the start month) has not completed."""
     lines = V.lines(spark, sf_dir)
     month = names.month_of(F.col("file_name"))
-    done = lines.where((month != "") & (month < S.MONTH_START)).select("file_name").distinct()
+    done = lines.where((month != "") & (month < S.MONTH_START)).select(
+        F.col("file_name").alias("input_path"), F.lit(True).alias("complete")
+    )
+    files = lines.select(F.col("file_name").alias("path")).distinct()
     # one row per file on the right; lines of completed files are dropped before they are parsed
-    fresh = lines.join(done, "file_name", "left_anti")
+    fresh = lines.join(manifest.pending(files, done), F.col("file_name") == F.col("path"), "left_semi")
     marked = records.mark_matches(records.parse_lines(fresh), S.LINE_VALUE)
     return marked.select("event_id", "file_name", "line_status", "matched")
 
@@ -141,9 +147,10 @@ def dedup_keep_first(spark, sf_dir):
 
 def largest_files(spark, sf_dir):
     files = _marked(spark, sf_dir).groupBy("file_name").agg(
-        F.sum(F.octet_length("value")).alias("bytes"), F.count("*").alias("lines_processed")
+        F.sum(F.octet_length("value")).alias("length"), F.count("*").alias("lines_processed")
     )
-    return files.orderBy(F.desc("bytes"), "file_name").limit(S.TOP_FILES)
+    largest = dumps.largest_first(files.withColumnRenamed("file_name", "path")).limit(S.TOP_FILES)
+    return largest.select(F.col("path").alias("file_name"), F.col("length").alias("bytes"), "lines_processed")
 
 
 def _samples(spark, sf_dir):
@@ -179,8 +186,14 @@ def thread_max_depth(spark, sf_dir):
 
 
 def comment_projection(spark, sf_dir):
+    """Comments written as dump lines, with the type prefixes of dumps, and read back."""
     kept = V.thread(spark, sf_dir).where(threads.keeps(F.col("author"), F.col("body")))
-    return kept.select("id", "post_id", "parent_id", fields.comment_author(F.col("author")).alias("author"), "body")
+    record = F.struct(
+        "id", F.concat(F.lit("t3_"), "post_id").alias("link_id"), F.concat(F.lit("t1_"), "parent_id").alias("parent_id"),
+        "author", "body", F.lit("x").alias("subreddit"),
+    )
+    parsed = records.parse_lines(kept.select(F.to_json(record).alias("value")))
+    return records.select_comments(parsed).select("id", "post_id", "parent_id", "author", "body")
 
 
 def comments_per_post(spark, sf_dir):
@@ -208,8 +221,15 @@ def tokenize(spark, sf_dir):
     return _plain(spark, sf_dir).select("id", X.join_tokens(F.col("tokens")).alias("tokens"), F.size("tokens").cast("bigint").alias("n"))
 
 
+def _stopwords(spark):
+    """The English list united with a file of further words."""
+    path = scratch_folder(spark, "stopwords")
+    spark.createDataFrame([(f" {word} ",) for word in S.CUSTOM_STOPWORDS], "value string").write.text(path)
+    return X.load_stopwords("english", path, spark)
+
+
 def remove_stopwords(spark, sf_dir):
-    words = sorted({*C.ENGLISH_STOPWORDS, *S.CUSTOM_STOPWORDS})
+    words = _stopwords(spark)
     return _plain(spark, sf_dir).select("id", X.join_tokens(X.remove_stopwords(F.col("tokens"), words)).alias("tokens"))
 
 
@@ -219,7 +239,7 @@ def remove_short(spark, sf_dir):
 
 def stopword_hits(spark, sf_dir):
     """How often each word of the united stopword lists occurs."""
-    words = sorted({*C.ENGLISH_STOPWORDS, *S.CUSTOM_STOPWORDS})
+    words = _stopwords(spark)
     found = _plain(spark, sf_dir).select(F.explode("tokens").alias("word")).where(F.col("word").isin(words))
     return found.groupBy("word").agg(F.count("*").alias("n"))
 
@@ -256,6 +276,32 @@ def tfidf_weights(spark, sf_dir):
     return tfidf.tfidf(docs, tfidf.fit_idf(docs)).select("id", "term", F.round("weight", 6).alias("weight"))
 
 
+def smooth_tfidf(spark, sf_dir):
+    """The weights of the vector stage, taken apart again."""
+    docs = written(_clean(spark, sf_dir), "clean")
+    model = SmoothTfidf().fit(docs)
+    names = spark.createDataFrame(list(enumerate(model.stages[1].vocabulary)), "at int, term string")
+    slots = F.posexplode(vector_to_array("features")).alias("at", "weight")
+    weights = model.transform(docs).select("id", slots).where("weight <> 0")
+    return weights.join(names, "at").select("id", "term", F.round("weight", 6).alias("weight"))
+
+
+def stored_dataset(spark, sf_dir):
+    """The cleaned dataset written as Parquet and CSV; the CSV is what training reads."""
+    folder = scratch_folder(spark, "dataset")
+    write_dataset(_clean(spark, sf_dir).select("label_post", "text_clean"), folder)
+    return read_training_csv(spark, f"{folder}/csv")
+
+
+def stored_weights(spark, sf_dir):
+    """TF-IDF weights of the stored Parquet dataset, written and read."""
+    folder = scratch_folder(spark, "weights")
+    write_dataset(_clean(spark, sf_dir), f"{folder}/dataset")
+    docs = read_dataset(spark, f"{folder}/dataset", "id", "text_clean")
+    write_weights(tfidf.tfidf(docs, tfidf.fit_idf(docs)), f"{folder}/weights")
+    return spark.read.parquet(f"{folder}/weights").select("id", "term", F.round("weight", 6).alias("weight"))
+
+
 def label_set(spark, sf_dir):
     return evaluation.label_set(_dataset(spark, sf_dir), "label_post")
 
@@ -300,6 +346,11 @@ def confusion_percent(spark, sf_dir):
     return shares.withColumn("percent", F.round("percent", 6))
 
 
+def confusion_matrix(spark, sf_dir):
+    wide = evaluation.confusion_matrix(evaluation.confusion_counts(_pairs(spark, sf_dir)), [0, 1])
+    return wide.select("label", F.col("0").alias("predicted_0"), F.col("1").alias("predicted_1"))
+
+
 def classification_report(spark, sf_dir):
     report = evaluation.classification_report(_pairs(spark, sf_dir))
     return report.withColumns({name: F.round(name, 6) for name in ("precision", "recall", "f1")})
@@ -361,6 +412,10 @@ def grid_scores(spark, sf_dir):
     return tuned.scores.select("grid_index", F.round("score", 6).alias("score"))
 
 
+def best_score(spark, sf_dir):
+    return train.best_scores(written(grid_scores(spark, sf_dir), "scores"))
+
+
 def _saved_model(spark, sf_dir):
     """A naive Bayes model with its cleaning, trained and loaded again, and the raw validation texts."""
     raw = _dataset(spark, sf_dir)
@@ -411,8 +466,8 @@ QUERIES: dict[str, Query] = {
         file_counters, month_prune, ingest_totals, incremental_files, dedup_keep_first, largest_files, rolling_rate, eta,
         thread_depth, thread_pruned, thread_max_depth, comment_projection, comments_per_post, remove_urls, remove_punct,
         remove_non_ascii, tokenize, remove_stopwords, remove_short, stopword_hits, lemma_table, lemmatize, term_counts,
-        doc_freq, vocabulary, label_set, class_weights, stratified_split, stratified_folds, gaussian_nb_predict,
-        confusion_counts, confusion_percent, classification_report, rf_predict, rf_accuracy, svm_predict, svm_accuracy, grid_scores, predict_batch,
+        doc_freq, vocabulary, smooth_tfidf, stored_dataset, stored_weights, label_set, class_weights, stratified_split, stratified_folds, gaussian_nb_predict,
+        confusion_counts, confusion_percent, confusion_matrix, classification_report, rf_predict, rf_accuracy, svm_predict, svm_accuracy, grid_scores, best_score, predict_batch,
         predict_stream, stream_ingest,
     )
 }

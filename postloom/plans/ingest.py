@@ -167,6 +167,31 @@ def totals(manifest: DataFrame) -> DataFrame:
     return records.run_totals(files.withColumn("bytes_processed", F.when(F.col("complete"), F.col("file_size")).otherwise(0)))
 
 
+def ingest_listings(
+    listings: DataFrame, output: str, batch_id: str, comment_depth: int | None = None
+) -> DataFrame:
+    """Store the comments of landed listing documents, `(post_id, value)` with one JSON array per post.
+
+    The comments keep the depth of their listing; deeper ones than `comment_depth` are not stored
+    (-1: none). Ids that an earlier batch has stored are left out. The same `batch_id` replaces what
+    it stored before. Returns the comments of the batch.
+    """
+    spark = listings.sparkSession
+    configure(spark)
+    with scratch_scope(spark):
+        comments = threads.flatten_listings(listings)
+        if comment_depth is not None:
+            comments = comments.where(F.col("depth") <= comment_depth)
+        stored = read_committed(spark, output, "comments", schemas.COMMENTS).where(F.col("batch_id") != batch_id)
+        first = written(records.keep_first(comments, "id", ["created_utc", "post_id"]), "first")
+        fresh = records.not_stored(first, stored, "id").select(schemas.COMMENTS.names)
+        write_batch(fresh, f"{output}/comments", batch_id, "created_utc")
+        counts = listings.agg(F.count("*").alias("listings")).withColumn("ts", F.current_timestamp())
+        write_batch(counts, f"{output}/progress", batch_id)  # from here on readers see the batch
+    mine = read_committed(spark, output, "comments", schemas.COMMENTS)
+    return mine.where(F.col("batch_id") == batch_id).select(schemas.COMMENTS.names)
+
+
 def comment_threads(spark: SparkSession, output: str, max_depth: int | None = None) -> DataFrame:
     """Stored comments with their depth, without excluded ones and the replies below them."""
     comments = read_committed(spark, output, "comments", schemas.COMMENTS).select(schemas.COMMENTS.names)

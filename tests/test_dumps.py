@@ -233,3 +233,18 @@ def test_another_match_mode_is_another_run(spark, folder, tmp_path):
     I.ingest(spark, str(folder), str(tmp_path / "o"))
     with pytest.raises(ValueError):
         I.ingest(spark, str(folder), str(tmp_path / "o"), match="exact")
+
+
+def test_landed_listings_are_stored_with_their_depth(spark, tmp_path):
+    node = lambda id, replies="": {"data": {"id": id, "author": "a", "body": "b", "created_utc": 5, "replies": replies}}
+    within = lambda *nodes: {"data": {"children": list(nodes)}}
+    value = json.dumps([{}, within(node("c1", within(node("c2", within(node("c3"))))), node("c4"))])
+    listings = spark.createDataFrame([("p1", value)], "post_id string, value string")
+    out = str(tmp_path / "o")
+    got = I.ingest_listings(listings, out, "first", comment_depth=1)
+    assert {r.id: (r.post_id, r.parent_id, r.depth) for r in got.collect()} == {
+        "c1": ("p1", "p1", 0), "c2": ("p1", "c1", 1), "c4": ("p1", "p1", 0)
+    }
+    assert ids(I.ingest_listings(listings, out, "second")) == ["c3"]
+    assert ids(I.ingest_listings(listings, out, "first", comment_depth=1)) == ["c1", "c2", "c4"]
+    assert ids(read_committed(spark, out, "comments", schemas.COMMENTS)) == ["c1", "c2", "c3", "c4"]

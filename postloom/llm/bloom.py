@@ -3,7 +3,7 @@
 Every task puts the hashes of its rows into both filters; filters of different tasks are merged by
 or, and what is in the once-seen filters of two tasks goes to the twice-seen one. No repeated key
 is ever missed. Keys that only look repeated are sorted out by whoever uses the filter. Tasks send
-the positions they set, at most `PROBES` per distinct hash, cut into segments; so the size of what
+the positions they set, at most `probes` per distinct hash, cut into segments; so the size of what
 moves follows the rows and not tasks times filter size.
 """
 
@@ -30,13 +30,13 @@ def size_for(keys: int) -> int:
     return min(MAX_BITS, max(MIN_BITS, 1 << (16 * max(1, keys) - 1).bit_length()))
 
 
-def positions(hashes: np.ndarray, bits: int) -> np.ndarray:
-    """The `PROBES` positions of each hash, one row per probe."""
-    steps = np.arange(1, PROBES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+def positions(hashes: np.ndarray, bits: int, probes: int = PROBES) -> np.ndarray:
+    """The `probes` positions of each hash, one row per probe."""
+    steps = np.arange(1, probes + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     return (common.mix(hashes[None, :] + steps[:, None]) & np.uint64(bits - 1)).astype(np.int64)
 
 
-def twice_seen(rows: DataFrame, hashes_of, bits: int, once: bool = False) -> np.ndarray:
+def twice_seen(rows: DataFrame, hashes_of, bits: int, once: bool = False, probes: int = PROBES) -> np.ndarray:
     """The packed twice-seen filter (or the once-seen one) of all hashes that `hashes_of(batch)` gives for the Arrow batches of `rows`.
 
     A hash counts once per batch and position in the returned array, so a function that returns
@@ -57,7 +57,7 @@ def twice_seen(rows: DataFrame, hashes_of, bits: int, once: bool = False) -> np.
 
         def flush():
             hashes, counts = np.unique(np.concatenate(held), return_counts=True)
-            yield from cut([np.unique(positions(h, bits)) for h in (hashes, hashes[counts > 1])])
+            yield from cut([np.unique(positions(h, bits, probes)) for h in (hashes, hashes[counts > 1])])
 
         for b in batches:
             held.append(hashes_of(b))
@@ -94,9 +94,9 @@ def twice_seen(rows: DataFrame, hashes_of, bits: int, once: bool = False) -> np.
     return packed
 
 
-def contains(packed: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+def contains(packed: np.ndarray, hashes: np.ndarray, probes: int = PROBES) -> np.ndarray:
     """For each hash whether all its positions are set."""
-    at = positions(hashes, len(packed) * 8)
+    at = positions(hashes, len(packed) * 8, probes)
     return ((packed[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(0)
 
 

@@ -3,9 +3,9 @@
 Hash values of shingles are cut into segments, as many as a pair of similar sets of a size band may
 differ in, plus spare ones. By the pigeonhole principle two similar sets agree in some segments, so
 each set sends one signature per segment. As probes it needs only some of them: the allocation
-takes the segments with most shingles, since small ones are shared by many sets, and where it would
-need an empty segment it takes a small one with its one-deletion neighbourhood instead, which
-counts for two. Sets that share a probed signature become candidates; candidates are linked to
+takes the segments with most shingles, since small ones are shared by many sets. Small sets have
+few segments to spare; where they would need an empty one, the allocation takes a small one with
+its one-deletion neighbourhood instead, which counts for two. Sets that share a probed signature become candidates; candidates are linked to
 clusters, and all pairs of a cluster are verified exactly in blocks.
 """
 
@@ -26,7 +26,8 @@ from postloom.session import written
 
 GROWTH = 1.5  # between the sizes of neighbouring bands
 FIRST_BAND = 8
-SPARE = 2  # segments a set need not probe
+SPARE = 0.25  # segments beyond those needed, as a share of them: the smallest of a set need not be probed
+FEW = 16  # segments of a band up to which small segments send their one-deletion neighbourhoods
 SMALL = (2, 3)  # shingles of a segment whose one-deletion neighbourhood may be probed
 BLOCK = 1000  # sets of a cluster that are verified together
 MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
@@ -62,7 +63,8 @@ def bands(percent: int, largest: int) -> list[tuple[int, int, int]]:
     out, first = [], 1
     last = FIRST_BAND
     while first <= largest:
-        out.append((first, last, differing(last, percent) + 1 + SPARE))
+        needed = differing(last, percent) + 1
+        out.append((first, last, needed + max(2, int(needed * SPARE))))
         first, last = last + 1, int(last * GROWTH) + 1
     return out
 
@@ -100,15 +102,18 @@ def signatures(shingles: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarr
         chosen = order[: most + 1]
         empty = chosen[counts[chosen] == 0]
         small = [k for k in chosen[::-1] if SMALL[0] <= counts[k] <= SMALL[1]][::-1]
+        if segments > FEW:  # so many segments have enough spare ones
+            small = []
         swapped = min(len(empty), len(small))  # an empty segment against the neighbourhood of a small one
         doubled = set(small[:swapped])
         probing = np.zeros(segments, bool)
         probing[chosen] = True
         probing[empty[:swapped]] = False
-        usable = (counts > 0) | probing
+        # a set that has to probe an empty segment can be found by all of its empty ones
+        usable = (counts > 0) | (swapped < len(empty))
         probes.append(exact[probing])
         others.append(exact[usable & ~probing])
-        for k in np.flatnonzero((counts >= SMALL[0]) & (counts <= SMALL[1] + 1)):
+        for k in np.flatnonzero((counts >= SMALL[0]) & (counts <= SMALL[1] + 1)) if segments <= FEW else ():
             inside = slice(edges[k], edges[k + 1])
             names_of = names[k : k + 1] + (counts[k : k + 1] - 1).astype(np.uint64) * MULTIPLIERS[3]
             rest = common.mix(own[k : k + 1] - values[inside] + names_of)
@@ -179,9 +184,12 @@ def _signed(rows: DataFrame, text: str, size: int, percent: int) -> DataFrame:
     return common.map_arrow(source, run, SIGNED)
 
 
-def _candidates(reps: DataFrame) -> DataFrame:
-    """Edges from each set to the first one that shares a signature some set probes with."""
-    spark = reps.sparkSession
+def _candidates(signed: DataFrame, reps: DataFrame) -> DataFrame:
+    """Edges from each representative to the first one that shares a signature some set probes with.
+
+    The filter is made of the signatures of all rows, copies too, which only makes it suspect more.
+    """
+    spark = signed.sparkSession
 
     def hashes_of(b):
         return unpacked(b)[0]
@@ -189,8 +197,9 @@ def _candidates(reps: DataFrame) -> DataFrame:
     def unpacked(b):
         return common.unpack(b.column(b.schema.get_field_index("signatures")), "<u8")
 
-    sent = reps.agg(F.sum(F.octet_length("signatures").cast("bigint"))).first()[0] or 0
-    packed = bloom.twice_seen(reps.select("signatures"), hashes_of, bloom.size_for(sent // 8))
+    sent = signed.agg(F.sum(F.octet_length("signatures").cast("bigint"))).first()[0] or 0
+    # one position per signature: half of what the filter sends otherwise, at twice the bits
+    packed = bloom.twice_seen(signed.select("signatures"), hashes_of, bloom.size_for(sent // 4), probes=1)
     shared = spark.sparkContext.broadcast(packed)
 
     def suspects(batches):
@@ -199,10 +208,11 @@ def _candidates(reps: DataFrame) -> DataFrame:
             rows = np.repeat(b.column(0).to_numpy(), lengths)
             place = np.arange(len(values)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
             probe = place < np.repeat(b.column(1).to_numpy(), lengths)
-            hit = bloom.contains(shared.value, values)
+            hit = bloom.contains(shared.value, values, 1)
             yield common.batch(SUSPECT, values[hit].view(np.int64), rows[hit], probe[hit].astype(np.int32))
 
-    found = written(common.map_arrow(reps.select("row", "probes", "signatures"), suspects, SUSPECT), "suspects")
+    suspected = common.map_arrow(signed.select("row", "probes", "signatures"), suspects, SUSPECT)
+    found = written(suspected.join(reps, "row", "left_semi"), "suspects")
     groups = found.groupBy("signature").agg(
         F.min("row").alias("center"), F.max("row").alias("other"), F.max("probe").alias("probed")
     )
@@ -280,8 +290,7 @@ def joined_rows(rows: DataFrame, text: str, size: int, percent: int) -> DataFram
     signed = written(_signed(rows, text, size, percent), "signed")
     filled = signed.where("n > 0")
     classes = written(filled.groupBy("n", "d1", "d2").agg(F.min("row").alias("row"), F.count(F.lit(1)).alias("copies")), "classes")
-    reps = written(filled.join(classes.select("row"), "row", "left_semi").where("octet_length(signatures) > 0"), "representatives")
-    clusters = written(connected_components(_candidates(reps), "row", "center"), "clusters")
+    clusters = written(connected_components(_candidates(filled, classes.select("row")), "row", "center"), "clusters")
     wanted = clusters.select(F.col("node").alias("row")).join(classes.select("row", "copies"), "row")
     links = _links(clusters, _sets(rows, text, size, wanted), percent)
     linked = connected_components(links.where("v is not null"), "u", "v")

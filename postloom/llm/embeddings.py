@@ -4,7 +4,8 @@ Vectors are dealt to the shards of their nearest cluster centres, so shards over
 builds a pruned proximity graph, and the neighbour lists of a vector from all its shards are
 united. Every vector is then searched for in its shards over the united lists, greedily from the
 medoid and on through everything in range. Pairs found are verified in double precision. An audit
-compares a sample of queries with brute force; while recall is too low, vectors go to more shards.
+compares a sample of queries with brute force, those with few links apart from the others; while
+recall of either kind is too low, vectors go to more shards.
 """
 
 from __future__ import annotations
@@ -22,7 +23,9 @@ from postloom.session import written
 SHARD = 1000  # vectors of a shard, or of a block of one
 CENTRES = 4096  # at most
 SAMPLE = 20_000  # vectors that the cluster centres are fitted on, at most about
-AUDITED = 200  # queries of the audit, about
+AUDITED = 200  # queries of the audit, about, at first
+ENOUGH, FEW = 200, 10  # more are drawn until so many of them have links, but few
+MOST = 20_000  # queries of the audit, about, at most
 OVERLAP = 2
 RECALL = 0.97
 SLACK = 1e-3  # graph search in single precision looks so much further
@@ -182,32 +185,53 @@ def _forest(left: np.ndarray, right: np.ndarray, count: int) -> list[tuple[int,
     return out
 
 
-def audit_recall(reps: DataFrame, found: DataFrame, least: float, audited: int = AUDITED) -> tuple[int, int]:
-    """Links that brute force finds for a sample of about `audited` vectors, and how many of them the search found."""
+def true_links(reps: DataFrame, least: float, audited: int = AUDITED) -> np.ndarray:
+    """Rows (vector, number of its links by brute force) of audited vectors that have links.
+
+    About `audited` vectors are drawn, then five times as many and so on, until ENOUGH of them have
+    few links, all are drawn or MOST are: a few large groups can make up nearly all of the links.
+    """
     total = reps.count()
-    chosen = reps.where(F.pmod(F.xxhash64("row", F.lit(17)), F.lit(max(1, total // audited))) == 0)
-    table = chosen.select("row", "vector").toArrow()
-    rows = np.array(table["row"].to_pylist(), np.int64)
-    if not len(rows):
-        return 0, 0
-    shared = reps.sparkSession.sparkContext.broadcast((rows, _units(table["vector"].to_pylist())))
+    drawn = reps.select("row", "vector", F.pmod(F.xxhash64("row", F.lit(17)), F.lit(1 << 30)).alias("draw"))
     schema = pa.schema([("u", pa.int64()), ("true", pa.int64())])
+    out, before = np.zeros((0, 2), np.int64), 0
+    while total and before < 1 << 30 and before * total < MOST << 30 and (out[:, 1] <= FEW).sum() < ENOUGH:
+        until = min(1 << 30, -(-min(audited, MOST) << 30) // total)
+        audited *= 5
+        table = drawn.where((F.col("draw") >= before) & (F.col("draw") < until)).toArrow()
+        before = until
+        rows = np.array(table["row"].to_pylist(), np.int64)
+        if not len(rows):
+            continue
+        shared = reps.sparkSession.sparkContext.broadcast((rows, _units(table["vector"].to_pylist())))
+
+        def run(batches):
+            queries, units = shared.value  # noqa: B023
+            counts = np.zeros(len(queries), np.int64)
+            for b in batches:
+                raw = common.texts(b.column(1))
+                for start in range(0, len(queries) if raw else 0, SHARD):
+                    part = slice(start, start + SHARD)
+                    near = _units(raw) @ units[part].T >= least
+                    near &= b.column(0).to_numpy()[:, None] != queries[None, part]
+                    counts[part] += near.sum(0)
+            linked = np.flatnonzero(counts)
+            yield common.batch(schema, queries[linked], counts[linked])
+
+        counted = common.map_arrow(reps.select("row", "vector"), run, schema).groupBy("u").agg(F.sum("true").alias("true")).toArrow()
+        out = np.concatenate([out, np.stack([counted["u"].to_numpy(), counted["true"].to_numpy()], 1)])
+    return out
 
-    def run(batches):
-        queries, units = shared.value
-        counts = np.zeros(len(queries), np.int64)
-        for b in batches:
-            raw = common.texts(b.column(1))
-            if raw:
-                near = _units(raw) @ units.T >= least
-                near &= b.column(0).to_numpy()[:, None] != queries[None, :]
-                counts += near.sum(0)
-        yield common.batch(schema, queries, counts)
 
-    true = common.map_arrow(reps.select("row", "vector"), run, schema).groupBy("u").agg(F.sum("true").alias("true"))
+def audit_recall(true: np.ndarray, found: DataFrame) -> float:
+    """Recall of the search for the audited vectors: the mean of their shares of links found, taken over those with
+    at most FEW links and over the others; the lower of the two."""
+    spark = found.sparkSession
+    wanted = spark.createDataFrame(pa.table({"u": true[:, 0], "true": true[:, 1]}))
     got = found.where("v is null").groupBy("u").agg(F.sum("found").alias("found"))
-    both = true.join(got, "u", "left").agg(F.sum("true"), F.sum(F.least("true", F.coalesce("found", F.lit(0))))).first()
-    return both[0] or 0, both[1] or 0
+    share = F.least("true", F.coalesce("found", F.lit(0))) / F.col("true")
+    kinds = wanted.join(got, "u", "left").groupBy(F.col("true") <= FEW).agg(F.avg(share).alias("share")).collect()
+    return min([1.0, *[row["share"] for row in kinds]])
 
 
 def near_duplicates(
@@ -235,14 +259,14 @@ def near_duplicates(
     share = F.pmod(F.xxhash64("row", F.lit(3)), F.lit(1 << 30)) < F.lit(int(min(1.0, SAMPLE / max(1, total)) * (1 << 30)))
     sample = reps.where(share).select("row", "vector").toArrow().sort_by("row")["vector"].to_pylist() if total else []
     overlap = OVERLAP
+    audited = true_links(reps, least)
     while True:
         count = min(CENTRES, max(1, overlap * total // SHARD))
         centres = fit_centres(_units(sample).astype(np.float32), count) if sample else np.zeros((1, max(1, size)), np.float32)
         overlap = min(overlap, len(centres))
         placed = written(reps.join(_assigned(reps, centres, overlap), "row").withColumn("home", F.explode("homes")).drop("homes"), "members")
         found = _searched(placed, _graphs(placed), least)
-        true, got = audit_recall(reps, found, least)
-        if got >= recall * true or overlap >= len(centres):
+        if audit_recall(audited, found) >= recall or overlap >= len(centres):
             break
         overlap *= 2
     linked = connected_components(found.where("v is not null"), "u", "v")

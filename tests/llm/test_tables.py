@@ -100,6 +100,23 @@ def test_embeddings(spark, shard, monkeypatch):
     assert {got[i].component_id for i in range(150, 270)} == {150}
 
 
+def test_embeddings_finds_pairs_beside_a_large_group(spark, monkeypatch):
+    """One group supplies nearly all links; what is audited has to see the pairs too."""
+    monkeypatch.setattr(embeddings, "SHARD", 20)
+    monkeypatch.setattr(embeddings, "SAMPLE", 70)
+    random = np.random.default_rng(11)
+    first = random.standard_normal((300, 64))
+    other = random.standard_normal((300, 64))
+    other -= first * ((other * first).sum(1) / (first * first).sum(1))[:, None]
+    other *= (np.linalg.norm(first, axis=1) / np.linalg.norm(other, axis=1))[:, None]
+    group = random.standard_normal(64) + 0.02 * random.standard_normal((100, 64))
+    data = np.concatenate([first, first + 0.32 * other, group])
+    table = spark.createDataFrame([(i, list(map(float, v))) for i, v in enumerate(data)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r for r in embeddings.near_duplicates(table.repartition(3)).collect()}
+    assert sum(got[i].component_id == got[i + 300].component_id for i in range(300)) >= 0.97 * 300
+    assert len({got[i].component_id for i in range(600, 700)}) == 1
+
+
 def test_embeddings_of_nothing(spark):
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
     same = spark.createDataFrame([(None, [1.0, 0.0]), (None, [2.0, 0.0]), (4, [0.0, 1.0])], "vec_id long, embedding array<double>")

@@ -24,7 +24,7 @@ from postloom.llm import common
 from postloom.session import written
 
 ORDER = 5
-FIT_ROWS = 2000  # labelled rows per language that are fitted on or calibrated with: the bound of the sample
+FIT_ROWS = 2000  # distinct labelled texts per language that are fitted on or calibrated with: the bound of the sample
 ALPHABET = 1 << 10  # the share of an unseen character is one in so many
 BASE = np.uint64(0x100000001B3)
 OPEN, CLOSE = 1, 2
@@ -198,22 +198,33 @@ class Scorer:
         return -bits / np.maximum(sizes, 1)[:, None], sizes
 
 
+def drawn(labelled: DataFrame, fit_rows: int) -> DataFrame | None:
+    """About `fit_rows` distinct texts per label of (`text`, `lang`), each once; None without labels.
+
+    Texts are drawn by their hash, so copies come or go together and count as one.
+    """
+    hashed = F.xxhash64("text", F.lit(11))
+    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.countDistinct(hashed).alias("n")).collect()}
+    if not counts:
+        return None
+    draw = F.pmod(hashed, F.lit(1 << 30)) / F.lit(float(1 << 30))
+    share = F.create_map(*[F.lit(x) for name, n in counts.items() for x in (name, min(1.0, fit_rows / n))])
+    return labelled.where(draw < share[F.col("lang")]).distinct()
+
+
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", fit_rows: int = FIT_ROWS) -> Model | None:
-    """Models of all non-null labels of `docs`, from about `fit_rows` rows per label; None without any.
+    """Models of all non-null labels of `docs`, from about `fit_rows` distinct texts per label; None without any.
 
-    Rows are chosen by a hash of their text alone, so the same texts give the same model. A
-    fifth of them, again by hash, only calibrates the rejection.
+    Texts are chosen by their hash alone and used once, so the same texts give the same model
+    however many copies they have. A fifth of them, again by hash, only calibrates the rejection.
     """
     spark = docs.sparkSession
     common.prepare(spark)
     labelled = docs.select(common.quoted(text).cast("string").alias("text"), common.quoted(lang).cast("string").alias("lang"))
     labelled = labelled.where("text is not null and lang is not null")
-    counts = {row["lang"]: row["count"] for row in labelled.groupBy("lang").count().collect()}
-    if not counts:
+    kept = drawn(labelled, fit_rows)
+    if kept is None:
         return None
-    draw = F.pmod(F.xxhash64("text", F.lit(11)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    share = F.create_map(*[F.lit(x) for name, n in counts.items() for x in (name, min(1.0, fit_rows / n))])
-    kept = labelled.where(draw < share[F.col("lang")])
     sample = written(kept.withColumn("tries", F.pmod(F.xxhash64("text", F.lit(12)), F.lit(5)) == 0), "sample")
     word_counts = pa.schema([("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())])
 
@@ -225,7 +236,7 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", fit_rows: int =
         for name, words in found.items():
             yield common.batch(word_counts, [name] * len(words), list(words), list(words.values()))
 
-    # a language with a single row may have only one to calibrate with; it is fitted on then
+    # a language with a single text may have only one to calibrate with; it is fitted on then
     fitted = sample.where("not tries").select("text", "lang")
     missing = sample.join(fitted.select("lang").distinct(), "lang", "left_anti").select("text", "lang")
     words = common.map_arrow(fitted.unionByName(missing), local, word_counts).groupBy("lang", "word").agg(F.sum("n").alias("n"))

@@ -298,6 +298,18 @@ def test_language(spark):
     assert codes and np.isfinite(sums).all()
 
 
+def test_language_is_drawn_from_distinct_texts(spark):
+    few = [(f"el perro y la gata {chr(97 + k)}", "es") for k in range(10)]
+    hot = [("the very same words", "en")] * 2000
+    rows = few * 200 + hot + [(f"the dog and the cat {k}", "en") for k in range(500)]
+    table = spark.createDataFrame(rows, "text string, lang string").repartition(3)
+    odd = spark.createDataFrame([("el perro y la gata",)], "text string")
+    assert language.identify(odd, language.fit(table, fit_rows=100)).first().lang_pred == "es"
+    kept = [tuple(r) for r in language.drawn(table, 100).collect()]
+    assert len(kept) == len(set(kept)) and set(few) <= set(kept)
+    assert 60 <= sum(name == "en" for _, name in kept) <= 140
+
+
 def test_language_of_odd_texts(spark):
     rows = [(1, "der die das und", "x"), (2, None, "x"), (3, "", "x"), (4, "123 !!", "x"), (5, "zq" * 3000, "x")]
     train = [(f"der hund und die katze {k}", "de", "t") for k in range(30)] + [(f"the dog and a cat {k}", "en", "t") for k in range(30)] + [(None, "fr", "t"), ("le chien", None, "t")]

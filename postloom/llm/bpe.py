@@ -3,7 +3,8 @@
 Distinct pre-tokens are put into matrices of about equal length, one row of byte ids each. In every
 round each row merges its leftmost pair of minimum rank; ranks of all pairs come from one hashed
 lookup, and the merged cell is squeezed out of the row. Rows without a mergeable pair leave the
-matrix. A vocabulary is a file of lines "base64 rank".
+matrix. Pre-tokens of more than WIDEST bytes are merged one by one with a heap of linked pairs instead,
+since rounds over long rows cost the square of their length. A vocabulary is a file of lines "base64 rank".
 
 Nulls and empty texts have no ids. Invalid UTF-8 cannot occur in a Spark string.
 """

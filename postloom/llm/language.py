@@ -29,7 +29,10 @@ ALPHABET = 1 << 10  # the share of an unseen character is one in so many
 BASE = np.uint64(0x100000001B3)
 OPEN, CLOSE = 1, 2
 SCORED_CHARS = 30.0  # characters that the confidence counts at most
-SLACK = 1.25  # beyond the largest deviation among the calibrating texts
+SLACK = 1.25  # beyond the deviation that all calibrating texts but a few keep to
+QUANTILE = 0.98  # of the deviations; the highest ones may be of mislabelled texts
+LEAST_BOUND = 20.0  # no bound is lower, in units of the median deviation
+FEW = 8  # calibrating texts that a language needs for figures of its own
 AT_LEAST = 2.0  # times the usual cross-entropy of its language: no text below is rejected
 WORDS = re.compile(r"[^\W\d_]+")
 FITTED = pa.schema([("lang", pa.string()), ("order", pa.int32()), ("kind", pa.string()), ("hashes", pa.binary()), ("values", pa.binary()), ("suffixes", pa.binary()), ("contexts", pa.binary())])
@@ -131,7 +134,7 @@ class Model:
             below = share + weights[np.searchsorted(keys, context)] * lower
             self.grams[n], self.logs[n] = union, np.log2(below).astype(np.float32)
         self.weights = {n: np.log2(w).astype(np.float32) for n, w in self.weights.items()}
-        self.means = self.spreads = self.highest = None
+        self.means = self.spreads = self.highest = self.lowest = None
 
     def score(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Per word the sum of log2 probabilities in each language, and the number of characters predicted."""
@@ -270,28 +273,41 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", fit_rows: int =
 
     kinds = {"bits": pa.float64(), "best": pa.int32(), "size": pa.int64()}
     tried = common.map_text(sample.where("tries"), "text", kinds, calibrating, replace_text=True).where("size > 0").toArrow()
-    _calibrate(model, *[tried[c].to_numpy() for c in ("bits", "best", "size")])
+    bits, best, size = (tried[c].to_numpy() for c in ("bits", "best", "size"))
+    sure = np.array([model.languages[k] == name for k, name in zip(best, tried["lang"].to_pylist())], bool)
+    _calibrate(model, bits[sure], best[sure], size[sure])
     return model
 
 
 def _calibrate(model: Model, bits: np.ndarray, best: np.ndarray, size: np.ndarray) -> None:
-    """Usual cross-entropy of each language and the highest deviation, in units that shrink with the root of the length."""
+    """Usual cross-entropy of each language and the highest deviation, in units that shrink with the root of the length.
+
+    Takes texts whose label is the language that they chose. Languages with fewer than FEW of them
+    take the figures of all languages together, and twice the cross-entropy is let pass, since a
+    model of few texts predicts less well. With fewer than FEW in all nothing is rejected.
+    """
     count = len(model.languages)
     model.means, model.spreads, model.highest = np.zeros(count), np.ones(count), np.full(count, np.inf)
+    model.lowest = np.zeros(count)
     for k in range(count):
         own = best == k
-        if own.sum() >= 8:
-            mean = np.average(bits[own], weights=size[own])
+        known = own.sum() >= FEW
+        if not known:
+            own = np.ones(len(best), bool)
+        if own.sum() >= FEW:
+            mean = np.median(bits[own])
             scaled = (bits[own] - mean) * np.sqrt(size[own])
-            model.means[k] = mean
-            model.spreads[k] = max(scaled.std(), 1e-6)
-            model.highest[k] = SLACK * max(scaled.max() / model.spreads[k], 4.0)
+            spread = max(1.4826 * np.median(np.abs(scaled - np.median(scaled))), 1e-6)
+            usual = np.quantile(scaled, QUANTILE, method="lower") / spread
+            model.means[k], model.spreads[k], model.highest[k] = mean, spread, max(SLACK * usual, LEAST_BOUND)
+            model.lowest[k] = AT_LEAST * mean * (1 if known else 2)
 
 
 def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
     """`docs` with `lang_pred`, `score` (0 to 1), `bits` per character and `rejected`.
 
-    A null text or one without a letter is `und`, rejected, with score 0. A rejected text keeps its
+    A null text or one without a letter is `und`, rejected, with score 0. Without a model all texts
+    are `und`, and those with a letter are not rejected. A rejected text keeps its
     nearest language in `lang_pred`. Ties go to the first language in order. Input columns named
     like a result are replaced.
     """
@@ -303,7 +319,7 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFr
 
         def run(values):
             if scorer is None:
-                return [("und", 0.0, None, True)] * len(values)
+                return [("und", 0.0, None, not letters(v.decode())) for v in values]
             bits, sizes = scorer.entropies([v.decode() for v in values])
             best = bits.argmin(1)
             gaps = (bits - bits.min(1, keepdims=True)) * np.minimum(sizes, SCORED_CHARS)[:, None]
@@ -311,7 +327,7 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFr
             lowest = bits.min(1)
             deviation = (lowest - own.means[best]) * np.sqrt(sizes) / own.spreads[best]
             return [
-                (own.languages[k], float(s), float(b), bool(d > own.highest[k] and b > AT_LEAST * own.means[k])) if n else ("und", 0.0, None, True)
+                (own.languages[k], float(s), float(b), bool(d > own.highest[k] and b > own.lowest[k])) if n else ("und", 0.0, None, True)
                 for k, s, b, d, n in zip(best, score, lowest, deviation, sizes)
             ]
 

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import types
 import zlib
 
 import numpy as np
@@ -310,6 +311,33 @@ def test_language_is_drawn_from_distinct_texts(spark):
     assert 60 <= sum(name == "en" for _, name in kept) <= 140
 
 
+@pytest.mark.parametrize("few", [1, 24])
+def test_language_rejects_other_scripts_beside_a_small_label(spark, few):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("text", "lang").distinct()
+    spanish = docs.where("lang = 'es' and length(text) > 200").orderBy(F.xxhash64("text")).limit(60).collect()
+    rest = docs.where("lang <> 'es'").orderBy(F.xxhash64("text")).limit(2000)
+    model = language.fit(rest.unionByName(spark.createDataFrame(spanish[:few], docs.schema)))
+    own = spark.createDataFrame(spanish[30:], docs.schema)
+    assert not any(r.rejected for r in language.identify(own, model).collect() if r.lang_pred == "es")
+    planted = ["日本語の文章はここに置かれている " * 6, "это предложение написано по русски и довольно длинное " * 4, "zxqv kjhw wqpz vbnk xxzq jjkw " * 9]
+    judged = language.identify(spark.createDataFrame([(t,) for t in planted], "text string"), model).collect()
+    assert "es" in {r.lang_pred for r in judged} and all(r.rejected for r in judged)
+
+
+def test_language_bound_ignores_one_mislabelled_text():
+    model = types.SimpleNamespace(languages=["en", "fr"])
+    random_ = np.random.default_rng(2)
+    bits, size = 2.1 + 0.1 * random_.standard_normal(40), np.full(40, 300)
+    language._calibrate(model, np.append(bits, 14.5), np.zeros(41, int), np.append(size, 300))
+    assert (14.5 - model.means[0]) * np.sqrt(300) / model.spreads[0] > model.highest[0]
+    assert np.isfinite(model.highest).all()
+
+
+def test_texts_with_letters_stay_without_a_model(spark):
+    rows = spark.createDataFrame([("some words",), ("12 !",), (None,)], "text string")
+    assert [r.rejected for r in language.identify(rows, None).collect()] == [False, True, True]
+
+
 def test_language_of_odd_texts(spark):
     rows = [(1, "der die das und", "x"), (2, None, "x"), (3, "", "x"), (4, "123 !!", "x"), (5, "zq" * 3000, "x")]
     train = [(f"der hund und die katze {k}", "de", "t") for k in range(30)] + [(f"the dog and a cat {k}", "en", "t") for k in range(30)] + [(None, "fr", "t"), ("le chien", None, "t")]

@@ -234,14 +234,32 @@ def audit_recall(true: np.ndarray, found: DataFrame) -> float:
     return min([1.0, *[row["share"] for row in kinds]])
 
 
+def _links(reps: DataFrame, size: int, least: float, recall: float) -> DataFrame:
+    """Verified links of vectors of one length, searched until the audit finds recall high enough."""
+    total = reps.count()
+    share = F.pmod(F.xxhash64("row", F.lit(3)), F.lit(1 << 30)) < F.lit(int(min(1.0, SAMPLE / max(1, total)) * (1 << 30)))
+    sample = reps.where(share).select("row", "vector").toArrow().sort_by("row")["vector"].to_pylist()
+    overlap = OVERLAP
+    audited = true_links(reps, least)
+    while True:
+        count = min(CENTRES, max(1, overlap * total // SHARD))
+        centres = fit_centres(_units(sample).astype(np.float32), count) if sample else np.zeros((1, size), np.float32)
+        overlap = min(overlap, len(centres))
+        placed = written(reps.join(_assigned(reps, centres, overlap), "row").withColumn("home", F.explode("homes")).drop("homes"), "members")
+        found = _searched(placed, _graphs(placed), least)
+        if audit_recall(audited, found) >= recall or overlap >= len(centres):
+            return found
+        overlap *= 2
+
+
 def near_duplicates(
     table: DataFrame, embedding: str = "embedding", id_col: str = "vec_id", least: float = 0.95, recall: float = RECALL
 ) -> DataFrame:
     """Per vector its id, `n_links`, `component_id` and `kept`.
 
     Vectors link when their cosine is at least `least` in double precision. Null, empty and zero
-    vectors and those with null or non-finite components link with nothing, nor do those of another
-    length than most have. `n_links` counts the other rows linked directly, copies included;
+    vectors and those with null or non-finite components link with nothing. Vectors of each
+    length are compared with one another. `n_links` counts the other rows linked directly, copies included;
     `component_id` is the smallest id reachable by links and `kept` whether it is the row's own.
     One row per row in. Rows with null or repeated ids keep their own row; of rows with one id the
     first is kept.
@@ -250,25 +268,12 @@ def near_duplicates(
     common.prepare(spark)
     rows = common.keyed(table.select(common.quoted(id_col), common.quoted(embedding)), id_col, embedding)
     checked = _checked(rows, embedding)
-    common_size = checked.where("size > 0").groupBy("size").count().orderBy(F.desc("count"), "size").first()
-    size = common_size["size"] if common_size else 0
-    usable = checked.where((F.col("size") == size) & (F.col("size") > 0))
+    usable = checked.where("size > 0")
     classes = written(usable.groupBy("d1", "d2").agg(F.min("row").alias("row"), F.count(F.lit(1)).alias("copies")), "classes")
-    reps = written(usable.select("row", "vector").join(classes.select("row", "copies"), "row"), "representatives")
-    total = reps.count()
-    share = F.pmod(F.xxhash64("row", F.lit(3)), F.lit(1 << 30)) < F.lit(int(min(1.0, SAMPLE / max(1, total)) * (1 << 30)))
-    sample = reps.where(share).select("row", "vector").toArrow().sort_by("row")["vector"].to_pylist() if total else []
-    overlap = OVERLAP
-    audited = true_links(reps, least)
-    while True:
-        count = min(CENTRES, max(1, overlap * total // SHARD))
-        centres = fit_centres(_units(sample).astype(np.float32), count) if sample else np.zeros((1, max(1, size)), np.float32)
-        overlap = min(overlap, len(centres))
-        placed = written(reps.join(_assigned(reps, centres, overlap), "row").withColumn("home", F.explode("homes")).drop("homes"), "members")
-        found = _searched(placed, _graphs(placed), least)
-        if audit_recall(audited, found) >= recall or overlap >= len(centres):
-            break
-        overlap *= 2
+    reps = written(usable.select("row", "size", "vector").join(classes.select("row", "copies"), "row"), "representatives")
+    found = spark.createDataFrame([], "u long, v long, found long, links long")
+    for size in sorted(r["size"] for r in reps.groupBy("size").count().where("count > 1").collect()):
+        found = found.unionByName(_links(reps.where(F.col("size") == size), size, least, recall))
     linked = connected_components(found.where("v is not null"), "u", "v")
     counts = found.where("v is null").groupBy(F.col("u").alias("row")).agg(F.sum("links").alias("others"))
     named = classes.join(linked.withColumnRenamed("node", "row"), "row", "left").join(counts, "row", "left").select(
@@ -276,7 +281,7 @@ def near_duplicates(
         (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
     )
     named = written(named, "components")
-    linking = (F.col("size") == size) & (F.col("size") > 0)
+    linking = F.col("size") > 0
     own = checked.where(linking).select("row", "d1", "d2").join(named, ["d1", "d2"]).select("row", "n_links", "component")
     alone = checked.where(~linking).select("row", F.lit(0).cast("bigint").alias("n_links"), F.col("row").alias("component"))
     result = own.unionByName(alone).withColumn("kept", F.col("row") == F.col("component"))

@@ -117,6 +117,13 @@ def test_embeddings_finds_pairs_beside_a_large_group(spark, monkeypatch):
     assert len({got[i].component_id for i in range(600, 700)}) == 1
 
 
+def test_embeddings_of_two_lengths(spark):
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.01]), (3, [0.0, 1.0]), (4, [1.0, 0.0, 0.0]), (5, [1.0, 0.01, 0.0]), (6, [1.0, 0.0]), (7, [2.0, 0.0, 0.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in embeddings.near_duplicates(table).collect())
+    assert got == [(1, 2, 1), (2, 2, 1), (3, 0, 3), (4, 2, 4), (5, 2, 4), (6, 2, 1), (7, 2, 4)]
+
+
 def test_embeddings_of_nothing(spark):
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
     same = spark.createDataFrame([(None, [1.0, 0.0]), (None, [2.0, 0.0]), (4, [0.0, 1.0])], "vec_id long, embedding array<double>")

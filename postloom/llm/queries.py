@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postloom.llm import bpe, embeddings, fingerprints, language, lines, packing, setjoin, substrings, tokens, urls
+from postloom.llm import bpe, divergence, embeddings, fingerprints, language, lines, packing, setjoin, substrings, tokens, urls
 
 TOKENIZER, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"  # one vocabulary in two formats
 MULTI_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -78,6 +78,11 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("text", "lang", "source")
+    return divergence.source_divergence(docs)
+
+
 LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 LINE_KEY = LOWER.format("trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")
 
@@ -103,10 +108,35 @@ SELECT p.page_id, p.host, p.path, f.best.rule AS rule, coalesce(f.best.verdict,
 FROM parsed p LEFT JOIN fits f ON p.page_id = f.page_id
 """
 
+OP11_SQL = rf"""
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text, row_number() OVER () AS r FROM documents),
+t AS (SELECT lang, source, r, unnest(regexp_extract_all({LOWER.format("text")}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+groups AS (SELECT DISTINCT lang, source FROM d),
+kept AS (SELECT lang, term FROM t GROUP BY lang, term HAVING count(DISTINCT r) >= 10),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+occ AS (SELECT lang, source, term, count(*) AS c FROM t GROUP BY ALL),
+gc AS (SELECT g.lang, g.source, k.term, coalesce(o.c, 0) AS c FROM groups g JOIN kept k ON g.lang = k.lang
+ LEFT JOIN occ o ON o.lang = g.lang AND o.source = g.source AND o.term = k.term),
+gn AS (SELECT lang, source, sum(c) AS n FROM gc GROUP BY ALL),
+gp AS (SELECT gc.lang, gc.source, gc.term, gc.c, 1 + (1000000000::HUGEINT * (gc.c + 2)) // (gn.n + 2 * v.v) AS p
+ FROM gc JOIN gn ON gc.lang = gn.lang AND gc.source = gn.source JOIN v ON gc.lang = v.lang),
+lc AS (SELECT lang, term, sum(c) AS c FROM gc GROUP BY ALL),
+ln AS (SELECT lang, sum(c) AS n FROM lc GROUP BY ALL),
+lp AS (SELECT lc.lang, lc.term, 1 + (1000000000::HUGEINT * (lc.c + 2)) // (ln.n + 2 * v.v) AS q FROM lc JOIN ln ON lc.lang = ln.lang JOIN v ON lc.lang = v.lang),
+sums AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+ FROM gp a JOIN gp b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pair AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+ LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+term AS (SELECT gp.lang, gp.source, 'term' AS part, gp.term AS item, (gp.p - lp.q) * (gp.p - lp.q) // (gp.p + lp.q) AS value
+ FROM gp JOIN lp ON gp.lang = lp.lang AND gp.term = lp.term WHERE gp.c > 0 AND gp.p > lp.q),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM (SELECT * FROM pair UNION ALL SELECT * FROM term))
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
+
 QUERIES = {
     query.__name__: query
     for query in (
-        op1_line_dedup, op2_fingerprints, op3_url_filter, op4_embedding_near_dedup, op5_substring_dedup, op6_packing, op7_token_counts, op8_language_id, op9_jaccard_join, op10_bpe_codec,
+        op1_line_dedup, op2_fingerprints, op3_url_filter, op4_embedding_near_dedup, op5_substring_dedup, op6_packing, op7_token_counts, op8_language_id, op9_jaccard_join, op10_bpe_codec, op11_source_divergence,
     )
 }
-ORACLES: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op3_url_filter": OP3_SQL}
+ORACLES: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op3_url_filter": OP3_SQL, "op11_source_divergence": OP11_SQL}

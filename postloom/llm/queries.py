@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postloom.llm import bpe, divergence, embeddings, fingerprints, language, lines, packing, setjoin, substrings, tokens, urls
+from postloom.llm import bpe, divergence, embeddings, fingerprints, interactions, language, lines, packing, setjoin, substrings, tokens, urls
 
 TOKENIZER, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"  # one vocabulary in two formats
 MULTI_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -83,6 +83,12 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.source_divergence(docs)
 
 
+def op12_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
+    return interactions.interaction_counts(docs, labels)
+
+
 LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 LINE_KEY = LOWER.format("trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")
 
@@ -133,10 +139,36 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY
 SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM ranked WHERE part = 'pair' OR rank <= 10
 """
 
+OP12_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, part, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words FROM d),
+f AS (SELECT doc_id, part,
+  (CASE WHEN len(words) < 200 THEN 1 ELSE 0 END)
+  + (CASE WHEN len(list_distinct(words)) * 100 < len(words) * 50 THEN 2 ELSE 0 END)
+  + (CASE WHEN (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) * 100 > length(t) * 3 THEN 4 ELSE 0 END)
+  + (CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END)
+  + (CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 16 ELSE 0 END) AS mask FROM w),
+lab AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+ FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+m AS (SELECT part, mask, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic FROM f LEFT JOIN lab ON f.doc_id = lab.doc_id GROUP BY ALL),
+letters(letter, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+perms AS (SELECT a.letter || b.letter || c.letter || d.letter || e.letter AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+ FROM letters a, letters b, letters c, letters d, letters e WHERE a.bit | b.bit | c.bit | d.bit | e.bit = 31),
+steps AS (SELECT filter_order, s AS step, bits[s] AS bit, coalesce(list_sum(bits[1:s - 1]), 0) AS earlier FROM perms, range(1, 6) r(s)),
+x AS (SELECT m.part, s.filter_order, s.step, s.bit, m.n, m.good, m.toxic, (m.mask & (s.bit | s.earlier)) = 0 AS keep,
+ (m.mask & s.bit) <> 0 AND (m.mask & s.earlier) = 0 AS rem, (m.mask & s.bit) <> 0 AND (m.mask & s.earlier) <> 0 AS red, m.mask = s.bit AS uni FROM m, steps s),
+agg AS (SELECT part, filter_order, step, bit, sum(CASE WHEN keep THEN n ELSE 0 END) AS kept, sum(CASE WHEN rem THEN n ELSE 0 END) AS removed,
+ sum(CASE WHEN red THEN n ELSE 0 END) AS redundant, sum(CASE WHEN uni THEN n ELSE 0 END) AS unique_fails,
+ sum(CASE WHEN rem THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN rem THEN toxic ELSE 0 END) AS toxic_lost FROM x GROUP BY ALL)
+SELECT part, filter_order, step::INTEGER AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+ unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+ (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM agg
+"""
+
 QUERIES = {
     query.__name__: query
     for query in (
-        op1_line_dedup, op2_fingerprints, op3_url_filter, op4_embedding_near_dedup, op5_substring_dedup, op6_packing, op7_token_counts, op8_language_id, op9_jaccard_join, op10_bpe_codec, op11_source_divergence,
+        op1_line_dedup, op2_fingerprints, op3_url_filter, op4_embedding_near_dedup, op5_substring_dedup, op6_packing, op7_token_counts, op8_language_id, op9_jaccard_join, op10_bpe_codec, op11_source_divergence, op12_filter_interactions,
     )
 }
-ORACLES: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op3_url_filter": OP3_SQL, "op11_source_divergence": OP11_SQL}
+ORACLES: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op3_url_filter": OP3_SQL, "op11_source_divergence": OP11_SQL, "op12_filter_interactions": OP12_SQL}

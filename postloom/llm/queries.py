@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postloom.llm import bpe, divergence, embeddings, fingerprints, interactions, language, lines, packing, setjoin, substrings, tokens, urls
+from postloom.llm import bpe, decontaminate, divergence, embeddings, fingerprints, interactions, language, lines, packing, setjoin, substrings, tokens, urls
 
 TOKENIZER, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"  # one vocabulary in two formats
 MULTI_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -89,6 +89,16 @@ def op12_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interactions.interaction_counts(docs, labels)
 
 
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    bench = table(spark, sf_dir, "benchmark").select("item_id", "text")
+    found = decontaminate.find_contamination(docs, bench, window=10)
+    named = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(named, 256).alias("items_sha256"), "contaminated"
+    )
+
+
 LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 LINE_KEY = LOWER.format("trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")
 
@@ -165,10 +175,27 @@ SELECT part, filter_order, step::INTEGER AS step, kept::BIGINT AS kept, removed:
  (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM agg
 """
 
+BENCH_WORDS = LOWER.format("coalesce(text, '')")
+OP13_SQL = rf"""
+WITH dw AS (SELECT row_number() OVER () AS rn, doc_id, regexp_extract_all({BENCH_WORDS}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+bw AS (SELECT item_id, regexp_extract_all({BENCH_WORDS}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+starts AS (SELECT item_id, w, unnest(range(0, greatest(len(w) - 10, 0) + 1)) AS i FROM bw WHERE len(w) > 0),
+win AS (SELECT DISTINCT item_id, w[i + 1 : i + least(len(w), 10)] AS win, least(len(w), 10) AS l FROM starts),
+lens AS (SELECT DISTINCT l FROM win),
+spots AS (SELECT rn, w, unnest(range(0, len(w))) AS p FROM dw),
+pos AS (SELECT spots.rn, spots.p, lens.l, spots.w[spots.p + 1 : spots.p + lens.l] AS s FROM spots JOIN lens ON spots.p + lens.l <= len(spots.w)),
+occ AS (SELECT pos.rn, pos.p, pos.l, win.item_id FROM pos JOIN win ON pos.l = win.l AND pos.s = win.win),
+hit AS (SELECT rn, count(DISTINCT q) AS n FROM (SELECT rn, unnest(range(p, p + l)) AS q FROM occ) GROUP BY rn),
+named AS (SELECT rn, list_sort(list(DISTINCT item_id::VARCHAR) FILTER (item_id IS NOT NULL)) AS ids FROM occ GROUP BY rn)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(h.n, 0)::BIGINT AS n_hit, coalesce(len(n.ids), 0)::BIGINT AS n_items,
+ sha256(coalesce(array_to_string(n.ids, ','), '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated
+FROM dw d LEFT JOIN hit h ON d.rn = h.rn LEFT JOIN named n ON d.rn = n.rn
+"""
+
 QUERIES = {
     query.__name__: query
     for query in (
-        op1_line_dedup, op2_fingerprints, op3_url_filter, op4_embedding_near_dedup, op5_substring_dedup, op6_packing, op7_token_counts, op8_language_id, op9_jaccard_join, op10_bpe_codec, op11_source_divergence, op12_filter_interactions,
+        op1_line_dedup, op2_fingerprints, op3_url_filter, op4_embedding_near_dedup, op5_substring_dedup, op6_packing, op7_token_counts, op8_language_id, op9_jaccard_join, op10_bpe_codec, op11_source_divergence, op12_filter_interactions, op13_decontamination,
     )
 }
-ORACLES: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op3_url_filter": OP3_SQL, "op11_source_divergence": OP11_SQL, "op12_filter_interactions": OP12_SQL}
+ORACLES: dict[str, str] = {"op1_line_dedup": OP1_SQL, "op3_url_filter": OP3_SQL, "op11_source_divergence": OP11_SQL, "op12_filter_interactions": OP12_SQL, "op13_decontamination": OP13_SQL}

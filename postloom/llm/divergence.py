@@ -19,7 +19,8 @@ sources squared. Part `term` lists the kept terms of a group whose share exceeds
 the ten largest; the limit per group is applied per map task before the shuffle as well.
 
 Null text, lang and source read as the empty string. A group without any kept term still gets its
-pair rows (N = 0); a language without kept terms (V = 0) gives pair values 0 and no term rows.
+pair rows (N = 0); a language without kept terms (V = 0) gives pair values 0 and no term rows
+(its unseen share is set to 1 so that no quotient by N + 2V = 0 is formed).
 An empty table gives no rows. Repeated rows count as documents each. Extra input columns are not
 read.
 """
@@ -138,7 +139,7 @@ def source_divergence(docs: DataFrame, text: str = "text", lang: str = "lang", s
             F.coalesce("total", F.lit(0)).alias("total"),
             F.coalesce("held", F.lit(0)).alias("held"),
         )
-        .withColumn("p0", share("0", "total", "v"))
+        .withColumn("p0", F.when(F.col("v") > 0, share("0", "total", "v")).otherwise(F.lit(1).cast("long")))
     )
     stats = small(materialize(stats))
     shares = entries.join(stats.select("lang", "source", "total", "v"), ["lang", "source"]).select(

@@ -129,7 +129,7 @@ def repeated_texts(rows: DataFrame, total: int) -> DataFrame:
     """(h1, h2) of all texts that the merged counting sketches cannot clear as unique."""
     segments = max(1, -(-total // SEGMENT_KEYS))
     per_segment = -(-total // segments)
-    width = 1 << int(max(10, np.ceil(np.log2(per_segment * COUNTERS_PER_KEY))))
+    width = 1 << int(max(10, np.ceil(np.log2(max(per_segment, 1) * COUNTERS_PER_KEY))))
     partials = map_arrow(rows.select("__h1", "__h2"), partial_sketches(segments, width), PARTIAL)
     return partials.groupBy("segment").applyInPandas(possible_repeats(width), "h1 long, h2 long")
 

@@ -11,7 +11,8 @@ counter positions its keys touch, counted and saturated at 2, with the distinct
 Spark deals the partials by segment; each segment's sketches are merged into one counting array,
 and every key whose least counter is under 2 is a guaranteed unique text and cleared. Only the
 rest, the possible repeats, are looked up again with their full text: grouped by the exact text,
-the least doc_id of each text marks all others with E. Segments hold about `SEGMENT_KEYS` keys
+the least doc_id of each text marks all others with E (a text with over a million copies is
+joined back in salts). Segments hold about `SEGMENT_KEYS` keys
 each, their number grows with the table, and a key repeated a million times arrives at its segment
 once per input partition, so no task grows with a hot text.
 
@@ -37,7 +38,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from postloom.llm.common import map_arrow, mix, prepare, quoted
-from postloom.operators.joins import small
+from postloom.operators.joins import lookup_join, small
 from postloom.session import written
 
 # Fixed values of the contract.
@@ -159,9 +160,11 @@ def filter_flags(docs: DataFrame, text: str = "text", id_col: str = "doc_id", pa
     suspects = written(repeated_texts(rows, total), "interaction-suspects")
     looked = rows.join(small(suspects.withColumnRenamed("h1", "__h1").withColumnRenamed("h2", "__h2")), ["__h1", "__h2"])
     looked = looked.select("__id", "__h1", "__h2", "__text")
-    firsts = looked.groupBy("__h1", "__h2", "__text").agg(F.min("__id").alias("__first"))
+    on = ["__h1", "__h2", "__text"]
+    firsts = written(looked.groupBy(*on).agg(F.min("__id").alias("__first"), F.count(F.lit(1)).alias("n")), "interaction-firsts")
+    # a text with very many copies is spread over salts of its rows' ids instead of landing in one task
     later = (
-        looked.join(firsts, ["__h1", "__h2", "__text"])
+        lookup_join(looked, firsts.select(*on, "__first"), on, "__id", counts=firsts.select(*on, "n"))
         .where(F.col("__id") > F.col("__first"))
         .select("__id", "__h1", "__h2")
         .distinct()

@@ -6,9 +6,10 @@ window. A document word that lies inside any occurrence of a window is hit.
 
 Method: training suffix arrays. Every input partition of the documents is a training shard (cut
 into pieces of about `SHARD_WORDS` words; documents are never split). Its words are numbered by an
-Arrow dictionary, and its suffixes are sorted by their first `window` word numbers (`lexsort`),
-which orders them exactly as a full suffix array does to the only depth a window can reach; a
-suffix ends at its document's end. Every test suffix that starts a window is then binary-searched
+Arrow dictionary, and its suffixes are sorted by their first `window` word numbers (`lexsort` over
+those numbers packed into as few 64-bit keys as the shard's vocabulary allows), which orders them
+exactly as a full suffix array does to the only depth a window can reach; a suffix ends at its
+document's end. Every test suffix that starts a window is then binary-searched
 (`searchsorted` on the sorted keys) for the interval of training suffixes that begin with it: the
 longest verbatim match up to the window and all its locations. The windows of the test set come
 from Spark, distinct, with the items that hold each; they travel to the shards in blocks of at
@@ -70,18 +71,64 @@ def blocks(windows: DataFrame, block: int = BLOCK_WINDOWS) -> list:
     return made
 
 
+def layout(ids: np.ndarray, window: int) -> tuple[int, int, int]:
+    """Bits per word number, word numbers per 64-bit key and keys per suffix for a shard."""
+    bits = max(1, int(ids.max(initial=0)).bit_length())
+    per = 64 // bits
+    return bits, per, -(-window // per)
+
+
+def pack(word, room: np.ndarray, window: int, bits: int, per: int, keys: int, fill: np.uint64 | None = None) -> np.ndarray:
+    """Keys (keys x rows): `word(i)` gives word i of every row; it is kept where i < room, else 0
+    (or `fill`); each key holds `per` numbers, the first in its highest bits."""
+    made = np.zeros((keys, len(room)), np.uint64)
+    top = np.uint64((1 << bits) - 1)
+    for i in range(window):
+        j, slot = divmod(i, per)
+        shift = np.uint64(bits * (per - 1 - slot))
+        value = np.where(i < room, word(i).astype(np.uint64), np.uint64(0) if fill is None else fill)
+        made[j] |= (value & top) << shift
+    return made
+
+
+def as_bytes(keys: np.ndarray, order: np.ndarray | None = None) -> np.ndarray:
+    """Keys (keys x rows), in `order`, as one big-endian byte string per row, ordered as the word numbers are."""
+    rows = keys.shape[1] if order is None else len(order)
+    made = np.empty((rows, keys.shape[0]), ">u8")
+    for j in range(keys.shape[0]):
+        made[:, j] = keys[j] if order is None else keys[j][order]
+    return made.view(f"V{8 * keys.shape[0]}").ravel()
+
+
+def sort_keys(keys: np.ndarray) -> np.ndarray:
+    """Order of the rows by all keys: by the first key, then runs that tie on it by the others."""
+    order = np.argsort(keys[0])
+    if keys.shape[0] == 1:
+        return order
+    first = keys[0][order]
+    tied = np.zeros(len(first), bool)
+    same = first[1:] == first[:-1]
+    tied[1:] |= same
+    tied[:-1] |= same
+    if tied.any():
+        at = np.flatnonzero(tied)
+        run = np.cumsum(np.concatenate([[True], ~same]))[at]
+        inner = np.lexsort([keys[j][order[at]] for j in range(keys.shape[0] - 1, 0, -1)] + [run])
+        order[at] = order[at][inner]
+    return order
+
+
 def shard_keys(ids: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Start positions of all suffixes of a shard (ids > 0; 0 separates documents) sorted by their
-    first `window` ids, and those keys as big-endian bytes for binary search."""
-    padded = np.concatenate([ids, np.zeros(window, ids.dtype)])
-    view = np.lib.stride_tricks.sliding_window_view(padded, window)[: len(ids)]
-    keys = view * np.cumprod(view != 0, axis=1)
+    """Start positions of all suffixes of a shard (ids > 0; 0 ends every document) sorted by their
+    first `window` ids, and those packed keys as big-endian bytes for binary search."""
+    bits, per, keys = layout(ids, window)
+    ends = np.flatnonzero(ids == 0)
     starts = np.flatnonzero(ids != 0)
-    keys = keys[starts]
-    order = np.lexsort(keys.T[::-1])
-    suffixes = starts[order]
-    sorted_keys = np.ascontiguousarray(keys[order].astype(">u4")).view(f"V{4 * window}").ravel()
-    return suffixes, sorted_keys
+    room = ends[np.searchsorted(ends, starts)] - starts
+    last = len(ids) - 1
+    packed = pack(lambda i: ids[np.minimum(starts + i, last)], room, window, bits, per, keys)
+    order = sort_keys(packed)
+    return starts[order], as_bytes(packed, order)
 
 
 def search(shard_words: pa.Array, ids: np.ndarray, block, window: int):
@@ -99,16 +146,16 @@ def search(shard_words: pa.Array, ids: np.ndarray, block, window: int):
     if not len(chosen):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     suffixes, keys = shard_keys(ids, window)
+    bits, per, count = layout(ids, window)
     offsets = np.concatenate([[0], np.cumsum(lengths)])
-    low = np.zeros((len(chosen), window), np.uint32)
-    high = np.full((len(chosen), window), np.iinfo(np.uint32).max, np.uint32)
-    for k, w in enumerate(chosen):
-        n = lengths[w]
-        low[k, :n] = high[k, :n] = where[offsets[w] : offsets[w + 1]]
-        high[k, n:] = np.iinfo(np.uint32).max if n < window else 0
-    width = f"V{4 * window}"
-    left = np.searchsorted(keys, np.ascontiguousarray(low.astype(">u4")).view(width).ravel(), "left")
-    right = np.searchsorted(keys, np.ascontiguousarray(high.astype(">u4")).view(width).ravel(), "right")
+    words = np.zeros((len(lengths), window), np.int64)
+    slot = np.arange(len(owner)) - offsets[owner]
+    words[owner, slot] = where
+    words, room = words[chosen], lengths[chosen]
+    low = as_bytes(pack(lambda i: words[:, i], room, window, bits, per, count))
+    high = as_bytes(pack(lambda i: words[:, i], room, window, bits, per, count, fill=np.uint64((1 << bits) - 1)))
+    left = np.searchsorted(keys, low, "left")
+    right = np.searchsorted(keys, high, "right")
     times = right - left
     which = np.repeat(chosen, times)
     position = np.repeat(left - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum())

@@ -4,6 +4,7 @@
     {output}/comments/batch_id=.../month=.../       flat comments, one row per id
     {output}/rejects/batch_id=.../                  lines in error with their status
     {output}/manifest/batch_id=.../                 one row per file, written last
+    {output}/keys/{table}/batch_id=.../bucket=.../  the ids each batch stored, by hash bucket
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from postloom import schemas
 from postloom.functions.names import entity_of
 from postloom.operators import records, threads
 from postloom.session import configure, scratch_folder, scratch_scope, written
+from postloom.sources import keyindex
 from postloom.sources import manifest as M
 from postloom.sources.dumps import list_dumps, read_lines
 from postloom.sources.tables import read_committed, write_batch
@@ -67,13 +69,19 @@ def store(
 
 
 def _append(rows: DataFrame, output: str, table: str, batch_id: str, schema, depth: int | None = None) -> None:
-    stored = read_committed(rows.sparkSession, output, table, schema).where(F.col("batch_id") != batch_id)
+    """Store the first row of each id of a batch that no committed batch has stored, and index its ids.
+
+    Stored ids are looked up in the key index, in the buckets of the batch's own ids only.
+    """
     first = written(records.keep_first(rows, "id", ["created_utc", "path"]).drop("path"), "first")
     if depth is not None:
+        stored = read_committed(rows.sparkSession, output, table, schema).where(F.col("batch_id") != batch_id)
         every = stored.select(schema.names).unionByName(first.select(schema.names))
         deep = threads.thread_depth(every, depth).select("id", "depth").dropDuplicates(["id"])
         first = written(first.drop("depth").join(deep, "id").select(*first.columns), "first")
-    write_batch(records.not_stored(first, stored, "id"), f"{output}/{table}", batch_id, "created_utc")
+    fresh = written(keyindex.not_stored(first, output, table, batch_id, schema), "fresh")
+    write_batch(fresh, f"{output}/{table}", batch_id, "created_utc")
+    keyindex.write_keys(fresh, output, table, batch_id)
 
 
 def readable(spark: SparkSession, paths: list[str], long_windows: bool = False) -> tuple[list[str], dict[str, str]]:
@@ -182,10 +190,10 @@ def ingest_listings(
         comments = threads.flatten_listings(listings)
         if comment_depth is not None:
             comments = comments.where(F.col("depth") <= comment_depth)
-        stored = read_committed(spark, output, "comments", schemas.COMMENTS).where(F.col("batch_id") != batch_id)
         first = written(records.keep_first(comments, "id", ["created_utc", "post_id"]), "first")
-        fresh = records.not_stored(first, stored, "id").select(schemas.COMMENTS.names)
+        fresh = written(keyindex.not_stored(first, output, "comments", batch_id, schemas.COMMENTS).select(schemas.COMMENTS.names), "fresh")
         write_batch(fresh, f"{output}/comments", batch_id, "created_utc")
+        keyindex.write_keys(fresh, output, "comments", batch_id)
         counts = listings.agg(F.count("*").alias("listings")).withColumn("ts", F.current_timestamp())
         write_batch(counts, f"{output}/progress", batch_id)  # from here on readers see the batch
     mine = read_committed(spark, output, "comments", schemas.COMMENTS)

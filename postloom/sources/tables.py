@@ -26,21 +26,29 @@ def read_stored(spark: SparkSession, path: str, schema: T.StructType) -> DataFra
         raise
 
 
-def read_committed(spark: SparkSession, output: str, table: str, schema: T.StructType) -> DataFrame:
-    """A stored table without the batches of runs that ended before they were entered in the manifest or the progress."""
+def entered_batches(spark: SparkSession, output: str) -> DataFrame | None:
+    """Distinct ids of the batches entered in the manifest or the progress table, or None if neither exists."""
     entered = [
         spark.read.schema("batch_id string").parquet(f"{output}/{name}").select("batch_id")
         for name in ("manifest", "progress")
-        if _exists(spark, f"{output}/{name}")
+        if exists(spark, f"{output}/{name}")
     ]
-    stored = read_stored(spark, f"{output}/{table}", schema)
     if not entered:
-        return stored.limit(0)
+        return None
     batches = entered[0] if len(entered) == 1 else entered[0].unionByName(entered[1])
-    return stored.join(batches.distinct(), "batch_id", "left_semi").select(*stored.columns)
+    return batches.distinct()
+
+
+def read_committed(spark: SparkSession, output: str, table: str, schema: T.StructType) -> DataFrame:
+    """A stored table without the batches of runs that ended before they were entered in the manifest or the progress."""
+    stored = read_stored(spark, f"{output}/{table}", schema)
+    batches = entered_batches(spark, output)
+    if batches is None:
+        return stored.limit(0)
+    return stored.join(batches, "batch_id", "left_semi").select(*stored.columns)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
 

@@ -185,7 +185,7 @@ def source_divergence(docs: DataFrame, text: str = "text", lang: str = "lang", s
     groups = counts.where(F.col("term").isNull()).select("lang", "source")
     seen = counts.where(F.col("term").isNotNull())
     per_lang = seen.groupBy("lang", "term").agg(F.sum("d").alias("docs"), F.sum("n").alias("c"))
-    kept = per_lang.where(F.col("docs") >= MIN_DOCS).select("lang", "term", "c")
+    kept = written(per_lang.where(F.col("docs") >= MIN_DOCS).select("lang", "term", "c"), "divergence-kept")
     sizes = materialize(kept.groupBy("lang").agg(F.count(F.lit(1)).alias("v"), F.sum("c").alias("lang_total")))
     entries = seen.join(kept.select("lang", "term"), ["lang", "term"]).select("lang", "source", "term", F.col("n").alias("c"))
     per_group = entries.groupBy("lang", "source").agg(F.sum("c").alias("total"), F.count(F.lit(1)).alias("held"))
@@ -206,6 +206,7 @@ def source_divergence(docs: DataFrame, text: str = "text", lang: str = "lang", s
     shares = entries.join(stats.select("lang", "source", "total", "v"), ["lang", "source"]).select(
         "lang", "source", "term", "c", share("c", "total", "v").alias("p")
     )
+    shares = written(shares, "divergence-shares")  # read by both parts three times
     lang_shares = kept.join(small(sizes), "lang").select("lang", "term", share("c", "lang_total", "v").alias("q"))
 
     # part `term`: kept terms of a group above the language's share

@@ -8,6 +8,7 @@ pre-tokens, which join the counts by shuffle. No ids are materialised.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from functools import lru_cache
 from operator import mul
@@ -40,13 +41,22 @@ class Splitter:
     def __init__(self, path: str):
         tokenizer = load_tokenizer(path)
         self.cut = tokenizer.pre_tokenizer.pre_tokenize_str
-        self.added = sorted((t.content for t in tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
+        added = sorted({t.content for t in tokenizer.get_added_tokens_decoder().values() if t.content}, key=len, reverse=True)
+        # leftmost match, the longest added token first at each place; one pass, however many a text holds
+        self.added = re.compile("(" + "|".join(re.escape(token) for token in added) + ")") if added else None
 
     def words(self, piece: str) -> list[str]:
-        for token in self.added:
-            if token in piece:
-                left, right = piece.split(token, 1)
-                return [*(self.words(left) if left else ()), token, *(self.words(right) if right else ())]
+        if self.added is None:
+            return self.plain(piece)
+        made: list[str] = []
+        for k, part in enumerate(self.added.split(piece)):
+            if k % 2:
+                made.append(part)
+            elif part:
+                made.extend(self.plain(part))
+        return made
+
+    def plain(self, piece: str) -> list[str]:
         if max(piece) <= "\u024f":
             return words_of(piece)
         # other scripts by the library itself, whose character classes may be those of another Unicode version

@@ -258,6 +258,14 @@ def test_token_counts(docs, corpus, head):
         assert (made[i].n_bytes, made[i].n_tokens, made[i].over_limit) == (len((t or "").encode()), count, count > 512)
 
 
+def test_token_counts_of_many_added_tokens(spark):
+    tokenizer = Tokenizer.from_file(TOKENIZER)
+    texts = ["<|endoftext|>" * 5000, "a<|endoftext|>b " * 3000 + "<|endoftext|>", "<|endoftext|x"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    made = {r.doc_id: r.n_tokens for r in tokens.count_tokens(docs, TOKENIZER).collect()}
+    assert made == {i: len(tokenizer.encode(t, add_special_tokens=False).ids) for i, t in enumerate(texts)}
+
+
 def reference_codec(path):
     with open(path, "rb") as file:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}

@@ -17,30 +17,42 @@ from postloom.session import written
 TOKENIZER, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 
 
-def _measured(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """The columns of the input, with `n_chars` of the new text."""
-    if "n_chars" in columns:
-        docs = docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return docs.select(*columns)
+READ = ("doc_id", "text", "lang")  # the columns the stages read; all others only pass through
+
+
+def _guarded(docs: DataFrame, stage) -> DataFrame:
+    """`stage` applied to `docs` with every other column hidden under a reserved name and given back
+    unchanged afterwards, so that no result of an operator (`score`, `n_lines`, ...) replaces a
+    column of the user's; `n_chars`, if present, is that of the new text."""
+    hidden = {c: f"__user{k}" for k, c in enumerate(docs.columns) if c.lower() not in READ}
+    quoted = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    made = stage(docs.select(*[quoted(c).alias(hidden.get(c, c)) for c in docs.columns]))
+    back = made.select(*[quoted(hidden.get(c, c)).alias(c) for c in docs.columns])
+    if "n_chars" in hidden:
+        back = back.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return back
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter and those unlike every language of the corpus go."""
-    model = language.fit(docs)
-    judged = language.identify(docs, model)
-    return judged.where("not rejected").select(*docs.columns)
+
+    def stage(rows: DataFrame) -> DataFrame:
+        model = language.fit(rows)
+        return language.identify(rows, model).where("not rejected")
+
+    return _guarded(docs, stage)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _measured(lines.drop_repeated_lines(docs, min_docs=10), docs.columns)
+    return _guarded(docs, lambda rows: lines.drop_repeated_lines(rows, min_docs=10))
 
 
 def drop_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return setjoin.drop_similar(docs, size=5, percent=80)
+    return _guarded(docs, lambda rows: setjoin.drop_similar(rows, size=5, percent=80))
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _measured(substrings.drop_repeated_passages(docs, window=20), docs.columns)
+    return _guarded(docs, lambda rows: substrings.drop_repeated_passages(rows, window=20))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

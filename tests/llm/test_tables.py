@@ -143,10 +143,26 @@ def test_queries_equal_sql(spark, name):
 
 def test_all_queries_are_registered():
     names = set(entry.queries())
-    assert {f"op{n}" for n in range(1, 11)} == {name.split("_")[0] for name in queries.QUERIES}
+    assert {f"op{n}" for n in range(1, 14)} == {name.split("_")[0] for name in queries.QUERIES}
     assert set(queries.QUERIES) | {"pipeline"} <= names and "corpus_pipeline" in sys.modules
 
 
+def test_pipeline_keeps_user_columns(spark, tmp_path):
+    """Columns named like results of the operators come out as they went in; an empty table passes every stage."""
+    extra = "score double, bits double, rejected string, lang_pred string, n_lines int, n_dropped int, n_words int, n_removed int, Component_ID long"
+    values = (0.5, 2.5, "no", "xx", 7, 3, 8, 4, -1)
+    rows = [(i, t, "en", *values) for i, t in enumerate(T.make_texts()) if t and any(map(str.isalpha, t))]
+    docs = spark.createDataFrame(rows, f"doc_id bigint, text string, lang string, {extra}")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == ["doc_id", "text", "lang", *[c.split()[0] for c in extra.split(", ")]]
+        assert {tuple(r)[3:] for r in docs.collect()} <= {values}, name
+    empty = spark.createDataFrame([], f"doc_id bigint, text string, lang string, {extra}")
+    for name, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, empty, str(tmp_path))
+        assert empty.count() == 0, name
+
+
 def test_pipeline(spark, tmp_path):
     """Every stage against brute force on what the stage before it kept."""
     rows = [(i, t, "en" if t and i % 9 else None, "s", len(t or "")) for i, t in enumerate(T.make_texts())]

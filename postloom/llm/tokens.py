@@ -43,10 +43,11 @@ class Splitter:
         self.cut = tokenizer.pre_tokenizer.pre_tokenize_str
         added = sorted({t.content for t in tokenizer.get_added_tokens_decoder().values() if t.content}, key=len, reverse=True)
         # leftmost match, the longest added token first at each place; one pass, however many a text holds
+        self.tokens = added
         self.added = re.compile("(" + "|".join(re.escape(token) for token in added) + ")") if added else None
 
     def words(self, piece: str) -> list[str]:
-        if self.added is None:
+        if self.added is None or not any(token in piece for token in self.tokens):
             return self.plain(piece)
         made: list[str] = []
         for k, part in enumerate(self.added.split(piece)):

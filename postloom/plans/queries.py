@@ -12,7 +12,7 @@ from postloom import constants as C
 from postloom.functions import names
 from postloom.functions import text as X
 from postloom.functions.stages import SmoothTfidf
-from postloom.operators import bayes, dataset, evaluation, lemmas, progress, records, sampling, threads, tfidf
+from postloom.operators import bayes, dataset, evaluation, joins, lemmas, progress, records, sampling, threads, tfidf
 from postloom import schemas
 from postloom.plans import settings as S
 from postloom.plans import train
@@ -374,7 +374,7 @@ def _labelled(held_out):
     """Held-out rows with whether the prediction is one of their labels."""
     held_out = written(held_out, "held_out")
     labels = held_out.select(F.col("label").alias("prediction")).distinct().withColumn("known", F.lit(True))
-    return held_out.join(F.broadcast(labels), "prediction", "left").select(
+    return held_out.join(joins.small(labels), "prediction", "left").select(
         "id", "label", F.coalesce("known", F.lit(False)).alias("known_label")
     )
 

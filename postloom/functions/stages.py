@@ -9,7 +9,7 @@ from pyspark.ml import Estimator, Model, Pipeline, PipelineModel, Transformer
 from pyspark.ml.feature import CountVectorizer, ElementwiseProduct, IDF, Normalizer, RegexTokenizer
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.param import Param, Params, TypeConverters
-from pyspark.ml.param.shared import HasInputCol, HasLabelCol, HasOutputCol, HasPredictionCol
+from pyspark.ml.param.shared import HasInputCol, HasLabelCol, HasOutputCol, HasPredictionCol, HasSeed, HasWeightCol
 from pyspark.ml.util import (
     DefaultParamsReadable,
     DefaultParamsReader,
@@ -26,7 +26,9 @@ from pyspark.sql import functions as F
 from postloom import constants as C
 from postloom.functions import text as X
 from postloom.operators.bayes import BayesFit, fit_bayes, predict_bayes
+from postloom.operators.forest import ForestFit, fit_forest, predict_forest
 from postloom.operators.lemmas import apply_lemmas, lemma_table, vocabulary
+from postloom.operators.vectors import numbered
 from postloom.session import written
 
 MAX_VOCABULARY = 2**31 - 1  # what Spark can index
@@ -282,3 +284,65 @@ class GaussianTextBayesModel(_TableModel, _BayesParams):
             self.getInputCol(),
         )
         return dataset.join(found.withColumnRenamed("prediction_0", self.getPredictionCol()), key)
+
+
+def _with_predictions(dataset: DataFrame, column: str, predict) -> DataFrame:
+    """All rows of `dataset` with what `predict` gives for their numbers; ids may be null or repeat."""
+    rows = numbered(dataset)
+    found = predict(rows).withColumnRenamed("prediction", column)
+    return rows.drop(column).join(found, "_row").drop("_row")
+
+
+class _ForestParams(HasInputCol, HasLabelCol, HasPredictionCol, HasWeightCol, HasSeed):
+    numTrees = Param(Params._dummy(), "numTrees", "number of trees", TypeConverters.toInt)
+    maxDepth = Param(Params._dummy(), "maxDepth", "levels of splits of a tree", TypeConverters.toInt)
+    minInstancesPerNode = Param(
+        Params._dummy(), "minInstancesPerNode", "rows on both sides of a split", TypeConverters.toInt
+    )
+
+    def _init_forest(self) -> None:
+        self._setDefault(
+            inputCol="text_clean", labelCol="label", predictionCol="prediction", weightCol="weight", seed=42,
+            numTrees=100, maxDepth=20, minInstancesPerNode=1,
+        )
+
+
+class TextForest(Estimator, _ForestParams):
+    """A random forest on the sparse TF-IDF weights of cleaned texts (numeric labels)."""
+
+    @keyword_only
+    def __init__(self, inputCol="text_clean", labelCol="label", predictionCol="prediction", weightCol="weight", seed=42):
+        super().__init__()
+        self._init_forest()
+        self._set(**self._input_kwargs)
+
+    def _fit(self, dataset: DataFrame) -> TextForestModel:
+        fit = fit_forest(
+            dataset, self.getLabelCol(), self.getWeightCol(), self.getInputCol(), self.getOrDefault(self.numTrees),
+            self.getOrDefault(self.maxDepth), self.getOrDefault(self.minInstancesPerNode), self.getSeed(),
+        )
+        return self._copyValues(TextForestModel(fit))
+
+
+class TextForestModel(_TableModel, _ForestParams):
+    TABLES = ("terms", "nodes")
+
+    def __init__(self, fit: ForestFit | None = None):
+        super().__init__()
+        self._init_forest()
+        self.fit = fit
+
+    def _tables(self) -> dict[str, DataFrame]:
+        return {"terms": self.fit.terms, "nodes": self.fit.nodes}
+
+    def _state(self):
+        return json.dumps(self.fit.trees)
+
+    @classmethod
+    def _restore(cls, tables, state):
+        return cls(ForestFit(tables["terms"], tables["nodes"], json.loads(state)))
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        return _with_predictions(
+            dataset, self.getPredictionCol(), lambda rows: predict_forest(self.fit, rows, self.getInputCol())
+        )

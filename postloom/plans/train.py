@@ -8,13 +8,13 @@ from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LinearSVC, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import LinearSVC, OneVsRest
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import IndexToString, StringIndexer, StringIndexerModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postloom.functions.stages import GaussianTextBayes, SmoothTfidf
+from postloom.functions.stages import GaussianTextBayes, SmoothTfidf, TextForest
 from postloom.operators import bayes, evaluation, sampling
 from postloom.operators.dataset import fill_text
 from postloom.operators.tfidf import fit_idf, tfidf
@@ -58,7 +58,7 @@ def build_pipeline(kind: str, rows: int = 1, grid: dict[str, list] | None = None
         model = GaussianTextBayes(labelCol="label")
         return Pipeline(stages=[model]), [{model.varSmoothing: float(one["var_smoothing"])} for one in sets]
     if kind == "rf":
-        model = RandomForestClassifier(labelCol="label", weightCol="weight", seed=SEED, featureSubsetStrategy="sqrt")
+        model = TextForest(labelCol="label", weightCol="weight", seed=SEED)
         maps = [
             {
                 model.numTrees: one["trees"],
@@ -67,7 +67,7 @@ def build_pipeline(kind: str, rows: int = 1, grid: dict[str, list] | None = None
             }
             for one in sets
         ]
-        return Pipeline(stages=[SmoothTfidf(), model]), maps
+        return Pipeline(stages=[model]), maps
     svc = LinearSVC(standardization=False, weightCol="weight")
     model = OneVsRest(classifier=svc, labelCol="label", weightCol="weight", parallelism=4)
     maps = [
@@ -78,12 +78,12 @@ def build_pipeline(kind: str, rows: int = 1, grid: dict[str, list] | None = None
 
 
 def search(
-    vectorizer: SmoothTfidf, classifier, maps: list[dict], rows: DataFrame, folds: int, parallelism: int
+    vectorizer: SmoothTfidf | None, classifier, maps: list[dict], rows: DataFrame, folds: int, parallelism: int
 ) -> list[float]:
     """Mean accuracy per parameter map over the column `fold`.
 
     Vectorizing belongs to training, so every fold fits its own vectorizer on its training rows,
-    once for all parameter maps. Equal maps are fitted once.
+    once for all parameter maps; without one the classifier takes the texts. Equal maps are fitted once.
     """
     keys = [tuple(sorted((param.name, value) for param, value in params.items())) for params in maps]
     different = {key: params for key, params in zip(keys, maps)}
@@ -91,9 +91,11 @@ def search(
     totals = dict.fromkeys(different, 0.0)
     with ThreadPool(min(parallelism, len(different))) as pool:
         for number in range(folds):
-            fitted = vectorizer.fit(rows.where(F.col("fold") != number))
-            train = fitted.transform(rows.where(F.col("fold") != number)).persist()
-            valid = fitted.transform(rows.where(F.col("fold") == number)).persist()
+            train, valid = rows.where(F.col("fold") != number), rows.where(F.col("fold") == number)
+            if vectorizer is not None:
+                fitted = vectorizer.fit(train)
+                train, valid = fitted.transform(train), fitted.transform(valid)
+            train, valid = train.persist(), valid.persist()
 
             def one(key: tuple) -> float:
                 return evaluator.evaluate(classifier.fit(train, different[key]).transform(valid))
@@ -159,7 +161,7 @@ def tune(
         means = bayes.cross_validate_bayes(rows, "label", values, folds, parallelism=parallelism).collect()
         metrics = [row.score for row in sorted(means, key=lambda row: row.grid_index)]
     else:
-        metrics = search(front[0], classifier, maps, rows, folds, parallelism)
+        metrics = search(front[0] if front else None, classifier, maps, rows, folds, parallelism)
     best = max(range(len(maps)), key=lambda index: (metrics[index], -index))
     fitted = pipeline.fit(rows, maps[best])
     texts = parameter_sets(kind, grid)

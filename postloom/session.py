@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -38,6 +39,14 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers of a local session import this package; on a cluster it comes with `--py-files`."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in paths.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [paths, root]))
+
+
 def size_shuffles(spark: SparkSession, input_bytes: int, per_task: int = 128 * 1024 * 1024) -> int:
     """Raise the number of shuffle partitions so that none holds much more than `per_task` bytes.
 

@@ -9,7 +9,17 @@ from pyspark.ml import Estimator, Model, Pipeline, PipelineModel, Transformer
 from pyspark.ml.feature import CountVectorizer, ElementwiseProduct, IDF, Normalizer, RegexTokenizer
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.param import Param, Params, TypeConverters
-from pyspark.ml.param.shared import HasInputCol, HasLabelCol, HasOutputCol, HasPredictionCol, HasSeed, HasWeightCol
+from pyspark.ml.param.shared import (
+    HasInputCol,
+    HasLabelCol,
+    HasMaxIter,
+    HasOutputCol,
+    HasPredictionCol,
+    HasRegParam,
+    HasSeed,
+    HasTol,
+    HasWeightCol,
+)
 from pyspark.ml.util import (
     DefaultParamsReadable,
     DefaultParamsReader,
@@ -28,6 +38,7 @@ from postloom.functions import text as X
 from postloom.operators.bayes import BayesFit, fit_bayes, predict_bayes
 from postloom.operators.forest import ForestFit, fit_forest, predict_forest
 from postloom.operators.lemmas import apply_lemmas, lemma_table, vocabulary
+from postloom.operators.machine import MachineFit, fit_machine, predict_machine
 from postloom.operators.vectors import numbered
 from postloom.session import written
 
@@ -346,3 +357,52 @@ class TextForestModel(_TableModel, _ForestParams):
         return _with_predictions(
             dataset, self.getPredictionCol(), lambda rows: predict_forest(self.fit, rows, self.getInputCol())
         )
+
+
+class _MachineParams(HasInputCol, HasLabelCol, HasPredictionCol, HasWeightCol, HasRegParam, HasTol, HasMaxIter):
+    def _init_machine(self) -> None:
+        self._setDefault(
+            inputCol="text_clean", labelCol="label", predictionCol="prediction", weightCol="weight", regParam=0.0,
+            tol=1e-6, maxIter=100,
+        )
+
+
+class TextMachine(Estimator, _MachineParams):
+    """Linear support vector machines, one class against the rest, on sparse TF-IDF weights (numeric labels)."""
+
+    @keyword_only
+    def __init__(self, inputCol="text_clean", labelCol="label", predictionCol="prediction", weightCol="weight"):
+        super().__init__()
+        self._init_machine()
+        self._set(**self._input_kwargs)
+
+    def _fit(self, dataset: DataFrame) -> TextMachineModel:
+        fit = fit_machine(
+            dataset, self.getLabelCol(), self.getWeightCol(), self.getInputCol(), self.getRegParam(), self.getTol(),
+            self.getMaxIter(),
+        )
+        return self._copyValues(TextMachineModel(fit))
+
+
+class TextMachineModel(_TableModel, _MachineParams):
+    TABLES = ("terms",)
+
+    def __init__(self, fit: MachineFit | None = None):
+        super().__init__()
+        self._init_machine()
+        self.fit = fit
+
+    def _tables(self) -> dict[str, DataFrame]:
+        return {"terms": self.fit.terms}
+
+    def _state(self):
+        return json.dumps(self.fit.intercepts)
+
+    @classmethod
+    def _restore(cls, tables, state):
+        return cls(MachineFit(tables["terms"], json.loads(state)))
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        return _with_predictions(
+            dataset, self.getPredictionCol(), lambda rows: predict_machine(self.fit, rows, self.getInputCol())
+        )

@@ -8,13 +8,12 @@ from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LinearSVC, OneVsRest
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import IndexToString, StringIndexer, StringIndexerModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postloom.functions.stages import GaussianTextBayes, SmoothTfidf, TextForest
+from postloom.functions.stages import GaussianTextBayes, TextForest, TextMachine
 from postloom.operators import bayes, evaluation, sampling
 from postloom.operators.dataset import fill_text
 from postloom.operators.tfidf import fit_idf, tfidf
@@ -43,7 +42,7 @@ def parameter_sets(kind: str, grid: dict[str, list] | None = None) -> list[dict]
 
 
 def build_pipeline(kind: str, rows: int = 1, grid: dict[str, list] | None = None) -> tuple[Pipeline, list[dict]]:
-    """A vectorizer with a classifier, and the parameter maps to search.
+    """A classifier of texts as a pipeline, and the parameter maps to search.
 
     `rows` is the number of training rows: balanced class weights sum up to it, and it turns the
     penalty C into Spark's regularization, 1 / (C * rows). Spark's forest has no minimum number of
@@ -68,22 +67,19 @@ def build_pipeline(kind: str, rows: int = 1, grid: dict[str, list] | None = None
             for one in sets
         ]
         return Pipeline(stages=[model]), maps
-    svc = LinearSVC(standardization=False, weightCol="weight")
-    model = OneVsRest(classifier=svc, labelCol="label", weightCol="weight", parallelism=4)
+    model = TextMachine(labelCol="label", weightCol="weight")
     maps = [
-        {svc.regParam: 1.0 / (one["c"] * max(rows, 1)), svc.tol: one["tol"], svc.maxIter: one["iterations"]}
+        {model.regParam: 1.0 / (one["c"] * max(rows, 1)), model.tol: one["tol"], model.maxIter: one["iterations"]}
         for one in sets
     ]
-    return Pipeline(stages=[SmoothTfidf(), model]), maps
+    return Pipeline(stages=[model]), maps
 
 
-def search(
-    vectorizer: SmoothTfidf | None, classifier, maps: list[dict], rows: DataFrame, folds: int, parallelism: int
-) -> list[float]:
+def search(classifier, maps: list[dict], rows: DataFrame, folds: int, parallelism: int) -> list[float]:
     """Mean accuracy per parameter map over the column `fold`.
 
-    Vectorizing belongs to training, so every fold fits its own vectorizer on its training rows,
-    once for all parameter maps; without one the classifier takes the texts. Equal maps are fitted once.
+    Vectorizing belongs to training, so every fold fits its own terms on its training rows. Equal
+    maps are fitted once.
     """
     keys = [tuple(sorted((param.name, value) for param, value in params.items())) for params in maps]
     different = {key: params for key, params in zip(keys, maps)}
@@ -92,18 +88,12 @@ def search(
     with ThreadPool(min(parallelism, len(different))) as pool:
         for number in range(folds):
             train, valid = rows.where(F.col("fold") != number), rows.where(F.col("fold") == number)
-            if vectorizer is not None:
-                fitted = vectorizer.fit(train)
-                train, valid = fitted.transform(train), fitted.transform(valid)
-            train, valid = train.persist(), valid.persist()
 
             def one(key: tuple) -> float:
                 return evaluator.evaluate(classifier.fit(train, different[key]).transform(valid))
 
             for key, score in zip(different, pool.map(inheritable_thread_target(rows.sparkSession)(one), different)):
                 totals[key] += score / folds
-            train.unpersist()
-            valid.unpersist()
     return [totals[key] for key in keys]
 
 
@@ -155,13 +145,13 @@ def tune(
     indexer, indexed = _indexed(train)
     rows = written(sampling.stratified_folds(indexed, "id", "label_post", folds, seed), "folds")
     pipeline, maps = build_pipeline(kind, rows.count(), grid)
-    *front, classifier = pipeline.getStages()
+    (classifier,) = pipeline.getStages()
     if kind == "nb":
         values = [next(iter(params.values())) for params in maps]
         means = bayes.cross_validate_bayes(rows, "label", values, folds, parallelism=parallelism).collect()
         metrics = [row.score for row in sorted(means, key=lambda row: row.grid_index)]
     else:
-        metrics = search(front[0] if front else None, classifier, maps, rows, folds, parallelism)
+        metrics = search(classifier, maps, rows, folds, parallelism)
     best = max(range(len(maps)), key=lambda index: (metrics[index], -index))
     fitted = pipeline.fit(rows, maps[best])
     texts = parameter_sets(kind, grid)

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from postloom.operators import forest
+from postloom.operators import forest, machine
 from postloom.plans import train as T
 
 SCHEMA = "id string, label double, weight double, text_clean string"
@@ -73,3 +73,58 @@ def test_forest_reads_the_terms_of_a_row_and_not_the_vocabulary(spark):
     out = model.transform(docs)
     assert out.columns == [*docs.columns, "prediction"] and out.count() == 600
     assert out.groupBy("id").count().count() == 2  # null and repeated ids keep their rows
+
+
+def test_machine_minimizes_the_hinge_loss_of_the_dense_rows(spark):
+    rows = corpus(150, seed=8)
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    reg = 1 / len(rows)
+    fit = machine.fit_machine(docs, "label", "weight", "text_clean", reg, 1e-4, 100)
+    held = machine.numbered(docs)
+    found = {r.feature: np.array(r.coefs) for r in fit.terms.collect()}
+    place = {feature: k for k, feature in enumerate(found)}
+    known = {r._row: r for r in held.collect()}
+    x, order = np.zeros((len(rows), len(place))), {row: k for k, row in enumerate(known)}
+    for r in machine.weights(held, fit.terms, "text_clean").collect():
+        x[order[r._row], place[r.feature]] = r.weight
+    assert (x.sum(axis=1) == 0).any()  # rows without a term are trained on and predicted
+    label = np.array([r.label for r in known.values()])
+    weight = np.array([r.weight for r in known.values()])
+    coefs, free = np.array(list(found.values())), np.array(fit.intercepts)
+    got = {r._row: r.prediction for r in machine.predict_machine(fit, held, "text_clean").collect()}
+    margins = x @ coefs + free
+    assert [got[row] for row in known] == list(np.argmax(margins, axis=1).astype(float))
+    assert np.mean(np.argmax(margins, axis=1) == label) > np.mean(label == 0)
+    rng = np.random.default_rng(1)
+    for k in range(3):
+        sign = np.where(label == k, 1.0, -1.0)
+
+        def loss(w, b):
+            return (weight * np.maximum(1 - sign * (x @ w + b), 0)).sum() / weight.sum() + reg / 2 * (w @ w)
+
+        least, w, b = np.inf, np.zeros(len(place)), 0.0
+        for turn in range(1, 6001):  # plain subgradient descent from zero
+            least = min(least, loss(w, b))
+            pull = -weight / weight.sum() * sign * (sign * (x @ w + b) < 1)
+            w, b = w - (reg * w + x.T @ pull) / (reg * (turn + 30)), b - 5 * pull.sum() / np.sqrt(turn)
+        assert loss(coefs[:, k], free[k]) <= least + 2e-3
+        for size in (1e-1, 1e-2):
+            for _ in range(40):
+                assert loss(coefs[:, k] + size * rng.normal(size=len(w)) / 5, free[k] + size * rng.normal()) > loss(coefs[:, k], free[k]) - 1e-3
+
+
+def test_machine_sends_numbers_per_row_to_the_driver_and_not_per_term(spark):
+    """200 rows of 300 own terms: what reaches the driver is 200 numbers a class, not 60,000."""
+    docs = spark.createDataFrame(corpus(200, own=300), SCHEMA).repartition(4)
+    pipeline, maps = T.build_pipeline("svm", 200, {"c": [1.0], "tol": [1e-2], "iterations": [3]})
+    (model,) = pipeline.fit(docs, maps[0]).stages
+    assert len(model.fit.intercepts) == 3 and model.fit.terms.count() > 60_000
+    sizes = []
+
+    def product(by_row):
+        sizes.append(by_row.shape)
+        return by_row
+
+    machine.minimize(product, np.where(np.arange(200)[:, None] % 3 == np.arange(3), 1.0, -1.0), np.ones(200), 0.01, 1e-2, 3)
+    assert set(sizes) == {(200, 3)} and len(sizes) <= 4
+    assert model.transform(docs).count() == 200

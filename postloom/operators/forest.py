@@ -24,7 +24,7 @@ from postloom.session import importable, written
 CELLS = 64  # per octave of the weight
 UNIT = 1 << 20  # row weights are counted in this share of one
 ROWS = 500  # rows of a batch that are walked at once
-ROWS_PER_TASK = 20_000
+ROWS_PER_TASK = 8_000
 SUMS_PER_TASK = 2_000_000
 LEAF, OPEN = -1, -2
 

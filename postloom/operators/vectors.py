@@ -16,8 +16,10 @@ def numbered(df: DataFrame) -> DataFrame:
 
 
 def tasks(df: DataFrame, rows: int, per_task: int) -> int:
-    """Tasks for a pass over `rows` rows that is heavy per row: all cores, more for larger tables."""
-    return max(2 * df.sparkSession.sparkContext.defaultParallelism, -(-rows // per_task))
+    """Tasks for a pass over `rows` rows that is heavy per row: few for small tables, all cores from a
+    sixteenth of `per_task` per task on, more for larger ones."""
+    cores = 2 * df.sparkSession.sparkContext.defaultParallelism
+    return max(min(cores, -(-16 * rows // per_task)), -(-rows // per_task), 1)
 
 
 def fit_terms(docs: DataFrame, text: str) -> DataFrame:

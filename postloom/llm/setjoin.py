@@ -5,8 +5,11 @@ differ in, plus spare ones. By the pigeonhole principle two similar sets agree i
 each set sends one signature per segment. As probes it needs only some of them: the allocation
 takes the segments with most shingles, since small ones are shared by many sets. Small sets have
 few segments to spare; where they would need an empty one, the allocation takes a small one with
-its one-deletion neighbourhood instead, which counts for two. Sets that share a probed signature become candidates; candidates are linked to
-clusters, and all pairs of a cluster are verified exactly in blocks.
+its one-deletion neighbourhood instead, which counts for two. Signatures meet by range of their values. The pigeonhole
+principle says more than that one agrees: of the segments a set fills, all but as many as the pair may differ in. Pairs that
+share a probed signature and enough signatures in all become candidates, so a common passage alone makes none; candidates are
+linked to clusters, and all pairs of a cluster are verified exactly in blocks. A signature of very many sets is not paired out:
+its sets are linked as a star, but for those with too few such signatures to be similar to any set by them alone.
 """
 
 from __future__ import annotations
@@ -30,9 +33,14 @@ SPARE = 0.25  # segments beyond those needed, as a share of them: the smallest o
 FEW = 16  # segments of a band up to which small segments send their one-deletion neighbourhoods
 SMALL = (2, 3)  # shingles of a segment whose one-deletion neighbourhood may be probed
 BLOCK = 1000  # sets of a cluster that are verified together
+GROUP = 256  # sets that share a signature and are paired out; more are linked as a star
+SENT = 1 << 20  # signatures a task sorts and sends at a time
+PAIRED = 1 << 21  # pairs a task makes at a time
+SEGMENTS = 256  # ranges of signatures, or one per shuffle partition if these are more
 MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
-SIGNED = pa.schema([("row", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("probes", pa.int32()), ("signatures", pa.binary())])
-SUSPECT = pa.schema([("signature", pa.int64()), ("row", pa.int64()), ("probe", pa.int32())])
+SIGNED = pa.schema([("row", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("probes", pa.int32()), ("filled", pa.int32()), ("least", pa.int32()), ("signatures", pa.binary())])
+RANGE = pa.schema([("segment", pa.int32()), ("signatures", pa.binary()), ("rows", pa.binary()), ("probes", pa.binary())])
+SHARED = pa.schema([("signature", pa.int64()), ("u", pa.int64()), ("v", pa.int64()), ("shared", pa.int64()), ("probed", pa.int32())])
 SETS = pa.schema([("row", pa.int64()), ("shingles", pa.binary())])
 FOUND = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("links", pa.int64())])
 
@@ -80,21 +88,24 @@ def _segment_starts(segments: int) -> np.ndarray:
     return np.array([-(-(k << 64) // segments) for k in range(1, segments)], np.uint64)
 
 
-def signatures(shingles: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures to probe with and signatures only to be found by, in the bands of the set and of its smaller partners."""
+def signatures(shingles: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """Signatures to probe with and signatures only to be found by, in the bands of the set and of its smaller partners;
+    how many segments the set fills in its own band; and the least number of them that any similar set shares."""
     size = len(shingles)
     most = differing(size, percent)
     if not most:
-        return shingles[:0], shingles[:0]  # only equal sets are similar
+        return shingles[:0], shingles[:0], 0, 0  # only equal sets are similar
     values = common.mix(shingles ^ MULTIPLIERS[1])
     sums = np.concatenate([[np.uint64(0)], np.cumsum(values, dtype=np.uint64)])
-    probes, others = [], []
+    probes, others, filled, least = [], [], 0, size
     smallest = -(-percent * size // 100)
     for band, (first, last, segments) in enumerate(bands(percent, max(size, FIRST_BAND))):
         if last < smallest:
             continue
         edges = np.concatenate([[0], np.searchsorted(shingles, _segment_starts(segments)), [size]])
         counts = np.diff(edges)
+        filled = int(np.count_nonzero(counts))
+        least = min(least, filled - (most if last >= size else (100 - percent) * (size + last) // (100 + percent)))
         names = (np.arange(segments, dtype=np.uint64) + np.uint64(band << 32)) * MULTIPLIERS[2]
         own = sums[edges[1:]] - sums[edges[:-1]]
         exact = common.mix(own + names + counts.astype(np.uint64) * MULTIPLIERS[3])
@@ -118,7 +129,7 @@ def signatures(shingles: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarr
             names_of = names[k : k + 1] + (counts[k : k + 1] - 1).astype(np.uint64) * MULTIPLIERS[3]
             rest = common.mix(own[k : k + 1] - values[inside] + names_of)
             (probes if k in doubled else others).append(rest)
-    return np.concatenate(probes), np.concatenate(others)
+    return np.concatenate(probes), np.concatenate(others), filled, max(least, 1)
 
 
 def similar(shared: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
@@ -168,13 +179,13 @@ def _signed(rows: DataFrame, text: str, size: int, percent: int) -> DataFrame:
     def run(batches):
         shingles = Shingles(size)
         for b in batches:
-            out: list[list] = [[], [], [], []]
+            out: list[list] = [[], [], [], [], [], []]
             parts = []
             for value in common.texts(b.column(1)):
                 own = shingles.of(value)
-                probes, others = signatures(own, percent)
+                probes, others, filled, least = signatures(own, percent)
                 digest = common.mix(own + MULTIPLIERS[4]).sum(dtype=np.uint64), common.mix(own + MULTIPLIERS[5]).sum(dtype=np.uint64)
-                for column, item in zip(out, (len(own), *np.array(digest, np.uint64).view(np.int64).tolist(), len(probes))):
+                for column, item in zip(out, (len(own), *np.array(digest, np.uint64).view(np.int64).tolist(), len(probes), filled, least)):
                     column.append(item)
                 parts.append(np.concatenate([probes, others]))
             flat = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
@@ -184,41 +195,133 @@ def _signed(rows: DataFrame, text: str, size: int, percent: int) -> DataFrame:
     return common.map_arrow(source, run, SIGNED)
 
 
-def _candidates(signed: DataFrame, reps: DataFrame) -> DataFrame:
-    """Edges from each representative to the first one that shares a signature some set probes with.
+def _planes(values: np.ndarray) -> bytes:
+    """The bytes of 64-bit numbers, all first bytes before all second ones, which compresses better."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8).T).tobytes()
 
-    The filter is made of the signatures of all rows, copies too, which only makes it suspect more.
+
+def _from_planes(data: bytes, kind: str) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(kind).ravel()
+
+
+def paired(values: np.ndarray, rows: np.ndarray, probe: np.ndarray, group: int, block: int):
+    """Batches of the pairs of rows that share a signature, each with the number of signatures they share here and whether
+    one of the two probes with one of them. Signatures of more than `group` rows give their rows, without pairs."""
+    order = np.lexsort((~probe, rows, values))
+    values, rows, probe = values[order], rows[order], probe[order]
+    new = np.ones(len(values), bool)
+    new[1:] = (values[1:] != values[:-1]) | (rows[1:] != rows[:-1])
+    values, rows, probe = values[new], rows[new], probe[new]
+    starts = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
+    sizes = np.diff(np.append(starts, len(values)))
+    for k in np.flatnonzero(sizes > group).tolist():
+        own = slice(starts[k], starts[k] + sizes[k])
+        n = int(sizes[k])
+        yield common.batch(
+            SHARED, values[own].view(np.int64), rows[own], pa.nulls(n, pa.int64()), np.ones(n, np.int64), np.full(n, probe[own].any(), np.int32)
+        )
+    small = (sizes > 1) & (sizes <= group)
+    starts, sizes = starts[small], sizes[small]
+    blocks = np.cumsum(sizes * (sizes - 1) // 2) // block
+    for cut in np.split(np.arange(len(starts)), np.flatnonzero(np.diff(blocks)) + 1):
+        if not len(cut):
+            continue
+        g = sizes[cut]
+        place = np.arange(g.sum()) - np.repeat(np.cumsum(g) - g, g)
+        after = np.repeat(g, g) - 1 - place
+        left = np.repeat(np.repeat(starts[cut], g) + place, after)
+        right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(after) - after, after)
+        u, v, probed = rows[left], rows[right], probe[left] | probe[right]
+        order = np.lexsort((v, u))
+        u, v, probed = u[order], v[order], probed[order]
+        first = np.flatnonzero(np.concatenate([[True], (u[1:] != u[:-1]) | (v[1:] != v[:-1])]))
+        shared = np.diff(np.append(first, len(u)))
+        yield common.batch(
+            SHARED, pa.nulls(len(first), pa.int64()), u[first], v[first], shared, np.maximum.reduceat(probed, first).astype(np.int32)
+        )
+
+
+def _shared(signed: DataFrame, reps: DataFrame) -> DataFrame:
+    """Pairs of representatives that share signatures, and the rows of signatures that too many share.
+
+    Tasks sort their signatures and send them, cut into ranges, with their rows; a range is worked on by one task. Copies
+    stay out by a filter of the representatives; the few it lets through take no part in the verification.
     """
     spark = signed.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    segments = max(SEGMENTS, parts)
 
-    def hashes_of(b):
-        return unpacked(b)[0]
-
-    def unpacked(b):
-        return common.unpack(b.column(b.schema.get_field_index("signatures")), "<u8")
+    def keys_of(b):
+        return common.mix(b.column(0).to_numpy().astype(np.int64).view(np.uint64))
 
-    sent = signed.agg(F.sum(F.octet_length("signatures").cast("bigint"))).first()[0] or 0
-    # one position per signature: half of what the filter sends otherwise, at twice the bits
-    packed = bloom.twice_seen(signed.select("signatures"), hashes_of, bloom.size_for(sent // 4), probes=1)
+    packed = bloom.twice_seen(reps, keys_of, bloom.size_for(reps.count()), once=True)
     shared = spark.sparkContext.broadcast(packed)
+    group, block = GROUP, PAIRED
+
+    def send(batches):
+        held, size = [], 0
+
+        def flush():
+            values, rows, probe = [np.concatenate(c) for c in zip(*held)]
+            order = np.argsort(values, kind="stable")
+            values, rows, probe = values[order], rows[order], probe[order]
+            edges = np.concatenate([[0], np.searchsorted(values, _segment_starts(segments)), [len(values)]])
+            for k in np.flatnonzero(np.diff(edges)).tolist():
+                own = slice(edges[k], edges[k + 1])
+                yield common.batch(RANGE, [k], [_planes(values[own])], [_planes(rows[own])], [probe[own].tobytes()])
 
-    def suspects(batches):
         for b in batches:
-            values, lengths = unpacked(b)
-            rows = np.repeat(b.column(0).to_numpy(), lengths)
+            b = b.take(pa.array(np.flatnonzero(bloom.contains(shared.value, keys_of(b)))))
+            values, lengths = common.unpack(b.column(2), "<u8")
             place = np.arange(len(values)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
             probe = place < np.repeat(b.column(1).to_numpy(), lengths)
-            hit = bloom.contains(shared.value, values, 1)
-            yield common.batch(SUSPECT, values[hit].view(np.int64), rows[hit], probe[hit].astype(np.int32))
+            held.append((values, np.repeat(b.column(0).to_numpy(), lengths), probe))
+            size += len(values)
+            if size >= SENT:
+                yield from flush()
+                held, size = [], 0
+        if size:
+            yield from flush()
+
+    def meet(batches):
+        held: list[tuple] = []
+        for b in batches:
+            for _, values, rows, probe in zip(*[c.to_pylist() for c in b.columns]):
+                held.append((_from_planes(values, "<u8"), _from_planes(rows, "<i8"), np.frombuffer(probe, bool)))
+        if held:
+            yield from paired(*[np.concatenate(c) for c in zip(*held)], group, block)
 
-    suspected = common.map_arrow(signed.select("row", "probes", "signatures"), suspects, SUSPECT)
-    found = written(suspected.join(reps, "row", "left_semi"), "suspects")
-    groups = found.groupBy("signature").agg(
-        F.min("row").alias("center"), F.max("row").alias("other"), F.max("probe").alias("probed")
-    )
+    sent = common.map_arrow(signed.select("row", "probes", "signatures"), send, RANGE).repartition(parts, "segment")
+    return written(common.map_arrow(sent, meet, SHARED), "shared")
+
+
+def _candidates(signed: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """Edges between representatives that may be similar by the signatures they share.
+
+    Two similar sets agree in all segments the smaller one fills in its own band, but for as many as they differ in. Pairs
+    that share fewer signatures are left out; shared signatures that are not paired out count as far as both rows have
+    them. Rows of such a signature are linked to the first of them if they have enough of these for a pair that shares no others.
+    """
+    found = _shared(signed, reps)
+    many = found.where("v is null")
+    hot = many.groupBy(F.col("u").alias("row")).agg(F.count(F.lit(1)).alias("hot"))
+    sizes = signed.select("row", "n", "filled", "least").join(hot, "row", "left").withColumn("hot", F.coalesce("hot", F.lit(0)))
+    sizes = written(sizes, "sizes")
+    pairs = found.where("v is not null").groupBy("u", "v").agg(F.sum("shared").alias("shared"), F.max("probed").alias("probed"))
+    for end in ("u", "v"):
+        pairs = pairs.join(sizes.select(F.col("row").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in ("n", "filled", "hot")]), end)
+    low, high = F.least("n_u", "n_v"), F.greatest("n_u", "n_v")
+    filled = F.when(F.col("n_u") == F.col("n_v"), F.greatest("filled_u", "filled_v")).when(
+        F.col("n_u") < F.col("n_v"), F.col("filled_u")
+    ).otherwise(F.col("filled_v"))
+    unpaired = F.least("hot_u", "hot_v")
+    enough = F.col("shared") + unpaired >= filled - F.floor((100 - percent) * (low + high) / (100 + percent))
+    near = pairs.where((100 * low >= percent * high) & enough & ((F.col("probed") == 1) | (unpaired > 0))).select("u", "v")
+    staying = sizes.where("hot > 0 AND hot >= least").select(F.col("row").alias("u"))
+    rows = written(many.where("probed = 1").select("signature", "u").join(staying, "u"), "many")
     # written, so that the join of a signature shared by very many sets can be split while it runs
-    groups = written(groups.where("probed = 1 AND center < other").select("signature", "center"), "groups")
-    return found.join(groups, "signature").where("row <> center").select("row", "center").distinct()
+    centers = written(rows.groupBy("signature").agg(F.min("u").alias("v")), "centers")
+    return near.unionByName(rows.join(centers, "signature").where("u <> v").select("u", "v").distinct())
 
 
 def _sets(rows: DataFrame, text: str, size: int, wanted: DataFrame) -> DataFrame:
@@ -290,7 +393,7 @@ def joined_rows(rows: DataFrame, text: str, size: int, percent: int) -> DataFram
     signed = written(_signed(rows, text, size, percent), "signed")
     filled = signed.where("n > 0")
     classes = written(filled.groupBy("n", "d1", "d2").agg(F.min("row").alias("row"), F.count(F.lit(1)).alias("copies")), "classes")
-    clusters = written(connected_components(_candidates(filled, classes.select("row")), "row", "center"), "clusters")
+    clusters = written(connected_components(_candidates(filled, classes.select("row"), percent), "u", "v"), "clusters")
     wanted = clusters.select(F.col("node").alias("row")).join(classes.select("row", "copies"), "row")
     links = _links(clusters, _sets(rows, text, size, wanted), percent)
     linked = connected_components(links.where("v is not null"), "u", "v")

@@ -211,6 +211,44 @@ def test_set_join_in_blocks(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.n_links, r.component_id) for r in made} == brute_join(rows, 3, 90)
 
 
+@pytest.mark.parametrize(("size", "percent"), [(3, 90), (5, 80), (2, 60)])
+def test_set_join_with_signatures_of_too_many_sets(spark, monkeypatch, size, percent):
+    monkeypatch.setattr(setjoin, "GROUP", 4)
+    monkeypatch.setattr(setjoin, "PAIRED", 10)
+    monkeypatch.setattr(setjoin, "BLOCK", 20)
+    rnd = random.Random(size)
+    rows = []
+    for length in (12, 30, 60, 200):
+        base = [f"b{rnd.randint(0, 5000)}" for _ in range(length)]
+        for _ in range(40):
+            own = base[: length - rnd.randint(0, length // 6)]
+            for _ in range(rnd.choice((0, 1, 2, length // 30, length // 8))):
+                own[rnd.randrange(len(own))] = f"x{rnd.randint(0, 5)}"
+            rows.append((len(rows), " ".join(own)))
+    made = setjoin.similar_sets(spark.createDataFrame(rows, "doc_id bigint, text string"), size=size, percent=percent).collect()
+    want = brute_join(rows, size, percent)
+    assert {r.doc_id: (r.n_shingles, r.n_links, r.component_id) for r in made} == want
+    assert len({c for _, _, c in want.values()}) < len(rows) and sum(n for _, n, _ in want.values()) > 100
+
+
+@pytest.mark.parametrize("group", [256, 4])
+def test_a_common_passage_makes_no_candidates(spark, monkeypatch, group):
+    """Texts that share a passage and are not similar were verified as one cluster, each against all."""
+    monkeypatch.setattr(setjoin, "GROUP", group, raising=False)
+    verified, filtered = [], []
+    links, size_for = setjoin._links, setjoin.bloom.size_for
+    monkeypatch.setattr(setjoin, "_links", lambda clusters, *more: verified.append(clusters.count()) or links(clusters, *more))
+    monkeypatch.setattr(setjoin.bloom, "size_for", lambda keys: filtered.append(keys) or size_for(keys))
+    rnd = random.Random(5)
+    passage = [f"p{k}" for k in range(30)]
+    rows = [(i, " ".join([f"w{rnd.randint(0, 10**6)}" for _ in range(240)] + passage)) for i in range(50)]
+    rows.append((50, rows[49][1] + " more"))
+    made = setjoin.similar_sets(spark.createDataFrame(rows, "doc_id bigint, text string"), size=5, percent=80).collect()
+    assert {r.doc_id: (r.n_links, r.component_id) for r in made} == {i: (int(i > 48), min(i, 49)) for i in range(51)}
+    assert verified[0] <= 4  # of 51
+    assert max(filtered) <= len(rows)  # no filter of signatures, of which every set has many, goes through the driver
+
+
 def test_drop_similar_keeps_one_of_each_group(docs, corpus):
     kept = setjoin.drop_similar(docs)
     want = {i for i, (_, _, first) in brute_join(corpus, 5, 80).items() if i == first}

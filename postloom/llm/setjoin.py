@@ -33,7 +33,7 @@ SPARE = 0.25  # segments beyond those needed, as a share of them: the smallest o
 FEW = 16  # segments of a band up to which small segments send their one-deletion neighbourhoods
 SMALL = (2, 3)  # shingles of a segment whose one-deletion neighbourhood may be probed
 BLOCK = 1000  # sets of a cluster that are verified together
-GROUP = 256  # sets that share a signature and are paired out; more are linked as a star
+GROUP = 16  # sets that share a signature and are paired out; more are linked as a star
 SENT = 1 << 20  # signatures a task sorts and sends at a time
 PAIRED = 1 << 21  # pairs a task makes at a time
 SEGMENTS = 256  # ranges of signatures, or one per shuffle partition if these are more

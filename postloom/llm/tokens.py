@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from functools import lru_cache
+from itertools import chain
 from operator import mul
 
 import pyarrow as pa
@@ -44,9 +45,12 @@ class Splitter:
         added = sorted({t.content for t in tokenizer.get_added_tokens_decoder().values() if t.content}, key=len, reverse=True)
         # leftmost match, the longest added token first at each place; one pass, however many a text holds
         self.tokens = added
+        self.lettered = any(token.removeprefix(" ").isalpha() for token in added)
         self.added = re.compile("(" + "|".join(re.escape(token) for token in added) + ")") if added else None
 
     def words(self, piece: str) -> list[str]:
+        if not self.lettered and (piece[1:] if piece[0] == " " else piece).isalpha() and max(piece) <= "\u024f":
+            return [piece]  # letters alone are one pre-token, and no added token is part of them
         if self.added is None or not any(token in piece for token in self.tokens):
             return self.plain(piece)
         made: list[str] = []
@@ -90,14 +94,16 @@ def count_tokens(
     source = rows.select(F.col(common.ROW), common.quoted(text).cast("string").cast("binary"))
 
     def local(batches):
-        splitter, counts = Splitter(path), Counter()
+        # `inner` counts the pieces behind a space without it, so that a text's parts are added as they are
+        splitter, counts, inner = Splitter(path), Counter(), Counter()
 
         def flush():
             words = Counter()
-            for piece, n in counts.items():
+            for piece, n in chain(counts.items(), ((" " + part, n) for part, n in inner.items())):
                 for word in splitter.words(piece):
                     words[word] += n
             counts.clear()
+            inner.clear()
             names = list(words)
             for k in range(0, len(names), 100_000):
                 part = names[k : k + 100_000]
@@ -105,8 +111,14 @@ def count_tokens(
 
         for b in batches:
             for value in common.texts(b.column(1)):
-                counts.update(document_pieces(value.decode()))
-            if len(counts) > FLUSH:
+                content = value.decode()
+                parts = bare(content)
+                if parts is None:
+                    counts.update(document_pieces(content))
+                else:
+                    counts[parts[0]] += 1
+                    inner.update(parts[1:])
+            if len(counts) + len(inner) > FLUSH:
                 yield from flush()
         yield from flush()
 

@@ -168,6 +168,20 @@ def test_substrings_keep_texts_that_lose_nothing(docs, corpus):
         assert r.text == (want[r.doc_id][2].decode() if want[r.doc_id][1] else texts[r.doc_id])
 
 
+def test_plain_words_are_not_matched_by_the_pattern(monkeypatch):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    splitter, matched = tokens.Splitter(path), []
+    words_of = tokens.words_of
+    monkeypatch.setattr(tokens, "words_of", lambda piece: matched.append(piece) or words_of(piece))
+    plain = ["word", " word", " Größe", " ª", "É", " ʼ" + "a", " 世界"]
+    mixed = [" it's", " a1", "1", " ", "  x", " x\n", "!", " x,y", " ²", " ·", " a<|endoftext|>b", "<|endoftext|>", "e\u0301"]
+    for piece in plain + mixed:
+        parts = splitter.added.split(piece) if splitter.added else [piece]
+        want = [w for k, part in enumerate(parts) for w in ([part] if k % 2 else [part[a:b] for _, (a, b) in splitter.cut(part)] if part else [])]
+        assert splitter.words(piece) == want, piece
+    assert not set(matched) & set(plain)
+
+
 def brute_join(corpus, size, percent):
     sets = {}
     for i, t in corpus:
@@ -231,7 +245,7 @@ def test_set_join_with_signatures_of_too_many_sets(spark, monkeypatch, size, per
     assert len({c for _, _, c in want.values()}) < len(rows) and sum(n for _, n, _ in want.values()) > 100
 
 
-@pytest.mark.parametrize("group", [256, 4])
+@pytest.mark.parametrize("group", [256, 16, 4])
 def test_a_common_passage_makes_no_candidates(spark, monkeypatch, group):
     """Texts that share a passage and are not similar were verified as one cluster, each against all."""
     monkeypatch.setattr(setjoin, "GROUP", group, raising=False)
